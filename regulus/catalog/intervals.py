@@ -287,13 +287,13 @@ def _(t):
 @query("a01_track_over_regions", "A1", """with g as (select event_id, t.sample, sum(least(te, e) - greatest(ts, s)) covered,
  sum(value * (least(te, e) - greatest(ts, s))) w from v_intervals i join v_track t on t.contig = i.contig and ts < e and te > s group by 1, 2),
  k as (select i.event_id, x.sample from v_intervals i, (select distinct l_returnflag sample from lineitem) x)
-select k.event_id, k.sample, cast(covered as bigint) covered, round(w / covered, 6) mean_signal from k left join g using (event_id, sample)""", ("v_intervals", "v_track"))
+select k.event_id, k.sample, cast(covered as bigint) covered, round(w, 6) / covered mean_signal from k left join g using (event_id, sample)""", ("v_intervals", "v_track"))
 def _(t):
     regions = t("v_intervals").drop("sample")
     got = S.region_signal(t("v_track"), regions, ["contig"], ("ts", "te"), ("s", "e"), "value", ["event_id", "sample"])
     samples = [r[0] for r in t("v_track").select("sample").distinct().collect()]  # O(samples) only
     asked = regions.select("event_id", F.explode(F.array(*[F.lit(s) for s in sorted(samples)])).alias("sample"))
-    return asked.join(got, ["event_id", "sample"], "left").select("event_id", "sample", "covered", rd("mean_signal").alias("mean_signal"))
+    return asked.join(got, ["event_id", "sample"], "left").select("event_id", "sample", "covered", (rd("weighted") / F.col("covered")).alias("mean_signal"))
 
 
 @query("a16_union_length", "A16", """with i as (select *, case when s <= max(e) over (partition by contig order by s, e

@@ -191,7 +191,7 @@ def _(t):
 
 
 BUCKETS = """q as (select source, list_distinct(quantile_cont(score, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) e from v_scores group by 1),
- b as (select s.*, greatest(len(list_filter(e, x -> x < score)) - 1, 0)::bigint bucket from v_scores s join q using (source))"""
+ b as (select s.*, greatest(len(list_filter(e, lambda x: x < score)) - 1, 0)::bigint bucket from v_scores s join q using (source))"""
 
 
 @query("w08_quantile_buckets", "W8", f"with {BUCKETS} select doc_id, source, bucket from b", ("v_scores",))
@@ -213,7 +213,7 @@ def _(t):
 
 @query("a53_residual_by_level", "A53", f"""with {WIDE}, p as (select region_id, A x, N y from wide where A is not null and N is not null),
  c as (select regr_slope(y, x) b, regr_intercept(y, x) a from p), e as (select x, abs(y - a - b * x) r from p, c),
- q as (select list_distinct(quantile_cont(x, [0, 1/3, 2/3, 1])) e from p), k as (select r, x, greatest(len(list_filter(q.e, z -> z < x)) - 1, 0)::bigint tercile from e, q)
+ q as (select list_distinct(quantile_cont(x, [0, 1/3, 2/3, 1])) e from p), k as (select r, x, greatest(len(list_filter(q.e, lambda z: z < x)) - 1, 0)::bigint tercile from e, q)
 select tercile, count(*) n, round(avg(r), 6) mean_abs_residual, round(avg(x), 6) + 0.0 mean_level, (select round(corr(r, x), 6) + 0.0 from e) corr_residual_level from k group by 1""", SIG)
 def _(t):
     p = cut(lfc_wide(t).where("A is not null and N is not null").select(F.col("A").alias("x"), F.col("N").alias("y"), F.lit(1).alias("g")))

@@ -30,8 +30,8 @@ def region_signal(track: DataFrame, regions: DataFrame, keys: Sequence[str], tsp
     ov = F.least(tspan[1], rspan[1]) - F.greatest(tspan[0], rspan[0])
     pairs = overlap_join(track, regions, keys, tspan, rspan, width).withColumn("_ov", ov)
     return (pairs.groupBy(*by)
-            .agg(F.sum("_ov").cast("long").alias("covered"), F.sum(F.col(value) * F.col("_ov")).alias("_w"))
-            .withColumn("mean_signal", F.col("_w") / F.col("covered")).drop("_w"))
+            .agg(F.sum("_ov").cast("long").alias("covered"), F.sum(F.col(value) * F.col("_ov")).alias("weighted"))
+            .withColumn("mean_signal", F.col("weighted") / F.col("covered")))
 
 
 def mean_one(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:

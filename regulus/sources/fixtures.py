@@ -42,6 +42,13 @@ VIEWS = {
         concat('User: ', cast(user_id as varchar(20))) c2, props, event_type, user_id, value from events""",
     "v_alias": """select p_partkey, p_name symbol, concat_ws('|', p_brand, substring(p_name, 1, 6)) prev_symbol
         from part""",
+    "v_combo": """select case o_orderkey % 7 when 0 then 'x' when 1 then 'y' when 2 then 'z' when 3 then 'x+y'
+        when 4 then 'x+z' when 5 then 'y+z' else 'x+y+z' end label, o_orderstatus arrangement,
+        (o_custkey % 3) * 4 + 4 load, case when (o_orderkey / 7) % 2 < 1 then 'real' else 'scrambled' end variant,
+        o_custkey % 10 seed, avg(o_totalprice) / 100000 pred from orders group by 1, 2, 3, 4, 5""",
+    "v_calls": """select p_partkey region_id, l_returnflag motif, p_retailprice price, cast(p_size as double) size,
+        count(case when l_quantity >= 45 then 1 end) n_hits from part join lineitem on p_partkey = l_partkey
+        group by 1, 2, 3, 4""",
     "v_lfc": """select region_id, study, log2((avg(case when arm = 'O' then signal / m end) + 0.05)
         / (avg(case when arm = 'F' then signal / m end) + 0.05)) lfc
         from v_signal join (select sample sm, avg(signal) m from v_signal group by 1) on sm = sample
