@@ -206,7 +206,7 @@ def _(t):
     return presence_out(D.presence_contrast(calls_long(t), ["motif", "readout"], F.col("n_hits") >= 1, "value"))
 
 
-@query("u03_rank_sum_p", "U3", f"with {CALLS}, z as (" + presence_sql("l") + """),
+@query("u03_rank_sum_p", "U3", f"with {CALLS}, z as (with " + presence_sql("l") + """),
  g as (select motif, readout, i, abs(z) * i / 2000 x, abs(z) / 2000 h from z, generate_series(0, 2000) q(i))
 select motif, readout, round(1 - 2 / sqrt(2 * pi()) * sum(exp(-x * x / 2) * case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) * any_value(h) / 3, 5) + 0.0 p from g group by 1, 2""", VM)
 def _(t):
@@ -311,10 +311,6 @@ def _(t):
     return c.join(s.groupBy("subset").agg(rd(F.avg("effect")).alias("mean"), rd(F.min("effect")).alias("lo"), rd(F.max("effect")).alias("hi")), "subset")
 
 
-@query("o01_sorted_results", "O1", f"with {COMBO} select row_number() over (order by load, length(label), label, arrangement) place, label, arrangement, load from s", VC)
+@query("o01_sorted_results", "O1", f"with {COMBO} select label, arrangement, load, n from s order by load, length(label), label, arrangement", VC)
 def _(t):
-    from pyspark.sql import Window
-    # one row per condition, so the ordered numbering runs over the few result rows only
-    w = Window.orderBy("load", F.length("label"), "label", "arrangement")
-    s = combo_summary(t).orderBy("load", F.length("label"), "label", "arrangement")
-    return s.select(F.row_number().over(w).cast("long").alias("place"), "label", "arrangement", "load")
+    return combo_summary(t).select("label", "arrangement", "load", "n").orderBy("load", F.length("label"), "label", "arrangement")
