@@ -8,7 +8,6 @@ from regulus.operators import intervals as I
 from regulus.operators import signal as S
 from regulus.plans.greedy import cover_points, cover_regions, greedy_positions
 from regulus.plans.ordered import exact_percentiles
-from regulus.plans.range_join import overlap_join
 
 SIZE = 1_100_000
 V = ("v_intervals",)

@@ -157,7 +157,11 @@ def replicate_quality(experiments: DataFrame, fmt: str, metrics: Sequence[str])
     reps = experiments.select("accession", "files", F.explode(F.array_distinct(F.flatten(F.transform("files", lambda f: f["replicates"])))).alias("replicate"))
     match = F.filter("files", lambda f: (f["format"] == fmt) & F.array_contains(f["replicates"], F.col("replicate")))
     first = reps.select("accession", "replicate", F.get(match, F.lit(0)).alias("f"))
-    cols = [F.get(F.filter("f.metrics", lambda m, n=n: m["name"] == n), F.lit(0))["value"].alias(n) for n in metrics]
+
+    def metric(wanted: str) -> Column:
+        return F.get(F.filter("f.metrics", lambda m: m["name"] == wanted), F.lit(0))["value"].alias(wanted)
+
+    cols = [metric(n) for n in metrics]
     return first.select("accession", "replicate", F.col("f.id").alias("file_id"), *cols)
 
 
