@@ -61,9 +61,9 @@ def flag_points(points: DataFrame, intervals: DataFrame, contig: str, pos: str,
                 out: str) -> DataFrame:
     """Does any interval contain the point? Looked up in the merged union, so no pairs are formed."""
     union = merge_intervals(intervals, [contig], start, end)
-    found = attach_neighbours(points, union, [contig], pos, "start", ["end"])
+    found = attach_neighbours(points, union, [contig], pos, "start", ["end"], sides=["prev"])
     return (found.withColumn(out, F.coalesce(F.col("prev.end") > F.col(pos), F.lit(False)))
-            .drop("prev", "next"))
+            .drop("prev"))
 
 
 def last_started(points: DataFrame, intervals: DataFrame, contig: str, pos: str, start: str, end: str,
@@ -72,7 +72,7 @@ def last_started(points: DataFrame, intervals: DataFrame, contig: str, pos: str,
 
     An earlier, longer interval that also contains the point is not considered.
     """
-    found = attach_neighbours(points, intervals, [contig], pos, start, [end, *payload]).drop("next")
+    found = attach_neighbours(points, intervals, [contig], pos, start, [end, *payload], sides=["prev"])
     inside = F.col(f"prev.{end}") > F.col(pos)
     cols = [F.when(inside, F.col("prev.at")).alias("hit_start"), F.when(inside, F.col(f"prev.{end}")).alias("hit_end"),
             *[F.when(inside, F.col(f"prev.{p}")).alias(p) for p in payload]]
@@ -103,11 +103,11 @@ def count_overlaps(loci: DataFrame, intervals: DataFrame, contig: str, lspan: tu
         return running_sums(per, [contig], "_at", "_tile", ["n"]).select(contig, "_at", "cum_n")
 
     ends_asked = loci.withColumn("_last", F.col(le) - 1)
-    got = attach_neighbours(ends_asked, running(ispan[0]), [contig], "_last", "_at", ["cum_n"])
-    got = got.withColumn("_begun", F.coalesce("prev.cum_n", F.lit(0))).drop("prev", "next", "_last")
-    got = attach_neighbours(got, running(ispan[1]), [contig], ls, "_at", ["cum_n"])
+    got = attach_neighbours(ends_asked, running(ispan[0]), [contig], "_last", "_at", ["cum_n"], sides=["prev"])
+    got = got.withColumn("_begun", F.coalesce("prev.cum_n", F.lit(0))).drop("prev", "_last")
+    got = attach_neighbours(got, running(ispan[1]), [contig], ls, "_at", ["cum_n"], sides=["prev"])
     return (got.withColumn(out, (F.col("_begun") - F.coalesce("prev.cum_n", F.lit(0))).cast("long"))
-            .drop("prev", "next", "_begun"))
+            .drop("prev", "_begun"))
 
 
 def distance_to(pos: Column, start: Column, end: Column) -> Column:

@@ -22,7 +22,7 @@ class Contrast:
 
 
 def region_signal(track: DataFrame, regions: DataFrame, keys: Sequence[str], tspan: tuple[str, str],
-                  rspan: tuple[str, str], value: str, by: Sequence[str], width: int = 4096) -> DataFrame:
+                  rspan: tuple[str, str], value: str, by: Sequence[str], width: int = 512) -> DataFrame:
     """Covered-base mean of a value track over each region: sum(v * overlap) / sum(overlap).
 
     Regions without a covered base are absent; left-join them back where NULL rows are wanted.

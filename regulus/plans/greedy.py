@@ -105,7 +105,7 @@ def cover_regions(regions: DataFrame, sizes: DataFrame, half: int, span: int,
     rest = flagged.where("status = 'placed' and not _in_zero")
     heads = greedy_positions(rest.select("contig", "center"), ["contig"], "center", span - 2 * half + 1)
     prev = (neighbours(rest.select("contig", "center"), heads.withColumnRenamed("center", "head"),
-                       ["contig"], "center", "head").select("contig", "center", F.col("prev.at").alias("_head")))
+                       ["contig"], "center", "head", sides=["prev"]).select("contig", "center", F.col("prev.at").alias("_head")))
     wstart = F.greatest(F.lit(0).cast("long"), F.least(F.col("_head") - half - off, F.col("size") - length))
     placed = rest.join(prev, ["contig", "center"]).withColumn("wstart", wstart).drop("_head")
     others = (flagged.where("status <> 'placed' or _in_zero")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regulus.plans.tiling import running_sums
@@ -37,7 +37,7 @@ def value_edges(df: DataFrame, groups: Sequence[str], *values: str,
     k = tiles or max(16, min(4096, shuffle_partitions(df.sparkSession)))
     probs = [i / k for i in range(1, k)]
     sketches = cut(df.groupBy(*groups).agg(*[
-        F.percentile_approx(F.col(v).cast("double"), probs, max(10_000, 20 * k)).alias(v) for v in values]))
+        F.percentile_approx(F.col(v).cast("double"), probs, max(1_000, 20 * k)).alias(v) for v in values]))
     out = []
     for v in values:
         repeated = F.filter(
@@ -67,25 +67,38 @@ def ordered_values(df: DataFrame, groups: Sequence[str], value: str, sums: Seque
 def add_average_ranks(df: DataFrame, groups: Sequence[str], outs: dict[str, str]) -> DataFrame:
     """Rank each value column (``outs``: value -> rank column) with ties averaged.
 
-    Rows with a NULL in any of the columns are dropped first. A value that fills several tiles is
-    salted in the join back, in proportion to the tiles it fills.
+    Rows with a NULL in any of the columns are dropped first. Each column costs one shuffle of the
+    rows, by (groups, tile): the rank is the count in the tiles below plus the rank inside the tile.
+    A value that fills several tiles is by construction the greatest of its tile, so its rank
+    follows from two counts; its rows only pass through, spread over as many salts as tiles.
     """
     groups = list(groups)
     for value in outs:
         df = df.where(F.col(value).isNotNull())
-    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
-    rows = df.withColumn("_hash", row_hash)
-    for (value, out), edges in zip(outs.items(), value_edges(df, groups, *outs), strict=True):
-        ranks = (ordered_values(df, groups, value, edges=edges)
-                 .select(*groups, value, (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias(out)))
-        hot = edges.table.select(*groups, "_hot")
+    edges = value_edges(df, groups, *outs)
+    rows, names = df, list(outs)
+    for i, (value, e) in enumerate(zip(names, edges, strict=True)):
         salts = F.coalesce(F.element_at("_hot", F.col(value).cast("double")), F.lit(1))
-        rows = (rows.join(hot, groups)
-                .withColumn("_salt", F.pmod(F.col("_hash"), salts.cast("long")).cast("int")).drop("_hot"))
-        ranks = (ranks.join(hot, groups)
-                 .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_hot"))
-        rows = rows.join(ranks, [*groups, value, "_salt"]).drop("_salt")
-    return rows.drop("_hash")
+        rows = (rows.join(e.table, groups)
+                .withColumn(f"_tile{i}", e.tile(value))
+                .withColumn(f"_salt{i}", F.when(salts > 1, 1 + F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), salts.cast("long")))
+                            .otherwise(0).cast("int")).drop("_edges", "_coarse", "_hot"))
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(f"_tile{i}").alias("tile"), (F.col(f"_salt{i}") > 0).alias("hot"))
+                                for i in range(len(names))])).alias("_s")
+    below = Window.partitionBy(*groups, "axis").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (rows.select(*groups, sides).select(*groups, "_s.*").groupBy(*groups, "axis", "tile")
+              .agg(F.count_if(~F.col("hot")).alias("_other"), F.count_if("hot").alias("_same")))
+    counts = cut(counts.withColumn("_below", F.coalesce(F.sum(F.col("_other") + F.col("_same")).over(below), F.lit(0))))
+    small = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    for i, value in enumerate(names):
+        c = counts.where(F.col("axis") == i).drop("axis").withColumnRenamed("tile", f"_tile{i}")
+        inside = Window.partitionBy(*groups, f"_tile{i}", f"_salt{i}").orderBy(value)
+        ties = Window.partitionBy(*groups, f"_tile{i}", f"_salt{i}", value)
+        local = F.rank().over(inside) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+        rows = rows.withColumn("_local", local).join(F.broadcast(c) if small else c, [*groups, f"_tile{i}"])
+        rank = F.col("_below") + F.when(F.col(f"_salt{i}") > 0, F.col("_other") + (F.col("_same") + 1) / 2.0).otherwise(F.col("_local"))
+        rows = rows.withColumn(outs[value], rank).drop("_local", "_other", "_same", "_below", f"_tile{i}", f"_salt{i}")
+    return rows
 
 
 def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str,

@@ -43,7 +43,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, tile: str,
 
 
 def neighbours(points: DataFrame, table: DataFrame, keys: Sequence[str], pos: str, tpos: str,
-               payload: Sequence[str] = (), width: int = TILE) -> DataFrame:
+               payload: Sequence[str] = (), width: int = TILE,
+               sides: Sequence[str] = ("prev", "next")) -> DataFrame:
     """Per distinct (keys, pos) of ``points``: ``prev`` = last table row with tpos <= pos and
     ``next`` = first table row with tpos >= pos, each a struct (tpos, payload...) or NULL.
 
@@ -53,33 +54,31 @@ def neighbours(points: DataFrame, table: DataFrame, keys: Sequence[str], pos: st
     hit = F.struct(F.col(tpos).alias("at"), *[F.col(c) for c in payload])
     asked = points.select(*keys, F.col(pos).alias("_pos")).where(F.col("_pos").isNotNull())
     known = table.select(*keys, F.col(tpos).alias("_pos"), hit.alias("_hit"))
-    rows = (asked.withColumn("_ask", F.lit(1))
-            .unionByName(known.withColumn("_ask", F.lit(0)), allowMissingColumns=True)
-            .groupBy(*keys, "_pos")
-            .agg(F.max("_hit").alias("_hi"), F.min("_hit").alias("_lo"), F.max("_ask").alias("_ask"))
+    rows = asked.withColumn("_ask", F.lit(1)).unionByName(known.withColumn("_ask", F.lit(0)), allowMissingColumns=True)
+    # the struct starts with the position, so the running extreme is the row seen last; the forward
+    # side runs in descending order because frames that end at "unbounded following" are quadratic
+    pick = {"prev": (F.max, lambda c: F.col(c)), "next": (F.min, lambda c: F.col(c).desc())}
+    rows = (rows.groupBy(*keys, "_pos").agg(F.max("_ask").alias("_ask"), *[pick[s][0]("_hit").alias(f"_{s}") for s in sides])
             .withColumn("_tile", tile_expr("_pos", width)))
-    by_tile = Window.partitionBy(*keys).orderBy("_tile")
-    carry = (rows.groupBy(*keys, "_tile").agg(F.max("_hi").alias("_thi"), F.min("_lo").alias("_tlo"))
-             .select(*keys, "_tile",
-                     F.max("_thi").over(by_tile.rowsBetween(Window.unboundedPreceding, -1)).alias("_ch"),
-                     F.min("_tlo").over(by_tile.rowsBetween(1, Window.unboundedFollowing)).alias("_cl")))
-    inside = Window.partitionBy(*keys, "_tile").orderBy("_pos")
-    # the struct starts with the position, so a running maximum is the last row seen
-    return (rows.join(carry, [*keys, "_tile"])
-            .withColumn("prev", F.coalesce(
-                F.max("_hi").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-                F.col("_ch")))
-            .withColumn("next", F.coalesce(
-                F.min("_lo").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-                F.col("_cl")))
-            .where(F.col("_ask") == 1)
-            .select(*keys, F.col("_pos").alias(pos), "prev", "next"))
+    earlier = (Window.unboundedPreceding, -1)
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    carry = rows.groupBy(*keys, "_tile").agg(*[pick[s][0](f"_{s}").alias(f"_t_{s}") for s in sides])
+    for s in sides:
+        best, order = pick[s]
+        carry = carry.withColumn(f"_c_{s}", best(f"_t_{s}").over(Window.partitionBy(*keys).orderBy(order("_tile")).rowsBetween(*earlier)))
+    out = rows.join(carry.drop(*[f"_t_{s}" for s in sides]), [*keys, "_tile"])
+    for s in sides:
+        best, order = pick[s]
+        inside = Window.partitionBy(*keys, "_tile").orderBy(order("_pos")).rowsBetween(*so_far)
+        out = out.withColumn(s, F.coalesce(best(f"_{s}").over(inside), F.col(f"_c_{s}")))
+    return out.where(F.col("_ask") == 1).select(*keys, F.col("_pos").alias(pos), *sides)
 
 
 def attach_neighbours(points: DataFrame, table: DataFrame, keys: Sequence[str], pos: str,
-                      tpos: str, payload: Sequence[str] = (), width: int = TILE) -> DataFrame:
+                      tpos: str, payload: Sequence[str] = (), width: int = TILE,
+                      sides: Sequence[str] = ("prev", "next")) -> DataFrame:
     """``neighbours`` joined back to every row of ``points``; piled-up positions are salted."""
-    found = neighbours(points, table, keys, pos, tpos, payload, width)
+    found = neighbours(points, table, keys, pos, tpos, payload, width, sides)
     return salted_join(points, found, [*keys, pos], "left")
 
 
