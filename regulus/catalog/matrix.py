@@ -22,7 +22,7 @@ def ranked_whole(t):
     """Rank per sample first; the ranked table is dense again because ranks keep every row."""
     n = normalised(t).select("region_id", "sample", "norm")
     full = n.join(n.groupBy("region_id").agg(F.count("norm").alias("k")).where("k = 12").drop("k"), "region_id", "left_semi")
-    ranks = add_average_ranks(full, ["sample"], {"norm": "rnk"})
+    ranks = add_average_ranks(cut(full), ["sample"], {"norm": "rnk"})
     return M.dense_rows(ranks, "region_id", "sample", "rnk", SAMPLES)
 
 

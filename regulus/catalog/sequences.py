@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from regulus.catalog.registry import query, rd
 from regulus.functions import sequence as Q
 from regulus.operators import motifs as M
-from regulus.session import lookup_join
+from regulus.session import lookup_join, spread
 
 VS = ("v_seqs",)
 # Consensus words of the four motif families.
@@ -153,7 +153,7 @@ def grid(t):
     """Every region as background x arms x loads x variants."""
     arms = F.array(*[F.struct(F.lit(n).alias("label"), F.array(*[F.lit(WORDS[x]) for x in m]).alias("members"), F.lit(a).alias("arrangement"))
                      for n, m, a in ARMS])
-    return (t("v_seqs").withColumn("arm", F.explode(arms)).withColumn("load", F.explode(F.array(*[F.lit(k) for k in LOADS])))
+    return (spread(t("v_seqs"), "region_id").withColumn("arm", F.explode(arms)).withColumn("load", F.explode(F.array(*[F.lit(k) for k in LOADS])))
             .withColumn("variant", F.explode(F.array(F.lit("real"), F.lit("scrambled")))).select("region_id", "seq", "arm.*", "load", "variant"))
 
 
@@ -226,7 +226,7 @@ def _(t):
  from (select region_id, seq, unnest(range(0, length(seq))) i from v_seqs), (values ('A'), ('C'), ('G'), ('T')) v(b) where substr(seq, i::int + 1, 1) <> b""", VS)
 def _(t):
     seq = F.col("seq")
-    at = t("v_seqs").select("region_id", "seq", F.posexplode(F.split(seq, "")).alias("pos", "wt"))
+    at = spread(t("v_seqs"), "region_id").select("region_id", "seq", F.posexplode(F.split(seq, "")).alias("pos", "wt"))
     var = at.withColumn("base", F.explode(F.array(*[F.lit(b) for b in "ACGT"]))).where("base <> wt")
     return var.select("region_id", F.col("pos").cast("long").alias("pos"), "base", Q.replace_at(seq, F.col("pos"), F.col("base")).alias("variant"))
 

@@ -21,8 +21,8 @@ def lfc_long(t, contrasts=CONTRASTS):
 
 
 def lfc_wide(t, contrasts=CONTRASTS):
-    """One column per contrast; a region has one row per contrast, so the group is small by design."""
-    return lfc_long(t, contrasts).groupBy("region_id").pivot("contrast", [c.name for c in contrasts]).agg(F.first("lfc"))
+    """One row per region, one column per contrast."""
+    return S.contrast_columns(normalised(t), "region_id", F.concat("study", "arm"), "norm", contrasts, 0.05)
 
 
 NORM = """norm as (select region_id, study, arm, sample, signal / avg(signal) over (partition by sample) norm from v_signal)"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from regulus.plans.ordered import ordered_values
 from regulus.plans.tiling import running_sums
-from regulus.session import cut
+from regulus.session import cut, spread
 
 
 def seeded_hash(seed: Column, ident: Column) -> Column:
@@ -35,6 +35,7 @@ def shuffle_within(df: DataFrame, groups: Sequence[str], ident: str, value: str,
     Row i (in id order) receives the value of the i-th row in md5 order of the seed.
     """
     groups = list(groups)
+    df = spread(df, ident)
     seed = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
     # unique ids: their position is their cumulative count
     place = ordered_values(df, groups, ident).select(*groups, ident, F.col("cum_n").alias("_i"))

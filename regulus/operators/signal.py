@@ -41,19 +41,32 @@ def mean_one(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataF
             .withColumn(out, F.when(F.col("_mean") != 0, F.col(value) / F.col("_mean"))).drop("_mean"))
 
 
+def _arm_means(df: DataFrame, region: str, arm: Column, value: str, contrasts: Sequence[Contrast]) -> DataFrame:
+    aggs = [F.avg(F.when(F.col("_arm").isin(*arms), F.col(value))).alias(f"_{side}{i}")
+            for i, c in enumerate(contrasts) for side, arms in (("on", c.on), ("off", c.off))]
+    return df.withColumn("_arm", arm).groupBy(region).agg(*aggs)
+
+
+def _log_ratio(i: int, pseudo: float) -> Column:
+    return F.log2((F.col(f"_on{i}") + pseudo) / (F.col(f"_off{i}") + pseudo))
+
+
+def contrast_columns(df: DataFrame, region: str, arm: Column, value: str, contrasts: Sequence[Contrast],
+                     pseudo: float) -> DataFrame:
+    """All contrasts in one aggregation, one column each; NULL where an arm has no value."""
+    means = _arm_means(df, region, arm, value, contrasts)
+    return means.select(region, *[_log_ratio(i, pseudo).alias(c.name) for i, c in enumerate(contrasts)])
+
+
 def log2_contrasts(df: DataFrame, region: str, arm: Column, value: str, contrasts: Sequence[Contrast],
                    pseudo: float, out: str = "lfc") -> DataFrame:
-    """All contrasts in one pass: long (region, contrast, lfc), NULL where an arm has no value."""
-    roles = F.array(*[F.struct(F.lit(c.name).alias("contrast"), F.lit(side).alias("side"),
-                               F.array(*[F.lit(a) for a in arms]).alias("arms"))
-                      for c in contrasts for side, arms in (("on", c.on), ("off", c.off))])
-    tagged = (df.withColumn("_arm", arm)
-              .withColumn("_r", F.explode(F.filter(roles, lambda r: F.array_contains(r["arms"], F.col("_arm")))))
-              .select(region, value, "_r.contrast", "_r.side"))
-    return (tagged.groupBy(region, "contrast")
-            .agg(F.avg(F.when(F.col("side") == "on", F.col(value))).alias("_on"),
-                 F.avg(F.when(F.col("side") == "off", F.col(value))).alias("_off"))
-            .select(region, "contrast", F.log2((F.col("_on") + pseudo) / (F.col("_off") + pseudo)).alias(out)))
+    """The same, long: (region, contrast, lfc) for every region with a value in either arm."""
+    means = _arm_means(df, region, arm, value, contrasts)
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(c.name).alias("contrast"), _log_ratio(i, pseudo).alias(out),
+                 (F.col(f"_on{i}").isNotNull() | F.col(f"_off{i}").isNotNull()).alias("seen"))
+        for i, c in enumerate(contrasts)])).alias("_r")
+    return means.select(region, rows).where("_r.seen").select(region, "_r.contrast", f"_r.{out}")
 
 
 def distribution(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from regulus.operators.signal import Contrast
 from regulus.plans.ordered import add_average_ranks, exact_percentiles, ordered_values, value_edges
-from regulus.session import cut, lookup_join, with_size_hint
+from regulus.session import cut, lookup_join, spread, with_size_hint
 
 
 def safe_corr(x: str | Column, y: str | Column) -> Column:
@@ -33,16 +33,15 @@ def pair_thresholds(wide: DataFrame, pairs: Sequence[tuple[str, str]],
                                  F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
     rows = wide.select(F.explode(choices).alias("_p")).select("_p.*")
     rows = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    big = F.greatest(F.abs("x"), F.abs("y"))
-    cuts = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: big >= t)
-    return rows.withColumn("threshold", F.explode(cuts))
+    rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    return rows.where(F.greatest(F.abs("x"), F.abs("y")) >= F.col("threshold"))
 
 
 def threshold_correlations(wide: DataFrame, pairs: Sequence[tuple[str, str]], thresholds: Sequence[float],
                            contrasts: Sequence[Contrast] = (), min_n: int = 20) -> DataFrame:
     """Thresholded rank correlation of many contrast pairs; statistics are NULL below ``min_n``."""
     # the wide table feeds the sketch, both rank tables and the join back: compute it once
-    rows = pair_thresholds(cut(wide), pairs, thresholds)
+    rows = pair_thresholds(spread(cut(wide), *dict.fromkeys(c for p in pairs for c in p)), pairs, thresholds)
     stats = correlations(rows, ["pair_a", "pair_b", "threshold"], "x", "y")
     arms = {c.name: set(c.off) for c in contrasts}
     shared = [(a, b) for a, b in pairs if arms.get(a, set()) & arms.get(b, set())]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regulus.plans.tiling import running_sums
@@ -19,22 +19,31 @@ from regulus.session import BROADCAST_ROWS, cut, shuffle_partitions, with_size_h
 
 @dataclass(frozen=True)
 class Edges:
-    """Per-group tile edges: ``_edges`` (ascending), ``_coarse`` (every 16th), ``_hot`` (value -> salts)."""
+    """Tile edges of one value column: ``_edges`` (ascending, 2**depth - 1 of them) and ``_hot``
+    (value -> number of tiles it fills) per group."""
 
     table: DataFrame
     groups: tuple[str, ...]
+    depth: int
 
-    def tile(self, value: str) -> Column:
-        """Number of edges below ``value``, looked up in two short steps."""
-        block = F.size(F.filter("_coarse", lambda e: e < F.col(value)))
-        rest = F.slice(F.col("_edges"), block * 16 + 1, F.lit(16))
-        return (block * 16 + F.size(F.filter(rest, lambda e: e < F.col(value)))).cast("long")
+    def tag(self, df: DataFrame, value: str, tile: str) -> DataFrame:
+        """Add ``tile`` = number of edges below the value, by a binary search of ``depth`` steps.
+
+        Each step is a plain projection, so the whole search stays inside generated code.
+        """
+        out = df.join(self.table, list(self.groups)).withColumn(tile, F.lit(0))
+        for d in range(self.depth - 1, -1, -1):
+            probe = F.get(F.col("_edges"), F.col(tile) + (2**d - 1))
+            out = out.withColumn(tile, F.col(tile) + F.when(probe < F.col(value), 2**d).otherwise(0))
+        return out.drop("_edges")
 
 
 def value_edges(df: DataFrame, groups: Sequence[str], *values: str,
                 tiles: int | None = None) -> list[Edges]:
     """Quantile edges per group for each of ``values``, from mergeable sketches in one pass."""
-    k = tiles or max(16, min(4096, shuffle_partitions(df.sparkSession)))
+    wanted = tiles or max(16, min(4096, shuffle_partitions(df.sparkSession)))
+    depth = max(1, (wanted - 1).bit_length())
+    k = 2**depth
     probs = [i / k for i in range(1, k)]
     sketches = cut(df.groupBy(*groups).agg(*[
         F.percentile_approx(F.col(v).cast("double"), probs, max(1_000, 20 * k)).alias(v) for v in values]))
@@ -43,12 +52,10 @@ def value_edges(df: DataFrame, groups: Sequence[str], *values: str,
         repeated = F.filter(
             F.transform(F.array_distinct(v), lambda x: F.struct(x.alias("v"), F.size(F.filter(v, lambda e: e == x)).alias("m"))),
             lambda s: s["m"] > 1)
-        table = sketches.where(F.col(v).isNotNull()).select(
-            *groups, F.col(v).alias("_edges"), F.filter(v, lambda e, i: i % 16 == 15).alias("_coarse"),
-            F.map_from_entries(repeated).alias("_hot"))
-        out.append(Edges(table, tuple(groups)))
+        out.append(sketches.where(F.col(v).isNotNull()).select(
+            *groups, F.col(v).alias("_edges"), F.map_from_entries(repeated).alias("_hot")))
     bounded = sketches.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return [Edges(F.broadcast(e.table), e.groups) for e in out] if bounded else out
+    return [Edges(F.broadcast(e) if bounded else e, tuple(groups), depth) for e in out]
 
 
 def ordered_values(df: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str] = (),
@@ -59,8 +66,7 @@ def ordered_values(df: DataFrame, groups: Sequence[str], value: str, sums: Seque
     edges = edges or value_edges(df, groups, value)[0]
     distinct = (df.where(F.col(value).isNotNull()).groupBy(*groups, value)
                 .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums]))
-    tiled = (distinct.join(edges.table.select(*groups, "_edges", "_coarse"), groups)
-             .withColumn("_tile", edges.tile(value)).drop("_edges", "_coarse"))
+    tiled = edges.tag(distinct, value, "_tile").drop("_hot")
     return running_sums(tiled, groups, value, "_tile", ["n", *sums]).drop("_tile")
 
 
@@ -79,10 +85,9 @@ def add_average_ranks(df: DataFrame, groups: Sequence[str], outs: dict[str, str]
     rows, names = df, list(outs)
     for i, (value, e) in enumerate(zip(names, edges, strict=True)):
         salts = F.coalesce(F.element_at("_hot", F.col(value).cast("double")), F.lit(1))
-        rows = (rows.join(e.table, groups)
-                .withColumn(f"_tile{i}", e.tile(value))
+        rows = (e.tag(rows, value, f"_tile{i}")
                 .withColumn(f"_salt{i}", F.when(salts > 1, 1 + F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), salts.cast("long")))
-                            .otherwise(0).cast("int")).drop("_edges", "_coarse", "_hot"))
+                            .otherwise(0).cast("int")).drop("_hot"))
     sides = F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(f"_tile{i}").alias("tile"), (F.col(f"_salt{i}") > 0).alias("hot"))
                                 for i in range(len(names))])).alias("_s")
     below = Window.partitionBy(*groups, "axis").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)

@@ -46,6 +46,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition a compact table before a step that multiplies its rows.
+
+    A partition that is read comfortably may not be once every row becomes hundreds.
+    """
+    return df.repartition(shuffle_partitions(df.sparkSession), *cols)
+
+
 def with_size_hint(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a materialised table for broadcast if, and only if, its counted size is bounded."""
     if small.limit(max_rows + 1).count() <= max_rows:
