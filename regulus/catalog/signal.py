@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from regulus.catalog.registry import query, rd
 from regulus.operators import signal as S
 from regulus.operators import stats as ST
+from regulus.session import cut
 
 STUDIES = ("A", "N", "R")
 CONTRASTS = tuple(S.Contrast(s, (s + "O",), (s + "F",)) for s in STUDIES)
@@ -13,7 +14,8 @@ THRESHOLDS = (0.0, 0.25, 0.5, 1.0)
 
 
 def normalised(t):
-    return S.mean_one(t("v_signal"), ["sample"], "signal", "norm")
+    # means and values both need the signal table, which is itself an aggregation: write it once
+    return S.mean_one(cut(t("v_signal")), ["sample"], "signal", "norm")
 
 
 def lfc_long(t, contrasts=CONTRASTS):

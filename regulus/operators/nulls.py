@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from regulus.plans.ordered import ordered_values
 from regulus.plans.tiling import running_sums
-from regulus.session import cut, spread
+from regulus.session import cut, shuffle_partitions, spread
 
 
 def seeded_hash(seed: Column, ident: Column) -> Column:
@@ -20,10 +21,12 @@ def seeded_hash(seed: Column, ident: Column) -> Column:
 def number_by_hash(df: DataFrame, groups: Sequence[str], key: str, out: str) -> DataFrame:
     """Position (1..n) of each row in md5 order within its group.
 
-    The hash is uniform, so its first two digits cut every group into 256 even tiles without a
-    look at the data; only a one-row count per tile crosses tiles.
+    The hash is uniform, so its leading digits cut every group into even tiles without a look at
+    the data (as many digits as give one tile per shuffle partition); only a one-row count per
+    tile crosses tiles.
     """
-    tiled = (df.withColumn("_tile", F.conv(F.substring(key, 1, 2), 16, 10).cast("long"))
+    digits = max(1, math.ceil(math.log(shuffle_partitions(df.sparkSession), 16)))
+    tiled = (df.withColumn("_tile", F.conv(F.substring(key, 1, digits), 16, 10).cast("long"))
              .withColumn("_one", F.lit(1).cast("long")))
     return running_sums(tiled, groups, key, "_tile", ["_one"]).withColumnRenamed("cum__one", out).drop("_tile", "_one")
 
