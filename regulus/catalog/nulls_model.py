@@ -125,7 +125,7 @@ def _(t):
     df = t("embeddings").select("vec_id", "label", e.alias("fwd"), F.reverse(e).alias("rc"), (truth + (F.col("vec_id") % 7 - 3) / 50.0).alias("target"),
                                 F.when(F.col("label") <= 5, "train").when(F.col("label") <= 7, "stop").otherwise("eval").alias("fold"))
     df = cut(df)
-    w, b, reg = U.fit_head(df, "fwd", "rc", "target", "fold", (0.0, 0.01, 0.1), "label")
+    w, b, reg = U.fit_head(df, "fwd", "rc", "target", "fold", (0.0, 0.01, 0.1))
     scored_rows = df.withColumn("pred", U.linear_score(F.col("fwd"), F.col("rc"), w, b))
     return ST.correlations(scored_rows, ["fold"], "pred", "target").withColumn("penalty", F.lit(float(reg)))
 

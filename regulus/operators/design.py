@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from regulus.operators.stats import rank_sum, welch
 from regulus.plans.ordered import add_average_ranks, ordered_values
-from regulus.session import cut, lookup_join, with_size_hint
+from regulus.session import lookup_join
 
 
 def subtract_baseline(df: DataFrame, baseline: Column, on: Sequence[str], value: str, out: str = "delta") -> DataFrame:
@@ -99,7 +99,7 @@ def top_share(df: DataFrame, by: Sequence[str], value: str, share: float) -> Dat
     """Share of the total carried by the top ``ceil(share * n)`` values, from cumulative counts."""
     ov = ordered_values(df, by, value)
     tot = df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"))
-    j = ov.withColumnRenamed("n", "copies").join(with_size_hint(cut(tot)), list(by))
+    j = lookup_join(ov.withColumnRenamed("n", "copies"), tot, by, "inner")
     k = F.ceil(F.col("n") * share)
     above = F.col("n") - F.col("cum_n")
     taken = F.greatest(F.least(k - above, F.col("copies")), F.lit(0))

@@ -131,13 +131,15 @@ def harmonise(df: DataFrame, source: str, key: str, value: str, registry: DataFr
     rows that meet after renaming are merged by maximum. Adds ``action``."""
     approved = registry.select(F.col(symbol).alias(key)).distinct().withColumn("_live", F.lit(True))
     aliases = alias_table(registry, symbol, olds).withColumnRenamed("old", key)
-    present = df.select(source, F.col(key).alias("target")).distinct().withColumn("_there", F.lit(True))
-    j = (df.join(approved, key, "left").join(aliases, key, "left").join(present, [source, "target"], "left"))
+    # one row per (source, key) before any join: a key with very many rows weighs no more than others
+    per = df.groupBy(source, key).agg(F.max(value).alias(value), F.count(F.lit(1)).alias("_rows"))
+    present = per.select(source, F.col(key).alias("target")).withColumn("_there", F.lit(True))
+    j = (per.join(approved, key, "left").join(aliases, key, "left").join(present, [source, "target"], "left"))
     can = F.col("_live").isNull() & F.col("target").isNotNull()
     action = F.when(can & F.col("_there").isNull(), "renamed").when(can, "collision").otherwise("kept")
     named = j.withColumn("action", action).withColumn("_new", F.when(F.col("action") == "renamed", F.col("target")).otherwise(F.col(key)))
     return (named.groupBy(source, F.col("_new").alias("symbol"))
-            .agg(F.max(value).alias(value), F.count(F.lit(1)).alias("n_merged"), F.max("action").alias("action")))
+            .agg(F.max(value).alias(value), F.sum("_rows").alias("n_merged"), F.max("action").alias("action")))
 
 
 def shared_keys(df: DataFrame, source: str, key: str) -> DataFrame:

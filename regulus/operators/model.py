@@ -9,8 +9,6 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regulus.operators.stats import correlations
-
 
 def dot(x: Column, weights: Sequence[float]) -> Column:
     w = F.array(*[F.lit(float(v)) for v in weights])
@@ -22,8 +20,8 @@ def linear_score(fwd: Column, rc: Column, weights: Sequence[float], bias: float)
     return (dot(fwd, weights) + dot(rc, weights)) / 2 + bias
 
 
-def fit_head(df: DataFrame, fwd: str, rc: str, target: str, fold: str, grid: Sequence[float],
-             group: str) -> tuple[list[float], float, float]:
+def fit_head(df: DataFrame, fwd: str, rc: str, target: str, fold: str,
+             grid: Sequence[float]) -> tuple[list[float], float, float]:
     """Ridge head chosen on the early-stop fold; forward and reverse features are both training rows.
 
     ``fold`` holds train / stop / eval; the eval rows are never touched. Returns weights, bias and
@@ -47,10 +45,6 @@ def fit_head(df: DataFrame, fwd: str, rc: str, target: str, fold: str, grid: Seq
     return best[1], best[2], best[3]
 
 
-def score_groups(df: DataFrame, groups: Sequence[str], pred: str, measured: str) -> DataFrame:
-    return correlations(df, groups, pred, measured)
-
-
 def gates(df: DataFrame, groups: Sequence[str], pred: str, measured: str, min_ratio: float) -> DataFrame:
     """Signed-output and collapse gates: predictions must have both signs and enough spread."""
     g = df.groupBy(*groups).agg(F.count(pred).alias("n"), (F.count_if(F.col(pred) < 0) / F.count(pred)).alias("frac_negative"),

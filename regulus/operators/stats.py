@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regulus.operators.signal import Contrast
-from regulus.plans.ordered import add_average_ranks, exact_percentiles, ordered_values, value_edges
-from regulus.session import cut, lookup_join, spread, with_size_hint
+from regulus.plans.ordered import add_average_ranks, exact_percentiles, ordered_values
+from regulus.session import cut, lookup_join, spread
 
 
 def safe_corr(x: str | Column, y: str | Column) -> Column:
@@ -124,7 +124,7 @@ def roc_points(df: DataFrame, groups: Sequence[str], score: str, positive: Colum
     rows = df.where(F.col(score).isNotNull()).withColumn("_pos", positive.cast("long"))
     ov = ordered_values(rows, groups, score, ["_pos"])
     tot = rows.groupBy(*groups).agg(F.sum("_pos").alias("_p"), F.count(F.lit(1)).alias("_n"))
-    j = ov.join(with_size_hint(cut(tot)), groups)
+    j = lookup_join(ov, tot, groups, "inner")
     tp = F.col("_p") - F.col("cum__pos") + F.col("_pos")
     at_or_above = F.col("_n") - F.col("cum_n") + F.col("n")
     return j.select(*groups, F.col(score).alias("threshold"), (tp / F.col("_p")).alias("tpr"),
@@ -154,7 +154,3 @@ def welch(df: DataFrame, groups: Sequence[str], value: str, side: Column) -> Dat
                                      (F.pow(e1, 2) / (F.col("n1") - 1) + F.pow(e0, 2) / (F.col("n0") - 1))))
             .drop("_v1", "_v0"))
 
-
-__all__ = ["add_average_ranks", "anova_r2", "auc_block", "concordance", "correlations", "exact_percentiles",
-           "pair_thresholds", "quantile_buckets", "rank_sum", "roc_points", "safe_corr",
-           "threshold_correlations", "value_edges", "welch"]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regulus.plans.tiling import running_sums
-from regulus.session import BROADCAST_ROWS, cut, shuffle_partitions, with_size_hint
+from regulus.session import BROADCAST_BYTES, BROADCAST_ROWS, cut, lookup_join, salted_join, shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -25,13 +25,20 @@ class Edges:
     table: DataFrame
     groups: tuple[str, ...]
     depth: int
+    bounded: bool
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """Edges to every row: broadcast when counted as small, else a join that salts hot groups."""
+        if self.bounded:
+            return df.join(F.broadcast(self.table), list(self.groups))
+        return salted_join(df, self.table, self.groups)
 
     def tag(self, df: DataFrame, value: str, tile: str) -> DataFrame:
         """Add ``tile`` = number of edges below the value, by a binary search of ``depth`` steps.
 
         Each step is a plain projection, so the whole search stays inside generated code.
         """
-        out = df.join(self.table, list(self.groups)).withColumn(tile, F.lit(0))
+        out = self.attach(df).withColumn(tile, F.lit(0))
         for d in range(self.depth - 1, -1, -1):
             probe = F.get(F.col("_edges"), F.col(tile) + (2**d - 1))
             out = out.withColumn(tile, F.col(tile) + F.when(probe < F.col(value), 2**d).otherwise(0))
@@ -54,8 +61,10 @@ def value_edges(df: DataFrame, groups: Sequence[str], *values: str,
             lambda s: s["m"] > 1)
         out.append(sketches.where(F.col(v).isNotNull()).select(
             *groups, F.col(v).alias("_edges"), F.map_from_entries(repeated).alias("_hot")))
-    bounded = sketches.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return [Edges(F.broadcast(e) if bounded else e, tuple(groups), depth) for e in out]
+    # a row carries k edges, so the bound on rows follows from a bound on bytes
+    limit = min(BROADCAST_ROWS, BROADCAST_BYTES // (8 * k))
+    bounded = sketches.limit(limit + 1).count() <= limit
+    return [Edges(e, tuple(groups), depth, bounded) for e in out]
 
 
 def ordered_values(df: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str] = (),
@@ -112,7 +121,7 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str,
     groups = list(groups)
     ov = ordered_values(df, groups, value)
     totals = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("_total"))
-    joined = ov.join(with_size_hint(cut(totals)), groups)
+    joined = lookup_join(ov, totals, groups, "inner")
     aggs = []
     for i, p in enumerate(probs):
         at = (F.col("_total") - 1) * F.lit(float(p))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # A derived lookup table is broadcast only when it is known to hold at most this many rows.
 BROADCAST_ROWS = 200_000
+# Tables with long array columns are held to a size in bytes instead.
+BROADCAST_BYTES = 64 * 1024 * 1024
 # A join key with more rows than this on the large side is split over several salts.
 HOT_ROWS = 2_000_000
 

@@ -113,17 +113,15 @@ def read_entity_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def entities_from_blocks(blocks: DataFrame, kind: str) -> DataFrame:
     """Blocks of one entity kind to (entity, key, values): repeated keys keep their order."""
-    block = F.regexp_replace("value", r"^\^", "")
-    lines = F.split(block, "\n")
-    head = F.regexp_extract(F.get(lines, F.lit(0)), r"^(\w+) = (.*)$", 1)
-    name = F.regexp_extract(F.get(lines, F.lit(0)), r"^(\w+) = (.*)$", 2)
-    rows = (blocks.where(head == kind).select(name.alias("entity"), F.posexplode(lines).alias("_i", "_line"))
-            .where(F.col("_line").startswith("!"))
-            .select("entity", "_i", F.regexp_extract("_line", r"^!(\S+) = ?(.*)$", 1).alias("key"),
-                    F.regexp_extract("_line", r"^!(\S+) = ?(.*)$", 2).alias("v")))
-    # a block's lines stay together: one block is one entity's few dozen lines
-    return (rows.groupBy("entity", "key").agg(F.sort_array(F.collect_list(F.struct("_i", "v"))).alias("_v"))
-            .select("entity", "key", F.transform("_v", lambda x: x["v"]).alias("values")))
+    lines = F.split(F.regexp_replace("value", r"^\^", ""), "\n")
+    first = F.get(lines, F.lit(0))
+    pairs = F.transform(F.filter(lines, lambda x: x.startswith("!")), lambda x: F.struct(
+        F.regexp_extract(x, r"^!(\S+) = ?(.*)$", 1).alias("key"), F.regexp_extract(x, r"^!(\S+) = ?(.*)$", 2).alias("v")))
+    rows = blocks.where(F.regexp_extract(first, r"^(\w+) = (.*)$", 1) == kind).select(
+        F.regexp_extract(first, r"^(\w+) = (.*)$", 2).alias("entity"), pairs.alias("_p"))
+    # everything happens inside the block's own row, so blocks that share a name never meet
+    keys = rows.select("entity", "_p", F.explode(F.array_distinct(F.transform("_p", lambda x: x["key"]))).alias("key"))
+    return keys.select("entity", "key", F.transform(F.filter("_p", lambda x: x["key"] == F.col("key")), lambda x: x["v"]).alias("values"))
 
 
 EXPERIMENT_SCHEMA = T.StructType([
