@@ -56,15 +56,15 @@ def _(t):
     return t("v_seqs").select("region_id", Q.reverse_complement(F.col("seq")).alias("rc"))
 
 
-BASES = "c as (select lang motif, pos, substr(seq, pos::int, 1) base, count(*) n from (select lang, seq, unnest(range(1, 11)) pos from v_seqs join documents on doc_id = region_id) group by 1, 2, 3)"
+BASES = "c as (select lang motif, pos, substr(seq, pos::int, 1) base, count(*) n from (select lang, seq, unnest(range(1, length(seq) + 1)) pos from v_seqs join documents on doc_id = region_id) group by 1, 2, 3)"
 BGSQL = "case base when 'A' then 0.295 when 'T' then 0.295 else 0.205 end"
 PWM = f"{BASES}, w as (select motif, pos, base, log2((n + 0.25) / sum(n + 0.25) over (partition by motif, pos) / {BGSQL}) w from c)"
 
 
 def counts(t):
     s = t("v_seqs").join(t("documents").select(F.col("doc_id").alias("region_id"), F.col("lang").alias("motif")), "region_id")
-    return (s.select("motif", "seq", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("pos"))
-            .groupBy("motif", F.col("pos").cast("long").alias("pos"), F.substring("seq", F.col("pos"), F.lit(1)).alias("base")).agg(F.count(F.lit(1)).alias("n")))
+    return (s.select("motif", F.posexplode(F.split("seq", "")).alias("i", "base"))
+            .groupBy("motif", (F.col("i") + 1).cast("long").alias("pos"), "base").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("f03_weights_from_counts", "F3", f"with {PWM} select motif, pos, base, round(w, 6) + 0.0 w from w", VS)

@@ -44,8 +44,9 @@ def shuffle_within(df: DataFrame, groups: Sequence[str], ident: str, value: str,
     place = ordered_values(df, groups, ident).select(*groups, ident, F.col("cum_n").alias("_i"))
     drawn = df.select(*groups, ident, value, seed).withColumn("_key", seeded_hash(F.col("seed"), F.col(ident)))
     drawn = number_by_hash(drawn.select(*groups, "seed", "_key", value), [*groups, "seed"], "_key", "_i")
-    receivers = df.join(place, [*groups, ident]).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    return receivers.join(drawn.select(*groups, "seed", "_i", F.col(value).alias(out)), [*groups, "seed", "_i"]).drop("_i")
+    # each position has one receiver, which meets one drawn value per seed: only the drawn side is multiplied
+    receivers = df.join(place, [*groups, ident])
+    return drawn.select(*groups, "seed", "_i", F.col(value).alias(out)).join(receivers, [*groups, "_i"]).drop("_i")
 
 
 def empirical_p(null: DataFrame, real: DataFrame, stat: str, by: Sequence[str]) -> DataFrame:
