@@ -310,7 +310,7 @@ def _(t):
  d as (select distinct contig, s, e from r)
 select contig, (select count(*) from r where r.contig = d.contig) n_raw, count(*) n_distinct,
  round((select count(*) from r where r.contig = d.contig) / count(*), 6) duplication,
- quantile_cont(e - s, 0.05) w05, quantile_cont(e - s, 0.5) w50, quantile_cont(e - s, 0.95) w95 from d group by contig""", V)
+ round(quantile_cont(e - s, 0.05), 6) w05, round(quantile_cont(e - s, 0.5), 6) w50, round(quantile_cont(e - s, 0.95), 6) w95 from d group by contig""", V)
 def _(t):
     raw = t("v_intervals").select("contig", (F.col("s") - F.col("s") % 5000).alias("s0"), (F.col("e") - F.col("s")).alias("w"))
     raw = raw.select("contig", "s0", (F.col("s0") + F.col("w") - F.col("w") % 100 + 100).alias("e0"))
@@ -318,7 +318,7 @@ def _(t):
     q = exact_percentiles(d, ["contig"], "width", [0.05, 0.5, 0.95])
     return (d.groupBy("contig").agg(F.sum("n").alias("n_raw"), F.count(F.lit(1)).alias("n_distinct"),
                                     rd(F.sum("n") / F.count(F.lit(1))).alias("duplication")).join(q, "contig")
-            .select("contig", "n_raw", "n_distinct", "duplication", F.col("q0").alias("w05"), F.col("q1").alias("w50"), F.col("q2").alias("w95")))
+            .select("contig", "n_raw", "n_distinct", "duplication", rd("q0").alias("w05"), rd("q1").alias("w50"), rd("q2").alias("w95")))
 
 
 @query("t01_union_all_segments", "T1", f"with {sweep(2)} select contig, s, e, 'segment' kind from seg union all select contig, s, e, 'raw' from v_intervals", V)

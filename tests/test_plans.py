@@ -184,3 +184,27 @@ def test_salted_join_keeps_every_row(spark):
     assert got.count() == 500 and got.where("name = 'hot'").count() == 167 and got.where("name = 'one'").count() == 1
     with pytest.raises(ValueError):
         salted_join(big, small, ["k"], "right")
+
+
+def test_paths_beyond_the_broadcast_bound(spark, monkeypatch):
+    import regulus.plans.ordered as ordered
+    import regulus.session as session
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ordered, "BROADCAST_BYTES", 0)
+    rows = [("a", i, 7.0 if i % 3 == 0 else float(i)) for i in range(200)] + [("b", 500 + i, float(i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, id long, x double")
+    got = {r.id: r.rx for r in add_average_ranks(df, ["g"], {"x": "rx"}).collect()}
+    for g in "ab":
+        part = [r for r in rows if r[0] == g]
+        assert [got[r[1]] for r in part] == average_ranks([r[2] for r in part])
+    small = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    joined = session.lookup_join(df, small, ["g"], "left", max_rows=0)
+    assert joined.count() == 220 and joined.where("g = 'a' and n = 200").count() == 200
+
+
+def test_checkpoint_folder_is_read_from_the_session(spark):
+    from regulus.session import cut, ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    before = spark.sparkContext.getCheckpointDir()
+    assert cut(spark.range(5)).count() == 5 and spark.sparkContext.getCheckpointDir() == before
+    assert cut(spark.range(0)).schema == spark.range(0).schema
