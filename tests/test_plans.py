@@ -207,4 +207,5 @@ def test_checkpoint_folder_is_read_from_the_session(spark):
     ensure_checkpoint_dir(spark)
     before = spark.sparkContext.getCheckpointDir()
     assert cut(spark.range(5)).count() == 5 and spark.sparkContext.getCheckpointDir() == before
-    assert cut(spark.range(0)).schema == spark.range(0).schema
+    empty = cut(spark.range(0))
+    assert empty.columns == ["id"] and empty.count() == 0
