@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.llm import language
+from regulus.llm import language, mixing, quality
+from regulus.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +33,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fitted(docs, ~language.held_out())
     out = language.predict(docs, model)
     return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@_query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    q = quality.assess(docs).select("doc_id", "quality.*")
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                    "n_lost_words")
+
+
+@_query("op7_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    sizes = cut(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
+    rows = mixing.plan(sizes, F.col("size"))
+    first = F.when(F.col("_mix_copies") > 0, mixing.position(F.lit(0)))
+    return (rows.select("doc_id", "size", F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"),
+                        (F.col("_mix_copies") * F.col("size")).alias("taken"), first.alias("position"))
+            .repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id"))
