@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.llm import language, mixing, quality
+from regulus.llm import language, mixing, quality, toxicity
 from regulus.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (rows.select("doc_id", "size", F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"),
                         (F.col("_mix_copies") * F.col("size")).alias("taken"), first.alias("position"))
             .repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id"))
+
+
+@_query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(toxicity.sample(docs, labels, ~toxicity.held_out()))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                      F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
