@@ -152,8 +152,8 @@ def train(texts: list[tuple[str, int]], max_features: int = 4000, rounds: int =
     odds = np.log((on + 0.3) / (y.sum() + 0.6)) - np.log((off + 0.3) / (len(y) - y.sum() + 0.6))
     # a feature counts when it stands out by more than chance in enough different texts
     strength = np.abs(odds) * np.sqrt(on + off)
-    # and, if it speaks for toxic, when most of the texts that hold it are toxic
-    chosen = np.flatnonzero((on + off >= 5) & (strength > 5) & ((odds < 0) | (on >= off)))
+    # and, if it speaks for toxic, when three of four texts that hold it are toxic
+    chosen = np.flatnonzero((on + off >= 5) & (strength > 5) & ((odds < 0) | (on >= 3 * off)))
     chosen = np.sort(chosen[np.argsort(-strength[chosen], kind="stable")[:max_features]])
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
