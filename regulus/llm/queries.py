@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.llm import language, mixing, quality, toxicity
+from regulus.llm import language, mixing, quality, topk, toxicity
 from regulus.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(docs, model)
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score",
                       F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+@_query("op3_topk", """
+with v as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)) f from embeddings
+           where embedding is not null and len(embedding) > 0
+             and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.f, c.f)::bigint score
+      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.f) = len(c.f)),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int "rank", vec_id, score from s)
+select * from r where "rank" <= 5""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
