@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.llm import language, mixing, quality, topk, toxicity
+from regulus.llm import language, mixing, packing, quality, topk, toxicity
 from regulus.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,9 @@ r as (select query_id, row_number() over (partition by query_id order by score d
 select * from r where "rank" <= 5""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@_query("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.packed_documents(_table(spark, sf_dir, "documents"), packing.vocabulary_path("word_bpe_49k.json"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap")
