@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.llm import language, mixing, packing, quality, topk, toxicity
+from regulus.llm import language, licenses, mixing, packing, quality, topk, toxicity
 from regulus.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.packed_documents(_table(spark, sf_dir, "documents"), packing.vocabulary_path("word_bpe_49k.json"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap")
+
+
+@_query("op9_licenses")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
