@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.llm import language, licenses, mixing, packing, quality, topk, toxicity
+from regulus.llm import language, licenses, mixing, packing, pii, quality, topk, toxicity
 from regulus.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_licenses")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+@_query("op1_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fitted(docs))
