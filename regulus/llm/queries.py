@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.llm import jaccard, language, licenses, mixing, packing, pii, quality, topk, toxicity
+from regulus.llm import jaccard, language, licenses, mixing, packing, pii, quality, suffix, topk, toxicity
 from regulus.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_jaccard")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf_dir, "documents"), percent=75, k=5)
+
+
+@_query("op10_suffix")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal(_table(spark, sf_dir, "documents"), span=200)
