@@ -240,9 +240,10 @@ def _(t):
                                                  rd(F.max(F.abs("v"))).alias("max_abs"), rd(F.max("v")).alias("max_v"))
 
 
-REMAP = """m as (select point_id, p.contig, pos, min(block_id) block_id, min_by(case when strand = '-' then dst_start + (src_end - src_start) - 1 - (pos - src_start)
-   else dst_start + pos - src_start end, block_id) mapped from v_points p left join v_blocks b
-   on b.src_contig = p.contig and b.dst_contig = p.contig and pos >= src_start and pos < src_end group by 1, 2, 3)"""
+REMAP = """m as (select point_id, contig, pos, case when d = contig then block_id end block_id, case when d = contig then moved end mapped from (
+ select point_id, p.contig, pos, min(block_id) block_id, min_by(dst_contig, block_id) d, min_by(case when strand = '-' then dst_start + (src_end - src_start) - 1 - (pos - src_start)
+   else dst_start + pos - src_start end, block_id) moved from v_points p left join v_blocks b
+   on b.src_contig = p.contig and pos >= src_start and pos < src_end group by 1, 2, 3))"""
 
 
 @query("j06_coordinate_remap", "J6", f"with {REMAP} select point_id, pos, mapped, block_id from m", ("v_points", "v_blocks"))
@@ -259,9 +260,9 @@ def _(t):
 
 @query("j07_span_integrity", "J7", """with q as (select point_id, contig, pos a, pos + 999 b from v_points),
  ends as (select point_id, contig, a pos, 0 side from q union all select point_id, contig, b, 1 from q),
- m as (select point_id, side, min_by(case when strand = '-' then dst_start + (src_end - src_start) - 1 - (pos - src_start)
-   else dst_start + pos - src_start end, block_id) mapped from ends p join v_blocks b
-   on b.src_contig = p.contig and b.dst_contig = p.contig and pos >= src_start and pos < src_end group by 1, 2),
+ m as (select point_id, side, case when min_by(dst_contig, block_id) = any_value(p.contig) then min_by(case when strand = '-' then dst_start + (src_end - src_start) - 1 - (pos - src_start)
+   else dst_start + pos - src_start end, block_id) end mapped from ends p join v_blocks b
+   on b.src_contig = p.contig and pos >= src_start and pos < src_end group by 1, 2),
  w as (select point_id, max(mapped) filter (side = 0) x, max(mapped) filter (side = 1) y from m group by 1)
 select (select count(*) from q) n, count(*) filter (x is not null and y is not null) both_mapped,
  count(*) filter (abs(abs(y - x) - 999) <= 50) span_kept from w""", ("v_points", "v_blocks"))

@@ -13,7 +13,7 @@ N_PERM = 200
 SEEDS = tuple(range(N_PERM))
 
 
-@query("w09_seeded_shuffle", "W9", """with b as (select *, row_number() over (partition by source order by doc_id) i from v_scores),
+@query("w09_seeded_shuffle", "W9", """with b as (select *, row_number() over (partition by source order by md5(doc_id::varchar)) i from v_scores),
  s as (select source, seed, score, row_number() over (partition by source, seed order by md5(seed::varchar || '-' || doc_id::varchar)) i from v_scores, range(0, 3) r(seed))
 select b.source, b.doc_id, s.seed::int seed, s.score shuffled from b join s on b.source = s.source and b.i = s.i""", ("v_scores",))
 def _(t):
@@ -29,7 +29,7 @@ def scored(t):
 
 NULLSQL = f"""sc as (select doc_id, case when doc_id % 2 = 0 then 'even' else 'odd' end fold, score, y * 2.0 + toxic measured from v_scores),
  k as (select *, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 rx, rank() over (order by measured) + (count(*) over (partition by measured) - 1) / 2.0 ry,
-   row_number() over (partition by fold order by doc_id) i from sc),
+   row_number() over (partition by fold order by md5(doc_id::varchar)) i from sc),
  s as (select fold, seed, ry, row_number() over (partition by fold, seed order by md5(seed::varchar || '-' || doc_id::varchar)) i from k, range(0, {N_PERM}) r(seed)),
  nul as (select seed, corr(k.rx, s.ry) rho from k join s on k.fold = s.fold and k.i = s.i group by 1), real as (select corr(rx, ry) rho from k)"""
 
@@ -53,7 +53,7 @@ def permutation_null(rows, seeds=SEEDS):
 
 
 @query("a46_permutation_auc_null", "A46", f"""with b as (select doc_id, source, score, y, rank() over (partition by source order by score) + (count(*) over (partition by source, score) - 1) / 2.0 k,
-   row_number() over (partition by source order by doc_id) i from v_scores),
+   row_number() over (partition by source order by md5(doc_id::varchar)) i from v_scores),
  s as (select source, seed, y, row_number() over (partition by source, seed order by md5(seed::varchar || '-' || doc_id::varchar)) i from b, range(0, {N_PERM}) r(seed)),
  n as (select b.source, seed, sum(b.k * s.y) - sum(s.y) * (sum(s.y) + 1) / 2.0 u from b join s on b.source = s.source and b.i = s.i group by 1, 2),
  r as (select source, sum(k * y) - sum(y) * (sum(y) + 1) / 2.0 u from b group by 1)

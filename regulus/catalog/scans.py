@@ -144,11 +144,11 @@ def _(t):
     return R.classify_files(f, "name", "expected", "actual").select("name", "kind", "sample_id", "size_mismatch")
 
 
-@query("s12_log_metrics", "S12", """select 'part' || p_partkey as name, round((p_size - 25) / 50.0, 2) + 0.0 rho, (p_retailprice * 10000)::bigint n from part where p_size % 5 <> 0""")
+@query("s12_log_metrics", "S12", """select 'part ' || p_partkey || ' vs base (shared denom)' as name, round((p_size - 25) / 50.0, 2) + 0.0 rho, (p_retailprice * 10000)::bigint n from part where p_size % 5 <> 0""")
 def _(t):
     rho = F.format_string("%+.2f", F.round((F.col("p_size") - 25) / 50.0, 2))
     n = F.format_number((F.col("p_retailprice") * 10000).cast("double"), 0)
-    full = F.concat(F.lit("  [12:00] part"), F.col("p_partkey").cast("string"), F.lit("   rho "), rho, F.lit("  n="), n)
+    full = F.concat(F.lit("  part "), F.col("p_partkey").cast("string"), F.lit(" vs base (shared denom)   rho "), rho, F.lit("  n="), n)
     lines = t("part").select(F.when(F.col("p_size") % 5 == 0, F.lit("step done, nothing measured")).otherwise(full).alias("value"))
     return R.metrics_from_logs(lines).withColumn("rho", rd("rho"))
 

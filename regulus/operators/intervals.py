@@ -130,17 +130,20 @@ def remap(points: DataFrame, blocks: DataFrame, ident: str, contig: str, pos: st
           width: int = 16_384) -> DataFrame:
     """Map points through (src_contig, src_start, src_end, dst_contig, dst_start, strand, block_id).
 
-    Only a hit on the same contig counts; of several blocks the lowest ``block_id`` wins; points
-    without a hit get NULL.
+    The first hit alone counts: the block with the lowest ``block_id`` (or the highest ``score`` before
+    that, where the block table has one). If it lies on another contig the point gets NULL, as do points
+    without a hit.
     """
     named = blocks.withColumnRenamed("src_contig", contig)
     hits = point_join(points.select(ident, contig, pos), named, [contig], pos, ("src_start", "src_end"), width)
     offset = F.col(pos) - F.col("src_start")
     span = F.col("src_end") - F.col("src_start")
     moved = F.when(F.col("strand") == "-", F.col("dst_start") + span - 1 - offset).otherwise(F.col("dst_start") + offset)
-    best = (hits.where(F.col("dst_contig") == F.col(contig)).withColumn("_to", moved)
-            .groupBy(ident).agg(F.min(F.struct("block_id", "_to")).alias("_b"))
-            .select(ident, F.col("_b._to").alias("mapped"), F.col("_b.block_id").alias("block_id")))
+    rank = -F.col("score") if "score" in blocks.columns else F.lit(0)
+    home = F.col("dst_contig") == F.col(contig)
+    best = (hits.withColumn("_to", F.when(home, moved)).withColumn("_by", F.when(home, F.col("block_id")))
+            .groupBy(ident).agg(F.min(F.struct(rank.alias("r"), F.col("block_id"), F.col("_to"), F.col("_by"))).alias("_b"))
+            .select(ident, F.col("_b._to").alias("mapped"), F.col("_b._by").alias("block_id")))
     return points.join(best, ident, "left")
 
 

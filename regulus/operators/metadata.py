@@ -102,9 +102,16 @@ def corrupted_key(c: Column) -> Column:
     return c.rlike(r"^\d{4}-\d{2}-\d{2}")
 
 
-def unanimous(field: Column, sep: str) -> Column:
-    """The single value of a multi-valued field, NULL when its parts differ."""
-    parts = F.array_distinct(F.filter(F.transform(F.split(field, sep), lambda x: F.trim(x)), lambda x: x != ""))
+def unanimous(field: Column, sep: str, sub: tuple[str, int] | None = None, placeholders: Sequence[str] = ("",)) -> Column:
+    """The single value of a multi-valued field, NULL when its parts differ.
+
+    ``sub`` = (separator, index) compares one sub-field of each part; parts that are a placeholder or lack
+    that sub-field do not count.
+    """
+    def value(x: Column) -> Column:
+        return F.trim(x) if sub is None else F.coalesce(F.trim(F.get(F.split(x, sub[0]), F.lit(sub[1]))), F.lit(placeholders[0]))
+
+    parts = F.array_distinct(F.filter(F.transform(F.split(field, sep), value), lambda x: ~x.isin(*placeholders)))
     return F.when(F.size(parts) == 1, F.get(parts, F.lit(0)))
 
 

@@ -14,7 +14,8 @@ from regulus.functions.sequence import BACKGROUND
 
 _CODE = np.full(256, 4, dtype=np.uint8)
 for _i, _b in enumerate(b"ACGT"):
-    _CODE[_b] = _i
+    # soft-masked (lower-case) bases count like others
+    _CODE[_b] = _CODE[_b + 32] = _i
 # a partition's sequences are scanned in stretches of about this many bases
 STRETCH = 4_000_000
 
@@ -106,7 +107,8 @@ def scan_hits(seqs: DataFrame, ident: str, motifs: Sequence[Motif], cutoff: floa
 def scan_best(seqs: DataFrame, ident: str, motifs: Sequence[Motif], cutoffs: Sequence[float]) -> DataFrame:
     """Per region and motif: best score over both strands, its first position, counts per cutoff.
 
-    A region without a usable window has NULL score and zero counts.
+    The better strand counts at each position, so a palindromic site is one site. A region without a
+    usable window (also one with NULL or empty sequence) has NULL score and zero counts.
     """
     pad = max(m.length for m in motifs)
     names = [f"n_{int(round(c * 100))}" for c in cutoffs]
@@ -127,18 +129,26 @@ def scan_best(seqs: DataFrame, ident: str, motifs: Sequence[Motif], cutoffs: Seq
                                         "best_pos": pd.array(where[first] - starts, dtype="Int64")})
                     out.loc[best < 0, ["best_rel", "best_pos"]] = None
                     for c, name in zip(cutoffs, names):
-                        out[name] = np.add.reduceat((fwd >= c).astype(np.int64) + (rev >= c), cuts)
+                        out[name] = np.add.reduceat((both >= c).astype(np.int64), cuts)
                     yield out
 
     kind = seqs.schema[ident].dataType.simpleString()
     ddl = f"{ident} {kind}, motif string, best_rel double, best_pos long, " + ", ".join(f"{n} long" for n in names)
-    return seqs.select(ident, "seq").where("length(seq) > 0").mapInPandas(scan, ddl)
+    found = seqs.select(ident, "seq").where("length(seq) > 0").mapInPandas(scan, ddl)
+    bare = (seqs.where("seq is null or length(seq) = 0").select(ident, F.explode(F.array(*[F.lit(m.name) for m in motifs])).alias("motif"))
+            .select(ident, "motif", F.lit(None).cast("double").alias("best_rel"), F.lit(None).cast("long").alias("best_pos"),
+                    *[F.lit(0).cast("long").alias(n) for n in names]))
+    return found.unionByName(bare)
 
 
 def hit_rates(hits: DataFrame, regions: DataFrame, ident: str, motifs: Sequence[str],
               cutoffs: Sequence[float]) -> DataFrame:
-    """Per motif and cutoff: regions with a hit, their fraction and the mean hits over all regions."""
-    per = (hits.withColumn("cutoff", F.explode(F.filter(F.array(*[F.lit(float(c)) for c in cutoffs]), lambda c: F.col("rel") >= c)))
+    """Per motif and cutoff: regions with a hit, their fraction and the mean hits over all regions.
+
+    A position counts once, with its better strand.
+    """
+    sites = hits.groupBy(ident, "motif", "start").agg(F.max("rel").alias("rel"))
+    per = (sites.withColumn("cutoff", F.explode(F.filter(F.array(*[F.lit(float(c)) for c in cutoffs]), lambda c: F.col("rel") >= c)))
            .groupBy("motif", "cutoff").agg(F.count_distinct(ident).alias("n_regions"), F.count(F.lit(1)).alias("n_hits")))
     total = regions.agg(F.count(F.lit(1)).alias("total"))
     grid = total.select("total", F.explode(F.array(*[F.lit(m) for m in motifs])).alias("motif")).select(

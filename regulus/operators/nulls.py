@@ -8,9 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regulus.plans.ordered import ordered_values
 from regulus.plans.tiling import running_sums
-from regulus.session import cut, shuffle_partitions, spread
+from regulus.session import cut, keyed_join, shuffle_partitions, spread, with_size_hint
 
 
 def seeded_hash(seed: Column, ident: Column) -> Column:
@@ -35,18 +34,18 @@ def shuffle_within(df: DataFrame, groups: Sequence[str], ident: str, value: str,
                    out: str = "shuffled") -> DataFrame:
     """``len(seeds)`` permutations of ``value`` within ``groups`` in one job.
 
-    Row i (in id order) receives the value of the i-th row in md5 order of the seed.
+    Row i (in md5 order of the id alone) receives the value of the i-th row in md5 order of the seed, so
+    ids may be of any type: strings, decimals, longs beyond 2^53.
     """
     groups = list(groups)
     df = spread(df, ident)
     seed = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
-    # unique ids: their position is their cumulative count
-    place = ordered_values(df, groups, ident).select(*groups, ident, F.col("cum_n").alias("_i"))
+    receivers = number_by_hash(df.withColumn("_key", F.md5(F.col(ident).cast("string"))), groups, "_key", "_i").drop("_key")
     drawn = df.select(*groups, ident, value, seed).withColumn("_key", seeded_hash(F.col("seed"), F.col(ident)))
     drawn = number_by_hash(drawn.select(*groups, "seed", "_key", value), [*groups, "seed"], "_key", "_i")
     # each position has one receiver, which meets one drawn value per seed: only the drawn side is multiplied
-    receivers = df.join(place, [*groups, ident])
-    return drawn.select(*groups, "seed", "_i", F.col(value).alias(out)).join(receivers, [*groups, "_i"]).drop("_i")
+    drawn = drawn.select(*groups, "seed", "_i", F.col(value).alias(out))
+    return keyed_join(drawn, receivers, [*groups, "_i"]).drop("_i")
 
 
 def empirical_p(null: DataFrame, real: DataFrame, stat: str, by: Sequence[str]) -> DataFrame:
@@ -54,7 +53,7 @@ def empirical_p(null: DataFrame, real: DataFrame, stat: str, by: Sequence[str])
 
     ``null`` has one row per permutation and ``real`` one row per condition.
     """
-    j = null.join(real.withColumnRenamed(stat, "real"), list(by))
+    j = keyed_join(null, real.withColumnRenamed(stat, "real"), by)
     g = j.groupBy(*by).agg(F.first("real").alias("real"), F.count(stat).alias("n_perm"), F.avg(stat).alias("null_mean"),
                            F.stddev_samp(stat).alias("null_sd"), F.min(stat).alias("null_min"), F.max(stat).alias("null_max"),
                            F.count_if(F.col(stat) >= F.col("real")).alias("n_beating"))
@@ -62,13 +61,19 @@ def empirical_p(null: DataFrame, real: DataFrame, stat: str, by: Sequence[str])
             .withColumn("p_floor", 1 / (F.col("n_perm") + 1)))
 
 
+MOST_SAMPLES = 24
+
+
 def label_partitions(df: DataFrame, n: int, k: int) -> DataFrame:
     """All C(n, k) ways to label n samples, as bit masks attached to every row of ``df``.
 
-    The masks are an expression over ``sequence(0, 2^n - 1)``: n is a sample count, at most about 20.
+    The masks are a distributed range; n is a number of samples and may be at most ``MOST_SAMPLES``.
+    ``df`` has one row per sample and condition.
     """
-    masks = F.filter(F.sequence(F.lit(0), F.lit(2**n - 1)), lambda m: F.bit_count(m) == k)
-    return df.withColumn("mask", F.explode(masks))
+    if not 0 < n <= MOST_SAMPLES:
+        raise ValueError(f"an exhaustive null over {n} samples has 2^{n} masks; at most {MOST_SAMPLES} samples are enumerated")
+    masks = df.sparkSession.range(2**n).where(F.bit_count("id") == k).select(F.col("id").alias("mask"))
+    return masks.withColumn("_one", F.lit(1)).join(with_size_hint(df.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def exact_null(rows: DataFrame, index: str, value: str, by: Sequence[str], n: int, k: int, real_mask: int) -> DataFrame:

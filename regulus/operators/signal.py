@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regulus.plans.range_join import overlap_join
-from regulus.session import lookup_join
+from regulus.session import keyed_join, lookup_join
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def distribution(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def centre_within(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Subtract the mean of each small unit (for example a region within a study)."""
     means = df.groupBy(*by).agg(F.avg(value).alias("_mean"))
-    return df.join(means, list(by)).withColumn(out, F.col(value) - F.col("_mean")).drop("_mean")
+    return keyed_join(df, means, by).withColumn(out, F.col(value) - F.col("_mean")).drop("_mean")
 
 
 def centre_arm_balanced(df: DataFrame, by: Sequence[str], arm: str, on: str, off: str, value: str,
@@ -89,7 +89,7 @@ def centre_arm_balanced(df: DataFrame, by: Sequence[str], arm: str, on: str, off
                               F.avg(F.when(F.col(arm) == off, F.col(value))).alias("_off"),
                               F.avg(value).alias("_all"))
     mid = mid.select(*by, F.coalesce(0.5 * (F.col("_on") + F.col("_off")), F.col("_all")).alias("_mid"))
-    return df.join(mid, list(by)).withColumn(out, F.col(value) - F.col("_mid")).drop("_mid")
+    return keyed_join(df, mid, by).withColumn(out, F.col(value) - F.col("_mid")).drop("_mid")
 
 
 def equalise_scale(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:

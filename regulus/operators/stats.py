@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from regulus.operators.signal import Contrast
 from regulus.plans.ordered import add_average_ranks, exact_percentiles, ordered_values
-from regulus.session import cut, lookup_join, spread
+from regulus.session import cut, keyed_join, lookup_join, spread
 
 
 def safe_corr(x: str | Column, y: str | Column) -> Column:
@@ -83,9 +83,11 @@ def anova_r2(df: DataFrame, by: Sequence[str], label: str, value: str) -> DataFr
                     .otherwise(0.0).alias("r2")))
 
 
-def rank_sum(df: DataFrame, groups: Sequence[str], value: str, positive: Column) -> DataFrame:
+def rank_sum(df: DataFrame, groups: Sequence[str], value: str, positive: Column, continuity: float = 0.0) -> DataFrame:
     """Mann-Whitney U of the positive rows, AUC and the tie-corrected normal z, from value counts.
 
+    ``continuity`` (0.5 for the usual correction) moves U towards its mean before it is scaled.
+
     No row is ranked one by one: the distinct-value table already carries counts and running counts.
     """
     groups = list(groups)
@@ -98,10 +100,11 @@ def rank_sum(df: DataFrame, groups: Sequence[str], value: str, positive: Column)
     n1, n = F.col("n_pos").cast("double"), F.col("n").cast("double")
     n0 = n - n1
     u = F.col("_r") - n1 * (n1 + 1) / 2
+    off = u - n1 * n0 / 2
     var = n1 * n0 / 12 * (n + 1 - F.col("_ties") / F.when(n > 1, n * (n - 1)))
     return (agg.withColumn("n_neg", F.col("n") - F.col("n_pos"))
             .withColumn("u", u).withColumn("auc", F.when((n1 > 0) & (n0 > 0), u / F.when(n1 * n0 > 0, n1 * n0)))
-            .withColumn("z", F.when(var > 0, (u - n1 * n0 / 2) / F.sqrt(var))).drop("_r", "_ties"))
+            .withColumn("z", F.when(var > 0, F.signum(off) * F.greatest(F.abs(off) - continuity, F.lit(0.0)) / F.sqrt(var))).drop("_r", "_ties"))
 
 
 def auc_block(df: DataFrame, groups: Sequence[str], score: str, measured: str, cutoff: float,
@@ -112,7 +115,7 @@ def auc_block(df: DataFrame, groups: Sequence[str], score: str, measured: str, c
                                      F.count_if(neg).alias("n_negative"))
     ranked = rank_sum(df.where(pos | neg), groups, score, pos).select(*groups, F.col("auc").alias("_auc"))
     evaluable = F.col("n_positive") + F.col("n_negative")
-    return (counts.join(ranked, list(groups), "left")
+    return (keyed_join(counts, ranked, groups, "left")
             .withColumn("n_evaluable", evaluable)
             .withColumn("n_ambiguous", F.col("n_total") - evaluable)
             .withColumn("auc", F.when(evaluable >= min_n, F.col("_auc"))).drop("_auc"))

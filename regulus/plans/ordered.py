@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regulus.plans.tiling import running_sums
-from regulus.session import BROADCAST_BYTES, BROADCAST_ROWS, cut, lookup_join, salted_join, shuffle_partitions
+from regulus.session import BROADCAST_BYTES, BROADCAST_ROWS, cut, keyed_join, lookup_join, salted_join, shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class Edges:
     def attach(self, df: DataFrame) -> DataFrame:
         """Edges to every row: broadcast when counted as small, else a join that salts hot groups."""
         if self.bounded:
-            return df.join(F.broadcast(self.table), list(self.groups))
+            return keyed_join(df, F.broadcast(self.table), self.groups)
         return salted_join(df, self.table, self.groups)
 
     def tag(self, df: DataFrame, value: str, tile: str) -> DataFrame:
@@ -53,7 +53,7 @@ def value_edges(df: DataFrame, groups: Sequence[str], *values: str,
     k = 2**depth
     probs = [i / k for i in range(1, k)]
     sketches = cut(df.groupBy(*groups).agg(*[
-        F.percentile_approx(F.col(v).cast("double"), probs, max(1_000, 20 * k)).alias(v) for v in values]))
+        F.percentile_approx(F.col(v), probs, max(1_000, 20 * k)).alias(v) for v in values]))
     out = []
     for v in values:
         repeated = F.filter(
@@ -93,7 +93,7 @@ def add_average_ranks(df: DataFrame, groups: Sequence[str], outs: dict[str, str]
     edges = value_edges(df, groups, *outs)
     rows, names = df, list(outs)
     for i, (value, e) in enumerate(zip(names, edges, strict=True)):
-        salts = F.coalesce(F.element_at("_hot", F.col(value).cast("double")), F.lit(1))
+        salts = F.coalesce(F.element_at("_hot", F.col(value)), F.lit(1))
         rows = (e.tag(rows, value, f"_tile{i}")
                 .withColumn(f"_salt{i}", F.when(salts > 1, 1 + F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), salts.cast("long")))
                             .otherwise(0).cast("int")).drop("_hot"))
@@ -109,7 +109,7 @@ def add_average_ranks(df: DataFrame, groups: Sequence[str], outs: dict[str, str]
         inside = Window.partitionBy(*groups, f"_tile{i}", f"_salt{i}").orderBy(value)
         ties = Window.partitionBy(*groups, f"_tile{i}", f"_salt{i}", value)
         local = F.rank().over(inside) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-        rows = rows.withColumn("_local", local).join(F.broadcast(c) if small else c, [*groups, f"_tile{i}"])
+        rows = keyed_join(rows.withColumn("_local", local), F.broadcast(c) if small else c, [*groups, f"_tile{i}"])
         rank = F.col("_below") + F.when(F.col(f"_salt{i}") > 0, F.col("_other") + (F.col("_same") + 1) / 2.0).otherwise(F.col("_local"))
         rows = rows.withColumn(outs[value], rank).drop("_local", "_other", "_same", "_below", f"_tile{i}", f"_salt{i}")
     return rows

@@ -27,19 +27,21 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, tile: str,
     """Add inclusive running sums ``cum_<col>`` per ``keys`` in ``order``.
 
     ``tile`` must be monotone in ``order`` and (keys, order) unique. The per-key window sees one
-    row per tile; the row-level window is partitioned by (keys, tile).
+    row per tile; the row-level window is partitioned by (keys, tile). What a tile carries over from
+    the tiles before it is an extra first row of the tile, so nothing is joined and NULL keys stay.
     """
     keys = list(keys)
     before = Window.partitionBy(*keys).orderBy(tile).rowsBetween(Window.unboundedPreceding, -1)
-    inside = (Window.partitionBy(*keys, tile).orderBy(order)
+    inside = (Window.partitionBy(*keys, tile).orderBy("_lead", order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     carry = (df.groupBy(*keys, tile).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-             .select(*keys, tile, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0))
-                                    .alias(f"_c_{c}") for c in cols]))
-    out = df.join(carry, [*keys, tile])
+             .select(*keys, tile, F.lit(0).alias("_lead"),
+                     *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_v_{c}") for c in cols]))
+    rows = df.select("*", F.lit(1).alias("_lead"), *[F.col(c).alias(f"_v_{c}") for c in cols])
+    out = rows.unionByName(carry, allowMissingColumns=True)
     for c in cols:
-        out = out.withColumn(f"cum_{c}", F.sum(c).over(inside) + F.col(f"_c_{c}"))
-    return out.drop(*[f"_c_{c}" for c in cols])
+        out = out.withColumn(f"cum_{c}", F.sum(f"_v_{c}").over(inside))
+    return out.where("_lead = 1").drop("_lead", *[f"_v_{c}" for c in cols])
 
 
 def neighbours(points: DataFrame, table: DataFrame, keys: Sequence[str], pos: str, tpos: str,
@@ -65,12 +67,14 @@ def neighbours(points: DataFrame, table: DataFrame, keys: Sequence[str], pos: st
     carry = rows.groupBy(*keys, "_tile").agg(*[pick[s][0](f"_{s}").alias(f"_t_{s}") for s in sides])
     for s in sides:
         best, order = pick[s]
-        carry = carry.withColumn(f"_c_{s}", best(f"_t_{s}").over(Window.partitionBy(*keys).orderBy(order("_tile")).rowsBetween(*earlier)))
-    out = rows.join(carry.drop(*[f"_t_{s}" for s in sides]), [*keys, "_tile"])
+        carry = carry.withColumn(f"_{s}", best(f"_t_{s}").over(Window.partitionBy(*keys).orderBy(order("_tile")).rowsBetween(*earlier)))
+    # what a tile carries over stands before its rows on either side
+    carry = carry.select(*keys, "_tile", F.lit(0).alias("_lead"), *[f"_{s}" for s in sides])
+    out = rows.withColumn("_lead", F.lit(1)).unionByName(carry, allowMissingColumns=True)
     for s in sides:
         best, order = pick[s]
-        inside = Window.partitionBy(*keys, "_tile").orderBy(order("_pos")).rowsBetween(*so_far)
-        out = out.withColumn(s, F.coalesce(best(f"_{s}").over(inside), F.col(f"_c_{s}")))
+        inside = Window.partitionBy(*keys, "_tile").orderBy("_lead", order("_pos")).rowsBetween(*so_far)
+        out = out.withColumn(s, best(f"_{s}").over(inside))
     return out.where(F.col("_ask") == 1).select(*keys, F.col("_pos").alias(pos), *sides)
 
 
@@ -130,11 +134,11 @@ def gap_clusters(positions: DataFrame, keys: Sequence[str], pos: str, gap: int,
     tiled = positions.withColumn("_tile", tile_expr(pos, width))
     by_tile = Window.partitionBy(*keys).orderBy("_tile")
     carry = (tiled.groupBy(*keys, "_tile").agg(F.max(pos).alias("_m"))
-             .select(*keys, "_tile", F.lag("_m").over(by_tile).alias("_before")))
-    inside = Window.partitionBy(*keys, "_tile").orderBy(pos)
-    prev = F.coalesce(F.lag(pos).over(inside), F.col("_before"))
-    flagged = (tiled.join(carry, [*keys, "_tile"])
-               .withColumn("_new", F.when(prev.isNull() | (F.col(pos) - prev > gap), 1)
-                           .otherwise(0).cast("long")).drop("_before"))
+             .select(*keys, "_tile", F.lit(0).alias("_lead"), F.lag("_m").over(by_tile).alias("_at")))
+    inside = Window.partitionBy(*keys, "_tile").orderBy("_lead", "_at")
+    prev = F.lag("_at").over(inside)
+    flagged = (tiled.select("*", F.lit(1).alias("_lead"), F.col(pos).alias("_at")).unionByName(carry, allowMissingColumns=True)
+               .withColumn("_new", F.when(prev.isNull() | (F.col("_at") - prev > gap), 1).otherwise(0).cast("long"))
+               .where("_lead = 1").drop("_lead", "_at"))
     return (running_sums(flagged, keys, pos, "_tile", ["_new"])
             .withColumnRenamed("cum__new", "cluster").drop("_new", "_tile"))

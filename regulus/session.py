@@ -63,16 +63,29 @@ def with_size_hint(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return small
 
 
+def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet each other, as they do in a window's partitions."""
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("keyed_join keeps the keys of its left side: use inner, left, left_semi or left_anti")
+    names = {k: f"_right_{k}" for k in on}
+    same = [F.col(k).eqNullSafe(F.col(r)) for k, r in names.items()]
+    out = left.join(right.withColumnsRenamed(names), same, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*names.values())
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Attach an aggregated dimension to ``big``.
 
     The dimension is materialised once and counted. Within the bound it is broadcast, so ``big``
-    is never shuffled on a possibly hot key; beyond the bound hot keys are split over salts.
+    is never shuffled on a possibly hot key; beyond the bound hot keys are split over salts. NULL keys
+    meet each other. ``how`` is inner or left, whatever the size.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("lookup_join keeps rows of the large side only: use inner or left")
     small = cut(small)
     if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), list(on), how)
+        return keyed_join(big, F.broadcast(small), on, how)
     return salted_join(big, small, on, how)
 
 
@@ -92,9 +105,9 @@ def split_hot(big: DataFrame, small: DataFrame, on: Sequence[str],
     hot = with_size_hint(hot)
     row_hash = F.xxhash64(*[F.col(c) for c in big.columns if not _is_map(big, c)])
     salts = F.coalesce(F.col("_salts"), F.lit(1))
-    big = (big.join(hot, on, "left")
+    big = (keyed_join(big, hot, on, "left")
            .withColumn("_salt", F.pmod(row_hash, salts.cast("long")).cast("int")).drop("_salts"))
-    small = (small.join(hot, on, "left")
+    small = (keyed_join(small, hot, on, "left")
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts"))
     return big, small, [*on, "_salt"]
 
@@ -105,7 +118,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     if how not in ("inner", "left"):
         raise ValueError("salted_join keeps rows of the large side only: use inner or left")
     big, small, keys = split_hot(big, small, on, hot_rows)
-    out = big.join(small, keys, how)
+    out = keyed_join(big, small, keys, how)
     return out.drop("_salt") if "_salt" in keys else out
 
 

@@ -25,8 +25,8 @@ VIEWS = {
         (l_orderkey * 31337 + l_linenumber * 611) % 1000003 + 20 + cast(l_quantity as bigint) te,
         l_discount value, l_orderkey, l_linenumber from lineitem""",
     "v_blocks": """select s_suppkey block_id, concat('c', cast(s_suppkey % 5 as varchar(4))) src_contig,
-        s_suppkey * 10000 src_start, s_suppkey * 10000 + 9000 src_end,
-        concat('c', cast(s_suppkey % 5 as varchar(4))) dst_contig,
+        s_suppkey * 10000 src_start, s_suppkey * 10000 + case when s_suppkey % 3 = 0 then 60000 else 9000 end src_end,
+        concat('c', cast((s_suppkey + case when s_suppkey % 6 = 0 then 1 else 0 end) % 5 as varchar(4))) dst_contig,
         s_suppkey * 10000 + s_suppkey * 37 dst_start,
         case when s_suppkey % 7 = 0 then '-' else '+' end strand from supplier""",
     "v_seqs": """select doc_id region_id, translate(concat(md5(cast(doc_id as varchar(20))),

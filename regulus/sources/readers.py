@@ -181,8 +181,8 @@ def classify_files(files: DataFrame, name: str, expected: str, actual: str, tole
 
 
 def metrics_from_logs(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """``... name rho +0.56 n=110,699`` lines to (name, rho, n)."""
-    pat = r"(\S+)\s+rho\s+([+-]?\d+(?:\.\d+)?)\s+n=([\d,]+)"
+    """``name rho +0.56 n=110,699`` lines to (name, rho, n); a name may hold blanks."""
+    pat = r"^\s*(\S.*?)\s+rho\s+([+-]?\d+(?:\.\d+)?)\s+n=([\d,]+)"
     rows = lines.where(F.col("value").rlike(pat))
     return rows.select(*keep, F.regexp_extract("value", pat, 1).alias("name"), F.regexp_extract("value", pat, 2).cast("double").alias("rho"),
                        F.regexp_replace(F.regexp_extract("value", pat, 3), ",", "").cast("long").alias("n"))

@@ -171,7 +171,7 @@ def test_motif_scan_edges(spark):
     for i, s in seqs.items():
         want = naive_hits(s, m, 0.6)
         assert sorted((r.start, r.strand, round(r.rel, 9)) for r in hits if r.id == i) == want
-        assert best[i].n_60 == len(want)
+        assert best[i].n_60 == len({start for start, _, _ in want})  # the better strand of a position counts
         if want:
             top = max(w[2] for w in want)
             assert round(best[i].best_rel, 9) == top and best[i].best_pos == min(w[0] for w in want if w[2] == top)
