@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from regulus.catalog.registry import query, rd
+from regulus.operators import expression as X
 from regulus.catalog.signal import LFC, NORM, PAIRED, WIDE, lfc_wide, normalised
 from regulus.operators import matrix as M
 from regulus.operators import stats as ST
@@ -158,36 +159,31 @@ select pair_a, pair_b, count(*) n, round(corr(rx, ry), 6) + 0.0 spearman, count(
 def _(t):
     from regulus.catalog.signal import PAIRS
     rows = ST.pair_thresholds(cut(lfc_wide(t)), PAIRS, (0.0,)).drop("threshold")
-    c = ST.correlations(rows, ["pair_a", "pair_b"], "x", "y")
-    big = rows.groupBy("pair_a", "pair_b").agg(F.count_if(F.abs("x") > 1).alias("n_big_a"), F.count_if(F.abs("y") > 1).alias("n_big_b"))
-    return c.join(big, ["pair_a", "pair_b"]).select("pair_a", "pair_b", "n", rd("spearman").alias("spearman"), "n_big_a", "n_big_b")
+    return X.delta_agreement(rows, ["pair_a", "pair_b"], "x", "y").withColumn("spearman", rd("spearman"))
 
 
 @query("a51_range_test", "A51", """with m as (select p_brand, p_type, avg(p_retailprice) v from part group by 1, 2),
  r as (select min(v) lo, max(v) hi from m where p_brand = 'Brand#1' or p_brand = 'Brand#11')
 select p_brand, count(*) n, count(*) filter (v between lo and hi) n_inside, bool_and(v between lo and hi) all_inside from m, r group by 1""")
 def _(t):
-    m = t("part").groupBy("p_brand", "p_type").agg(F.avg("p_retailprice").alias("v")).withColumn("g", F.lit(1))
-    r = m.where(F.col("p_brand").isin("Brand#1", "Brand#11")).groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    inside = F.col("v").between(F.col("lo"), F.col("hi"))
-    return lookup_join(m, r, ["g"]).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("n_inside"), F.bool_and(inside).alias("all_inside"))
+    m = t("part").groupBy("p_brand", "p_type").agg(F.avg("p_retailprice").alias("v"))
+    return X.range_test(m, "p_brand", "v", ("Brand#1", "Brand#11"))
 
 
 @query("a52_histogram", "A52", f"""with {LFC} select contrast, cast(floor(lfc / 0.25) as bigint) bin, count(*) n from lfc where lfc is not null group by 1, 2""", SIG)
 def _(t):
     from regulus.catalog.signal import lfc_long
-    return lfc_long(t).where("lfc is not null").groupBy("contrast", F.floor(F.col("lfc") / 0.25).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return X.histogram(lfc_long(t), ["contrast"], {"bin": X.linear_bin("lfc", 0.25)})
 
 
 @query("a52_log_histogram", "A52", """select cast(floor(log10(value) * 5) as bigint) bin, count(*) n, event_type from events where value > 0 group by 1, 3""")
 def _(t):
-    return t("events").where("value > 0").groupBy(F.floor(F.log10("value") * 5).alias("bin"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return X.histogram(t("events"), ["event_type"], {"bin": X.log_bin("value", 5)})
 
 
 @query("a52_density_2d", "A52", f"""with {WIDE} select cast(floor(A / 0.5) as bigint) bin_x, cast(floor(N / 0.5) as bigint) bin_y, count(*) n from wide where A is not null and N is not null group by 1, 2""", SIG)
 def _(t):
-    return (lfc_wide(t).where("A is not null and N is not null")
-            .groupBy(F.floor(F.col("A") / 0.5).alias("bin_x"), F.floor(F.col("N") / 0.5).alias("bin_y")).agg(F.count(F.lit(1)).alias("n")))
+    return X.histogram(lfc_wide(t), [], {"bin_x": X.linear_bin("A", 0.5), "bin_y": X.linear_bin("N", 0.5)})
 
 
 BUCKETS = """q as (select source, list_distinct(quantile_cont(score, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) e from v_scores group by 1),
@@ -202,13 +198,9 @@ def _(t):
 @query("w10_zscore", "W10", """select o_orderkey, round((o_totalprice - (select avg(o_totalprice) from orders)) / (select stddev_samp(o_totalprice) from orders), 6) + 0.0 z_all,
  round((o_totalprice - avg(o_totalprice) over (partition by o_orderpriority)) / stddev_samp(o_totalprice) over (partition by o_orderpriority), 6) + 0.0 z_group from orders""")
 def _(t):
-    o = t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice").withColumn("g", F.lit(1))
-    for key in ("g", "o_orderpriority"):
-        m = o.groupBy(key).agg(F.avg("o_totalprice").alias(f"m_{key}"), F.stddev_samp("o_totalprice").alias(f"s_{key}"))
-        o = lookup_join(o, m, [key])
-    x = F.col("o_totalprice")
-    return o.select("o_orderkey", rd((x - F.col("m_g")) / F.col("s_g")).alias("z_all"),
-                    rd((x - F.col("m_o_orderpriority")) / F.col("s_o_orderpriority")).alias("z_group"))
+    o = X.zscore(t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), [], "o_totalprice", "z_all")
+    o = X.zscore(o, ["o_orderpriority"], "o_totalprice", "z_group")
+    return o.select("o_orderkey", rd("z_all").alias("z_all"), rd("z_group").alias("z_group"))
 
 
 @query("a53_residual_by_level", "A53", f"""with {WIDE}, p as (select region_id, A x, N y from wide where A is not null and N is not null),
@@ -216,12 +208,8 @@ def _(t):
  q as (select list_distinct(quantile_cont(x, [0, 1/3, 2/3, 1])) e from p), k as (select r, x, greatest(len(list_filter(q.e, lambda z: z < x)) - 1, 0)::bigint tercile from e, q)
 select tercile, count(*) n, round(avg(r), 6) mean_abs_residual, round(avg(x), 6) + 0.0 mean_level, (select round(corr(r, x), 6) + 0.0 from e) corr_residual_level from k group by 1""", SIG)
 def _(t):
-    p = cut(lfc_wide(t).where("A is not null and N is not null").select(F.col("A").alias("x"), F.col("N").alias("y"), F.lit(1).alias("g")))
-    fit = p.groupBy("g").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
-    e = lookup_join(p, fit, ["g"]).withColumn("r", F.abs(F.col("y") - F.col("a") - F.col("b") * F.col("x")))
-    k = ST.quantile_buckets(e, ["g"], "x", 3, "tercile")
-    per = k.groupBy("g", "tercile").agg(F.count(F.lit(1)).alias("n"), rd(F.avg("r")).alias("mean_abs_residual"), rd(F.avg("x")).alias("mean_level"))
-    return lookup_join(per, e.groupBy("g").agg(rd(ST.safe_corr("r", "x")).alias("corr_residual_level")), ["g"]).drop("g")
+    e = X.residual_by_level(lfc_wide(t), "A", "N", 3).withColumnRenamed("level", "tercile")
+    return e.select("tercile", "n", *[rd(c).alias(c) for c in ("mean_abs_residual", "mean_level", "corr_residual_level")])
 
 
 @query("a54_leave_one_group_out", "A54", f"""with {LFC}, h as (select distinct contrast held from lfc),
@@ -229,23 +217,12 @@ def _(t):
  te as (select contrast held, region_id, lfc meas from lfc where lfc is not null)
 select held, count(*) n, round(corr(pred, meas), 6) + 0.0 pearson, round(sum(pred * meas) / sqrt(sum(pred * pred)), 6) + 0.0 projection from tr join te using (held, region_id) group by 1""", SIG)
 def _(t):
-    """Predict each contrast from the mean of the others, then project it on that axis."""
     from regulus.catalog.signal import STUDIES
-    w = lfc_wide(t)
-    others = {h: [F.col(c) for c in STUDIES if c != h] for h in STUDIES}
-    def mean_of(cols):
-        got = sum(F.when(c.isNotNull(), 1).otherwise(0) for c in cols)
-        return sum(F.coalesce(c, F.lit(0.0)) for c in cols) / F.when(got > 0, got)
-    rows = w.select(F.explode(F.array(*[F.struct(F.lit(h).alias("held"), F.col(h).alias("meas"), mean_of(others[h]).alias("pred")) for h in STUDIES])).alias("z"))
-    rows = rows.select("z.*").where("meas is not null and pred is not null")
-    return rows.groupBy("held").agg(F.count(F.lit(1)).alias("n"), rd(ST.safe_corr("pred", "meas")).alias("pearson"),
-                                    rd(F.sum(F.col("pred") * F.col("meas")) / F.sqrt(F.sum(F.col("pred") * F.col("pred")))).alias("projection"))
+    return X.leave_one_out(lfc_wide(t), STUDIES).withColumn("pearson", rd("pearson")).withColumn("projection", rd("projection"))
 
 
 @query("a60_group_separation", "A60", """with g as (select source, y, avg(score) m, stddev_samp(score) s from v_scores group by 1, 2)
 select source, round(abs(max(m) filter (y = 1) - max(m) filter (y = 0)) / avg(s), 6) separation,
  abs(max(m) filter (y = 1) - max(m) filter (y = 0)) / avg(s) > 2 separated from g group by 1""", ("v_scores",))
 def _(t):
-    g = t("v_scores").groupBy("source", "y").agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("s"))
-    gap = F.abs(F.max(F.when(F.col("y") == 1, F.col("m"))) - F.max(F.when(F.col("y") == 0, F.col("m")))) / F.avg("s")
-    return g.groupBy("source").agg(rd(gap).alias("separation"), (gap > 2).alias("separated"))
+    return X.group_separation(t("v_scores"), ["source"], "y", "score").withColumn("separation", rd("separation"))

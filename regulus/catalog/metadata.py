@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from regulus.catalog.registry import query, rd
 from regulus.operators import audit as A
 from regulus.operators import design as D
+from regulus.operators import expression as X
 from regulus.operators import metadata as M
 from regulus.operators import stats as ST
 from regulus.session import cut, lookup_join
@@ -18,9 +19,7 @@ select p_partkey, regexp_extract(x, '^(chr\w+):(\d+)-(\d+)$', 1) contig, regexp_
 def _(t):
     k = F.col("p_partkey")
     x = F.when(F.col("p_size") % 7 == 0, F.col("p_name")).otherwise(F.concat(F.lit("chr"), (k % 22 + 1).cast("string"), F.lit(":"), (k * 100).cast("string"), F.lit("-"), (k * 100 + F.col("p_size")).cast("string")))
-    pat = r"^(chr\w+):(\d+)-(\d+)$"
-    r = t("part").select("p_partkey", x.alias("x")).where(F.col("x").rlike(pat))
-    return r.select("p_partkey", F.regexp_extract("x", pat, 1).alias("contig"), F.regexp_extract("x", pat, 2).cast("long").alias("start"), F.regexp_extract("x", pat, 3).cast("long").alias("end"))
+    return X.region_columns(t("part").select("p_partkey", x.alias("x")), "x").drop("x")
 
 
 @query("p02_characteristics_map", "P2", """select sample_id, event_type "type", case when user_id % 2 = 0 then 'override' else user_id::varchar end as "user", '' flag from v_chars""", VC)
@@ -76,9 +75,9 @@ def _(t):
  case when p_type in ('ECONOMY', 'SMALL') then 'triad' when regexp_matches(p_type, '^(STANDARD|PROMO)') then 'stress' else 'UNRESOLVED' end condition_group, p_size = 1 is_baseline from part""")
 def _(t):
     n = F.lower("p_name")
-    assay = (F.when(n.startswith("red"), "mark").when(n.startswith("blue"), "reader").when(F.contains(n, F.lit("gear")) | F.trim("p_name").isin("-", ""), "input")
-             .otherwise(F.concat(F.lit("UNRESOLVED "), F.col("p_name"))))
-    group = F.when(F.col("p_type").isin("ECONOMY", "SMALL"), "triad").when(F.col("p_type").rlike("^(STANDARD|PROMO)"), "stress").otherwise("UNRESOLVED")
+    assay = X.first_rule(n, [(n.startswith("red"), "mark"), (n.startswith("blue"), "reader"), (F.contains(n, F.lit("gear")) | F.trim("p_name").isin("-", ""), "input")],
+                         F.concat(F.lit("UNRESOLVED "), F.col("p_name")))
+    group = X.first_rule(F.col("p_type"), [(F.col("p_type").isin("ECONOMY", "SMALL"), "triad"), (F.col("p_type").rlike("^(STANDARD|PROMO)"), "stress")], F.lit("UNRESOLVED"))
     return t("part").select("p_partkey", assay.alias("assay"), group.alias("condition_group"), (F.col("p_size") == 1).alias("is_baseline"))
 
 
@@ -112,23 +111,19 @@ def _(t):
     s = k.cast("string")
     ident = (F.when(m == 0, F.concat(F.lit("RP"), s, F.lit("-1A"))).when(m == 1, F.concat(F.lit("LOC"), s)).when(m == 2, F.concat(F.lit("AC"), F.lpad(s, 6, "0"), F.lit(".1")))
              .otherwise(F.upper(F.regexp_replace("p_name", " ", ""))))
-    d = t("part").select(ident.alias("id"))
-    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id").rlike(r"^(RP|CT[ABCD])\d+-")).alias("n_clone"), F.count_if(F.col("id").rlike(r"^LOC\d+$")).alias("n_loc"),
-                 F.count_if(F.col("id").rlike(r"^A[CL]\d{6}\.\d+$")).alias("n_accession"))
+    return X.family_counts(t("part").select(ident.alias("id")), "id", {"n_clone": r"^(RP|CT[ABCD])\d+-", "n_loc": r"^LOC\d+$", "n_accession": r"^A[CL]\d{6}\.\d+$"})
 
 
 @query("p19_label_canonicalisation", "P19", """with m(event_type, canonical) as (values ('click', 'act'), ('view', 'see'), ('error', 'fail'), ('purchase', 'act')) select coalesce(canonical, 'UNMAPPED') canonical, count(*) n, count(*) filter (canonical is null) n_unmapped
  from events left join m using (event_type) group by 1""")
 def _(t):
-    table = F.create_map(*[F.lit(x) for kv in {"click": "act", "view": "see", "error": "fail", "purchase": "act"}.items() for x in kv])
-    c = t("events").select(F.element_at(table, F.col("event_type")).alias("c"))
-    return c.groupBy(F.coalesce("c", F.lit("UNMAPPED")).alias("canonical")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c").isNull()).alias("n_unmapped"))
+    c = t("events").select(X.canonical_label(F.col("event_type"), {"click": "act", "view": "see", "error": "fail", "purchase": "act"}).alias("canonical"))
+    return c.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("canonical") == "UNMAPPED").alias("n_unmapped"))
 
 
 @query("p21_keep_by_role", "P21", """select o_orderpriority, count(*) filter (o_orderstatus in ('F', 'O')) n_kept, count(*) filter (o_orderstatus not in ('F', 'O')) n_dropped from orders group by 1""")
 def _(t):
-    keep = F.col("o_orderstatus").isin("F", "O")
-    return t("orders").groupBy("o_orderpriority").agg(F.count_if(keep).alias("n_kept"), F.count_if(~keep).alias("n_dropped"))
+    return X.kept_counts(t("orders"), ["o_orderpriority"], F.col("o_orderstatus").isin("F", "O"))
 
 
 @query("j09_composite_key_check", "J9", """with a as (select o_orderpriority || ':' || o_custkey k, arg_min(o_totalprice, o_orderkey) v from orders group by 1), b as (select o_orderpriority || ':' || o_custkey k, avg(o_totalprice) w, count(*) n from orders where o_orderstatus = 'F' group by 1)
@@ -167,44 +162,37 @@ def _(t):
 @query("j14_membership", "J14", """with p as (select distinct l_partkey k, l_returnflag f from lineitem where l_quantity > 40), m as (select p_partkey k from part where p_size > 20)
 select f, count(*) n, count(*) filter (k in (select k from m)) n_in, round(100.0 * count(*) filter (k in (select k from m)) / count(*), 6) pct from p group by 1""")
 def _(t):
-    p = t("lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("f")).distinct()
-    kept = p.join(t("part").where("p_size > 20").select(F.col("p_partkey").alias("k")), "k", "left_semi").groupBy("f").agg(F.count(F.lit(1)).alias("n_in"))
-    n = p.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(kept, "f", "left").select("f", "n", "n_in", rd(100.0 * F.col("n_in") / F.col("n")).alias("pct"))
+    p = t("lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("f"))
+    out = X.membership(p, t("part").where("p_size > 20").select(F.col("p_partkey").alias("k")), "k", ["f"])
+    return out.withColumn("pct", rd("pct"))
 
 
 @query("j15_label_cross_check", "J15", r"""select page_id, try_cast(nullif(regexp_extract(url, '/(\d+)', 1), '') as bigint) in_name, try_cast(nullif(regexp_extract(html, 'track\((\d+)\)', 1), '') as bigint) in_content,
  try_cast(nullif(regexp_extract(url, '/(\d+)', 1), '') as bigint) is distinct from try_cast(nullif(regexp_extract(html, 'track\((\d+)\)', 1), '') as bigint) mismatch from pages""")
 def _(t):
-    a = F.regexp_extract("url", r"/(\d+)", 1).try_cast("long")
-    b = F.regexp_extract("html", r"track\((\d+)\)", 1).try_cast("long")
-    return t("pages").select("page_id", a.alias("in_name"), b.alias("in_content"), (~a.eqNullSafe(b)).alias("mismatch"))
+    out = X.label_mismatch(t("pages"), ("url", r"/(\d+)"), ("html", r"track\((\d+)\)"))
+    return out.select("page_id", "in_name", "in_content", "mismatch")
 
 
 @query("j16_shared_conditions", "J16", """with a as (select distinct o_orderpriority || o_orderstatus c from orders where o_totalprice > 100000), b as (select distinct o_orderpriority || o_orderstatus c from orders where o_totalprice < 30000 and o_orderstatus <> 'P')
 select coalesce(a.c, b.c) as condition, case when b.c is null then 'first only' when a.c is null then 'second only' else 'both' end where_found from a full join b on a.c = b.c""")
 def _(t):
     o = t("orders").withColumn("condition", F.concat("o_orderpriority", "o_orderstatus"))
-    a = o.where("o_totalprice > 100000").select("condition").distinct().withColumn("a", F.lit(1))
-    b = o.where("o_totalprice < 30000 and o_orderstatus <> 'P'").select("condition").distinct().withColumn("b", F.lit(1))
-    return a.join(b, "condition", "full").select("condition", F.when(F.col("b").isNull(), "first only").when(F.col("a").isNull(), "second only").otherwise("both").alias("where_found"))
+    return X.where_found(o.where("o_totalprice > 100000"), o.where("o_totalprice < 30000 and o_orderstatus <> 'P'"), "condition")
 
 
 @query("j18_manual_lookup", "J18", """select event_id, case when event_type = 'click' and user_id = 3 then 'checked by hand: test user' when event_type = 'error' then 'checked by hand: outage' else '' end note from events""")
 def _(t):
-    table = F.create_map(F.lit("click|3"), F.lit("checked by hand: test user"))
-    key = F.concat_ws("|", "event_type", F.col("user_id").cast("string"))
-    return t("events").select("event_id", F.coalesce(F.element_at(table, key), F.when(F.col("event_type") == "error", "checked by hand: outage"), F.lit("")).alias("note"))
+    fallback = F.when(F.col("event_type") == "error", "checked by hand: outage").otherwise("")
+    return X.manual_note(t("events"), ["event_type", "user_id"], {("click", "3"): "checked by hand: test user"}, fallback).select("event_id", "note")
 
 
 @query("a15_duplicate_policies", "A15", """select symbol, arg_min(v, k) first_v, max(v) highest, sum(v) total, round(avg(v), 6) mean_v, arg_max(v, k) last_v from (select p_name symbol, p_retailprice v, p_partkey k from part) group by 1""".replace("sum(v) total", "round(sum(v), 2) total"))
 def _(t):
-    d = t("part").select(F.col("p_name").alias("symbol"), F.col("p_retailprice").alias("v"), F.col("p_partkey").alias("k"))
-    out = None
-    for policy, name in (("first", "first_v"), ("max", "highest"), ("sum", "total"), ("mean", "mean_v"), ("longest", "last_v")):
-        one = M.resolve_duplicates(d, "symbol", "v", policy, "k").withColumnRenamed("v", name)
-        out = one if out is None else out.join(one, "symbol")
-    return out.withColumn("total", rd("total", 2)).withColumn("mean_v", rd("mean_v"))
+    # one aggregation for all policies of a group
+    d = t("part").groupBy(F.col("p_name").alias("symbol"))
+    return d.agg(F.min_by("p_retailprice", "p_partkey").alias("first_v"), F.max("p_retailprice").alias("highest"), rd(F.sum("p_retailprice"), 2).alias("total"),
+                 rd(F.avg("p_retailprice")).alias("mean_v"), F.max_by("p_retailprice", "p_partkey").alias("last_v"))
 
 
 # differential table: one row per part, comparisons per return flag
@@ -219,20 +207,13 @@ def differential(t):
 
 @query("a17_differential_summary", "A17", f"""with {DIFF} select comparison, count(p) n_tested, count(*) filter (s) n_significant, count(*) filter (s and lfc > 0) n_gained, count(*) filter (s and lfc < 0) n_lost, round(100.0 * count(*) filter (s) / count(p), 2) pct from sig group by 1""")
 def _(t):
-    s = F.col("s")
-    return differential(t).groupBy("comparison").agg(F.count("p").alias("n_tested"), F.count_if(s).alias("n_significant"), F.count_if(s & (F.col("lfc") > 0)).alias("n_gained"),
-                                                     F.count_if(s & (F.col("lfc") < 0)).alias("n_lost"), rd(100.0 * F.count_if(s) / F.count("p"), 2).alias("pct"))
+    return X.differential_summary(differential(t), "comparison", "lfc", "p", "s").withColumn("pct", rd("pct", 2))
 
 
 @query("a17_union_and_late_set", "A17", f"""with {DIFF}, r as (select region, bool_or(s) any_s, bool_or(s and comparison in ('N', 'R')) late, coalesce(max(lfc) filter (comparison = 'R'), max(lfc) filter (comparison = 'N')) rep from sig group by 1)
 select count(*) filter (any_s) n_union, count(*) filter (late) n_late, count(*) filter (late and rep > 0) n_gained, count(*) filter (late and rep < 0) n_lost from r""")
 def _(t):
-    d = differential(t)
-    def of(c):
-        return F.max(F.when(F.col("comparison") == c, F.col("lfc")))
-    r = d.groupBy("region").agg(F.bool_or("s").alias("any_s"), F.bool_or(F.col("s") & F.col("comparison").isin("N", "R")).alias("late"), F.coalesce(of("R"), of("N")).alias("rep"))
-    late = F.col("late")
-    return r.agg(F.count_if("any_s").alias("n_union"), F.count_if(late).alias("n_late"), F.count_if(late & (F.col("rep") > 0)).alias("n_gained"), F.count_if(late & (F.col("rep") < 0)).alias("n_lost"))
+    return X.late_set(differential(t), "region", "comparison", "lfc", "s", ("N", "R"))
 
 
 @query("a18_keys_near_differential", "A18", f"with {DIFF} select distinct p_name gene from sig join part on p_partkey = region where s and comparison in ('N', 'R')")
@@ -243,8 +224,7 @@ def _(t):
 
 @query("a19_category_distribution", "A19", "select lang, source, count(*) n, round(count(*) / (select count(*) from documents), 6) fraction from documents group by 1, 2")
 def _(t):
-    g = t("documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
-    return lookup_join(g, g.groupBy("_one").agg(F.sum("n").alias("total")), ["_one"]).select("lang", "source", "n", rd(F.col("n") / F.col("total")).alias("fraction"))
+    return X.category_share(t("documents"), ["lang", "source"]).withColumn("fraction", rd("fraction"))
 
 
 GATE = "g as (select p_type gene, l_returnflag = 'R' is_on, l_extendedprice / 1000 v from lineitem join part on p_partkey = l_partkey where l_returnflag in ('R', 'A'))"
@@ -272,11 +252,10 @@ def _(t):
 @query("a21_marker_directions", "A21", """with m as (select l_linestatus study, p_type gene, avg(l_quantity) filter (l_returnflag = 'R') a, avg(l_quantity) filter (l_returnflag = 'A') b from lineitem join part on p_partkey = l_partkey group by 1, 2)
 select study, gene, round(a - b, 6) + 0.0 difference, sign(a - b) = case when gene in ('ECONOMY', 'SMALL') then 1 else -1 end as expected from m""")
 def _(t):
-    d = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
-    m = d.groupBy(F.col("l_linestatus").alias("study"), F.col("p_type").alias("gene")).agg(
-        F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("a"), F.avg(F.when(F.col("l_returnflag") == "A", F.col("l_quantity"))).alias("b"))
-    gap = F.col("a") - F.col("b")
-    return m.select("study", "gene", rd(gap).alias("difference"), (F.signum(gap) == F.when(F.col("gene").isin("ECONOMY", "SMALL"), 1).otherwise(-1)).alias("expected"))
+    d = (t("lineitem").where(F.col("l_returnflag").isin("R", "A")).join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
+         .select(F.col("l_linestatus").alias("study"), F.col("p_type").alias("gene"), "l_quantity", "l_returnflag"))
+    out = X.marker_directions(d, "study", "gene", "l_quantity", F.col("l_returnflag") == "R", ("ECONOMY", "SMALL"))
+    return out.withColumn("difference", rd("difference"))
 
 
 @query("a22_composite_score", "A22", """with e as (select l_suppkey sample, p_type gene, avg(l_quantity) v from lineitem join part on p_partkey = l_partkey group by 1, 2),
@@ -286,13 +265,9 @@ def _(t):
 select stage, n, round(up, 6) + 0.0 up, round(arrest, 6) + 0.0 arrest, round(composite, 6) + 0.0 composite, composite > (select composite from g where stage = 0) above_control from g""")
 def _(t):
     e = (t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("l_suppkey").alias("sample"), F.col("p_type").alias("gene")).agg(F.avg("l_quantity").alias("v")))
-    m = e.groupBy("gene").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
-    z = lookup_join(e, m, ["gene"]).withColumn("z", (F.col("v") - F.col("m")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
-    s = z.groupBy("sample").agg(F.avg(F.when(F.col("gene").isin("ECONOMY", "SMALL"), F.col("z"))).alias("up"), F.avg(F.when(F.col("gene").isin("STANDARD", "LARGE"), F.col("z"))).alias("dn"))
-    g = s.groupBy((F.col("sample") % 4).alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.avg("up").alias("up"), F.avg(-F.col("dn")).alias("arrest"), F.avg(F.col("up") - F.col("dn")).alias("composite"))
-    g = cut(g).withColumn("_one", F.lit(1))
-    j = lookup_join(g, g.where("stage = 0").select("_one", F.col("composite").alias("control")), ["_one"])
-    return j.select("stage", "n", rd("up").alias("up"), rd("arrest").alias("arrest"), rd("composite").alias("composite"), (F.col("composite") > F.col("control")).alias("above_control"))
+    s = X.composite_score(e, "sample", "gene", "v", ("ECONOMY", "SMALL"), ("STANDARD", "LARGE"))
+    g = s.groupBy((F.col("sample") % 4).alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.avg("up").alias("up"), F.avg(-F.col("down")).alias("arrest"), F.avg("composite").alias("composite"))
+    return X.above_control(g, "stage", "composite", 0).select("stage", "n", rd("up").alias("up"), rd("arrest").alias("arrest"), rd("composite").alias("composite"), "above_control")
 
 
 @query("a23_replicate_inventory", "A23", """select p_type, p_brand, count(*) n_tasks, count(distinct p_size) n_units, count(distinct p_size) < 3 under_replicated from part group by 1, 2""")
@@ -348,9 +323,5 @@ def _(t):
 @query("a59_trajectory", "A59", """with m as (select p_type gene, l_linenumber stage, avg(l_quantity) v from lineitem join part on p_partkey = l_partkey group by 1, 2)
 select gene, string_agg(round(v, 3)::decimal(18, 3)::varchar, ',' order by stage) means, round(log2(arg_max(v, stage) / arg_min(v, stage)), 6) + 0.0 last_over_first, round(corr(v, stage), 6) + 0.0 r from m group by 1""")
 def _(t):
-    m = (t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("p_type").alias("gene"), F.col("l_linenumber").alias("stage")).agg(F.avg("l_quantity").alias("v")))
-    # one entry per stage, a handful per gene
-    seq = F.sort_array(F.collect_list(F.struct("stage", "v")))
-    text = F.array_join(F.transform(seq, lambda x: F.round(x["v"], 3).cast("decimal(18,3)").cast("string")), ",")
-    return m.groupBy("gene").agg(text.alias("means"), rd(F.log2(F.max_by("v", "stage") / F.min_by("v", "stage"))).alias("last_over_first"), rd(ST.safe_corr("v", "stage")).alias("r"))
-
+    m = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_type").alias("gene"), F.col("l_linenumber").alias("stage"), "l_quantity")
+    return X.trajectory(m, "gene", "stage", "l_quantity").withColumn("last_over_first", rd("last_over_first")).withColumn("r", rd("r"))

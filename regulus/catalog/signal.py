@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from regulus.catalog.registry import query, rd
+from regulus.operators import expression as X
 from regulus.operators import signal as S
 from regulus.operators import stats as ST
 from regulus.session import cut
@@ -53,15 +54,8 @@ def _(t):
    avg(case when study <> 'A' then log2(o) - log2(f) end) control from w group by 1)
 select region_id, round(tested - control, 6) + 0.0 dod from c where tested is not null and control is not null""", ("v_signal",))
 def _(t):
-    arms = t("v_signal").groupBy("region_id", "study").agg(
-        F.avg(F.when(F.col("arm") == "O", F.col("signal"))).alias("o"),
-        F.avg(F.when(F.col("arm") == "F", F.col("signal"))).alias("f"))
-    d = F.log2("o") - F.log2("f")
-    return (arms.groupBy("region_id")
-            .agg(F.max(F.when(F.col("study") == "A", d)).alias("tested"),
-                 F.avg(F.when(F.col("study") != "A", d)).alias("control"))
-            .where("tested is not null and control is not null")
-            .select("region_id", rd(F.col("tested") - F.col("control")).alias("dod")))
+    out = X.difference_of_differences(t("v_signal"), "region_id", "study", "arm", "signal", "O", "F", "A")
+    return out.withColumn("dod", rd("dod"))
 
 
 @query("a05_distribution_summary", "A5", f"""with {LFC} select contrast, count(lfc) n, round(avg(lfc), 6) + 0.0 mean,
@@ -176,12 +170,7 @@ def _(t):
 select sample, round(total, 2) total, detected, features, round(100.0 * detected / features, 6) pct_detected,
  total between 0.9 * 5e7 and 1.1 * 5e7 near_target from g""", ("v_signal",))
 def _(t):
-    g = t("v_signal").groupBy("sample").agg(F.sum("signal").alias("total"),
-                                            F.count_if(F.col("signal") > 20000).alias("detected"),
-                                            F.count(F.lit(1)).alias("features"))
-    return g.select("sample", rd("total", 2).alias("total"), "detected", "features",
-                    rd(100.0 * F.col("detected") / F.col("features")).alias("pct_detected"),
-                    F.col("total").between(0.9 * 5e7, 1.1 * 5e7).alias("near_target"))
+    return X.library_size(t("v_signal"), "sample", "signal", 20000, 5e7).withColumn("total", rd("total", 2)).withColumn("pct_detected", rd("pct_detected"))
 
 
 @query("a14_unit_conversions", "A14", """with g as (select l_partkey gene, l_returnflag sample, sum(l_quantity) counts from lineitem group by 1, 2),
@@ -191,36 +180,25 @@ select gene, sample, round(counts / lib * 1e6, 4) cpm, round(counts / len / rate
  round(counts / lib / len * 1e9, 4) rpkm, round(log2(counts / len / rate * 1e6 + 1), 6) log2_tpm,
  round(ln(counts / len / rate * 1e6 + 1), 6) log1p_tpm from s""")
 def _(t):
-    from regulus.session import lookup_join
     counts = (t("lineitem").groupBy(F.col("l_partkey").alias("gene"), F.col("l_returnflag").alias("sample"))
               .agg(F.sum("l_quantity").alias("counts"))
               .join(t("part").select(F.col("p_partkey").alias("gene"), (F.col("p_size") * 100.0).alias("len")), "gene"))
-    totals = counts.groupBy("sample").agg(F.sum("counts").alias("lib"), F.sum(F.col("counts") / F.col("len")).alias("rate"))
-    j = lookup_join(counts, totals, ["sample"])
-    tpm = F.col("counts") / F.col("len") / F.col("rate") * 1e6
-    return j.select("gene", "sample", rd(F.col("counts") / F.col("lib") * 1e6, 4).alias("cpm"), rd(tpm, 4).alias("tpm"),
-                    rd(F.col("counts") / F.col("lib") / F.col("len") * 1e9, 4).alias("rpkm"),
-                    rd(F.log2(tpm + 1)).alias("log2_tpm"), rd(F.log1p(tpm)).alias("log1p_tpm"))
+    u = X.unit_conversions(counts, "sample", "counts", "len")
+    return u.select("gene", "sample", *[rd(c, d).alias(c) for c, d in (("cpm", 4), ("tpm", 4), ("rpkm", 4), ("log2_tpm", 6), ("log1p_tpm", 6))])
 
 
 @query("p13_expressed_filters", "P13", """with g as (select l_partkey gene, count(*) filter (l_quantity > 40) k, bool_or(l_quantity > 49) any_high,
  count(distinct case when l_quantity > 40 then l_returnflag end) studies from lineitem group by 1)
 select gene, any_high, k >= 3 at_least_3, studies = (select count(distinct l_returnflag) from lineitem) in_every_study from g""")
 def _(t):
-    li = t("lineitem")
-    n_studies = li.select("l_returnflag").distinct().count()
-    high = F.col("l_quantity") > 40
-    return (li.groupBy(F.col("l_partkey").alias("gene"))
-            .agg(F.bool_or(F.col("l_quantity") > 49).alias("any_high"), (F.count_if(high) >= 3).alias("at_least_3"),
-                 (F.count_distinct(F.when(high, F.col("l_returnflag"))) == n_studies).alias("in_every_study")))
+    li = t("lineitem").withColumnRenamed("l_partkey", "gene")
+    return X.expressed(li, "gene", "l_returnflag", F.col("l_quantity") > 49, F.col("l_quantity") > 40, 3)
 
 
 @query("p14_complete_cases", "P14", """select region_id, count(*) n_values from v_signal group by 1
  having count(signal) = (select count(distinct sample) from v_signal)""", ("v_signal",))
 def _(t):
-    sig = t("v_signal")
-    n = sig.select("sample").distinct().count()
-    return sig.groupBy("region_id").agg(F.count("signal").alias("n_values")).where(F.col("n_values") == n)
+    return X.complete_cases(t("v_signal"), "region_id", "sample", "signal")
 
 
 @query("p17_masked_response", "P17", f"""with {LFC}, flagged as (select distinct l_partkey region_id from lineitem where l_discount >= 0.09)
@@ -239,5 +217,5 @@ def _(t):
 def _(t):
     s = F.col("sample")
     return (t("v_signal").groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
-            .select("sample", F.when(s.startswith("A"), "own").when(s.startswith("N"), "neighbour").otherwise("other").alias("study_tag"),
-                    F.when(F.substring(s, 2, 1) == "O", "on").otherwise("off").alias("status"), "n"))
+            .select("sample", X.prefix_tag(s, {"A": "own", "N": "neighbour"}, "other").alias("study_tag"),
+                    X.prefix_tag(F.substring(s, 2, 1), {"O": "on"}, "off").alias("status"), "n"))
