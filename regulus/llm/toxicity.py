@@ -7,8 +7,9 @@
    EM. Voters that stay correlated given the class (excess covariance) are joined into groups, and a group
    has one joint table, so agreeing copies of one voter do not count several times. The result is a
    posterior probability per text.
-4. A linear (logistic) classifier over hashed word and word-beginning counts is trained on the posteriors
-   and scores every whole text; in tasks this is one array lookup per word and beginning.
+4. A linear (logistic) classifier over hashed words and word beginnings (their counts, and whether they come
+   often in the text) is trained on the posteriors and scores every whole text; in tasks this is one array
+   lookup per word and beginning.
 
 Labels, language, source and key are no inputs of a score. NULL and empty texts get the score of a text
 without features. Without any training row every score is 0. Repeated rows are scored one by one.
@@ -29,9 +30,10 @@ from regulus.llm.textops import LETTER_OR_DIGIT, LOWER, Piece, mix, pieces, run_
 
 # Bounds of the training sample.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 2400, 6000
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 8)
 LEXICON_GROUPS = 3
 MAX_COUNT = 3
+OFTEN = 3
 # Well-known insults, one pattern voter per language group.
 INSULTS = (
     r"\b(idiot|moron|stupid|loser|scum|pathetic|worthless|disgusting|trash|imbecile|dumb|jerk)s?\b",
@@ -42,7 +44,8 @@ INSULTS = (
 @dataclass(frozen=True)
 class Model:
     keys: np.ndarray      # sorted feature hashes
-    weights: np.ndarray
+    weights: np.ndarray   # per occurrence, up to MAX_COUNT
+    often: np.ndarray     # added from the OFTEN-th occurrence on
     bias: float
 
 
@@ -92,7 +95,6 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50, excess: float
     """Posterior of the toxic class per row from votes (1 toxic, -1 clean, 0 abstain), and the voter groups."""
     n, m = votes.shape
     start = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + votes.sum(1) * 1.0)))
-
     def fit(groups: list[list[int]], post: np.ndarray) -> np.ndarray:
         codes = [np.unique(votes[:, g], axis=0, return_inverse=True)[1].ravel() for g in groups]
         for _ in range(rounds):
@@ -147,6 +149,11 @@ def train(texts: list[tuple[str, int]], max_features: int = 4000, rounds: int =
     names, col = np.unique(key, return_inverse=True)
     cell, count = np.unique(row.astype(np.int64) * len(names) + col, return_counts=True)
     row, col = cell // len(names), cell % len(names)
+    # a second feature of every word and beginning: it comes often in the text
+    more = count >= OFTEN
+    row, col = np.concatenate([row, row[more]]), np.concatenate([col, col[more] + len(names)])
+    count = np.concatenate([count, np.ones(more.sum(), count.dtype)])
+    n_words, names = len(names), np.concatenate([names, mix(names)])
     on = np.bincount(col, y[row], len(names))
     off = np.bincount(col, 1 - y[row], len(names))
     odds = np.log((on + 0.3) / (y.sum() + 0.6)) - np.log((off + 0.3) / (len(y) - y.sum() + 0.6))
@@ -175,7 +182,12 @@ def train(texts: list[tuple[str, int]], max_features: int = 4000, rounds: int =
         b -= 0.05 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
     # small weights only add noise, which would grow with the length of a text
     used = np.abs(w) > 0.25
-    return Model(names[chosen][used], w[used].astype(float), b)
+    at, w = chosen[used], w[used].astype(float)
+    keys = np.unique(names[at % n_words])
+    base, often = np.zeros(len(keys)), np.zeros(len(keys))
+    for into, mine in ((base, at < n_words), (often, at >= n_words)):
+        into[np.searchsorted(keys, names[at[mine] % n_words])] = w[mine]
+    return Model(keys, base, often, b)
 
 
 def score_rows(model: Model, column: pa.Array) -> np.ndarray:
@@ -190,8 +202,9 @@ def score_rows(model: Model, column: pa.Array) -> np.ndarray:
         hit = model.keys[at] == h if len(model.keys) else np.zeros(len(h), bool)
         cell, count = np.unique(row[hit].astype(np.int64) * max(len(model.keys), 1) + at[hit], return_counts=True)
         width = max(len(model.keys), 1)
-        total = np.bincount(cell // width, model.weights[cell % width] * np.minimum(count, MAX_COUNT), p.hi - p.lo) if len(
-            cell) else np.zeros(p.hi - p.lo)
+        worth = (model.weights[cell % width] * np.minimum(count, MAX_COUNT) + model.often[cell % width] * (count >= OFTEN)) if len(
+            cell) else np.zeros(0)
+        total = np.bincount(cell // width, worth, p.hi - p.lo)
         out.append(1 / (1 + np.exp(-np.clip(total + model.bias, -30, 30))))
     return np.concatenate(out) if out else np.zeros(0)
 
