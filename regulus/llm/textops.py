@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x9DDFEA08EB382D69
