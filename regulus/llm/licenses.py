@@ -121,23 +121,28 @@ def scan_words(docs: DataFrame, phrases: dict[str, str] = PHRASES, k: int = GRAM
         run, f"uid long, k {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, grams array<long>")
 
 
+def verified_share(votes: list, twords: int, k: int, gap: int, cover: float, density: float) -> float:
+    """Largest share of one template that neighbouring diagonals of one text cover densely enough (0: none)."""
+    diagonal = np.array([v["diagonal"] for v in votes])
+    order = np.argsort(diagonal, kind="stable")
+    best = 0.0
+    for group in np.split(order, np.flatnonzero(np.diff(diagonal[order]) > gap) + 1):
+        pos = np.unique(np.concatenate([np.asarray(votes[i]["positions"]) for i in group]))
+        # stretches of the text: a new one where no match begins within half the template's length
+        for part in np.split(pos, np.flatnonzero(np.diff(pos) > twords // 2 + gap) + 1):
+            own = np.unique((part[:, None] + np.arange(k)).ravel())
+            share = min(1.0, len(own) / twords)
+            if share >= cover and len(own) >= density * (part[-1] + k - part[0]):
+                best = max(best, share)
+    return best
+
+
 def _accepted(k: int, gap: int, cover: float, density: float):
-    """Merge neighbouring diagonals of one (text, template) and keep verified spans."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("diagonal")
-        cut = np.concatenate(([0], np.cumsum(np.diff(g["diagonal"].to_numpy()) > gap)))
-        best = 0.0
-        for _, span in g.groupby(cut):
-            pos = np.unique(np.concatenate(span["positions"].to_numpy()))
-            # stretches of the text: a new one where no match begins within the template's length
-            twords = int(span["twords"].iloc[0])
-            for part in np.split(pos, np.flatnonzero(np.diff(pos) > twords // 2 + gap) + 1):
-                own = np.unique((part[:, None] + np.arange(k)).ravel())
-                wide = part[-1] + k - part[0]
-                share = min(1.0, len(own) / twords)
-                if share >= cover and len(own) >= density * wide:
-                    best = max(best, share)
-        return pd.DataFrame({"uid": g["uid"].iloc[:1], "template": g["template"].iloc[:1], "share": [best]})
+    """Rows (uid, template, twords, votes) to those with a verified span."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in parts:
+            share = [verified_share(list(r.votes), r.twords, k, gap, cover, density) for r in g.itertuples()]
+            yield g[["uid", "template"]].assign(share=np.array(share, float))
     return run
 
 
@@ -160,7 +165,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
     votes = (rows.where("pos >= 0 and template is not null")
              .groupBy("uid", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"))
              .agg(F.collect_set("pos").alias("positions"), F.max("twords").alias("twords")))
-    spans = votes.groupBy("uid", "template").applyInPandas(_accepted(k, gap, cover, density), "uid long, template string, share double")
+    texts = votes.groupBy("uid", "template").agg(F.collect_list(F.struct("diagonal", "positions")).alias("votes"), F.max("twords").alias("twords"))
+    spans = texts.select("uid", "template", "twords", "votes").mapInPandas(_accepted(k, gap, cover, density), "uid long, template string, share double")
     names = F.create_map(*[F.lit(x) for kv in LABEL.items() for x in kv])
     found = (spans.where("share > 0").withColumn("label", F.coalesce(names[F.col("template")], F.col("template")))
              .groupBy("uid").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")))
