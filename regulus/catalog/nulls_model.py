@@ -141,7 +141,7 @@ def _(t):
     return ST.correlations(l, ["control"], "v", "meas").select("control", "n", rd("spearman", 5).alias("spearman"))
 
 
-@query("a48_shuffled_features", "A48", f"""with {PRED.format(w=wsql())}, k as (select *, row_number() over (order by vec_id) i from p),
+@query("a48_shuffled_features", "A48", f"""with {PRED.format(w=wsql())}, k as (select *, row_number() over (order by md5(vec_id::varchar)) i from p),
  s as (select pred, seed, row_number() over (partition by seed order by md5(seed::varchar || '-' || vec_id::varchar)) i from p, range(0, 5) r(seed)),
  l as (select seed, k.label meas, s.pred v from k join s using (i)),
  r as (select seed, rank() over (partition by seed order by v) + (count(*) over (partition by seed, v) - 1) / 2.0 a, rank() over (partition by seed order by meas) + (count(*) over (partition by seed, meas) - 1) / 2.0 b from l)
