@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from regulus.llm.textops import n_letters_missing, pieces
+from regulus.llm.textops import n_letters_missing, pieces, thin
 
 UNDETERMINED = "und"
 ORDER = 3
@@ -101,29 +101,22 @@ def train(texts: list[tuple[str, str]]) -> Model:
     return Model(languages, symbol, known, costs)
 
 
-_maps: dict[int, tuple[Model, np.ndarray]] = {}
+def context_rows(model: Model) -> np.ndarray:
+    """For any three bytes, the row of their longest known suffix (32 or 64 MB, made once per task)."""
+    rows = np.zeros(1 << 24, np.uint16 if len(model.contexts) < 1 << 16 else np.int32)
+    order, ctx = model.contexts >> 24, model.contexts & 0xFFFFFF
+    for o in (1, 2, 3):
+        at = np.flatnonzero(order == o)
+        rows.reshape(-1, 1 << (8 * o))[:, ctx[at]] = at.astype(rows.dtype)
+    return rows
 
 
-def _context_rows(model: Model) -> np.ndarray:
-    """For any three bytes, the row of their longest known suffix (one table per worker process)."""
-    held = _maps.get(0)
-    if held is None or held[0] is not model:
-        rows = np.zeros(1 << 24, np.int32)
-        order, ctx = model.contexts >> 24, model.contexts & 0xFFFFFF
-        for o in (1, 2, 3):
-            at = np.flatnonzero(order == o)
-            view = rows.reshape(-1, 1 << (8 * o))
-            view[:, ctx[at]] = at.astype(np.int32)
-        held = _maps[0] = (model, rows)
-    return held[1]
-
-
-def score_rows(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_rows(model: Model, column: pa.Array, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row: index of the language with the shortest code, its posterior, its bits per byte."""
-    rows = _context_rows(model)
+    rows = context_rows(model) if rows is None else rows
     width = len(model.costs) // len(model.contexts)
     best, post, rate = [], [], []
-    for p in pieces(column, 1 << 20):
+    for p in pieces(column, 1 << 18):
         n = len(p.data)
         a = p.data.astype(np.int32)
         ctx = np.zeros(n, np.int32)
@@ -155,7 +148,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", carry: tup
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in batches:
+        rows = context_rows(m) if m is not None else None
+        for b in thin(batches):
             t = b.column(b.num_columns - 1)
             missing = np.array([n_letters_missing(x) for x in t.to_pylist()], bool)
             if m is None:
@@ -163,7 +157,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", carry: tup
                 missing[:] = True
                 names = np.array([UNDETERMINED], object)
             else:
-                best, post, rate = score_rows(m, t)
+                best, post, rate = score_rows(m, t, rows)
                 names = np.array(m.languages, object)
             lang = np.where(missing, UNDETERMINED, names[best]) if len(t) else names[:0]
             yield pa.RecordBatch.from_arrays(

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regulus.llm.textops import thin
 from regulus.session import cut
 
 CAPACITY = 2048
@@ -34,7 +35,7 @@ END = 0
 PIECES_PER_PARTITION = 40_000
 ROUNDS = 3
 SHRINK = 4
-CACHE_WORDS = 700_000
+CACHE_WORDS = 150_000
 _PLAIN = re.compile(r"([A-Za-zß-öø-ÿ]+)([.,;:!?]*)")
 _CONTROL = re.compile("[\x1c-\x1f]")
 PIECE_DDL = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -46,7 +47,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of a text as little-endian 32-bit bytes, words remembered within a worker process.
+    """Ids of a text as little-endian 32-bit bytes, words remembered within a task.
 
     White space always parts tokens of this vocabulary, so a text's ids are those of its words in order.
     Plain words (Latin letters that keep their form under NFC, then sentence marks) go to the library's model
@@ -97,24 +98,15 @@ class Encoder:
         return b"".join([get(w) or word(w) for w in text.split()])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece; ``uid`` numbers the rows of the written table."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = Encoder(path)
         uid = TaskContext.get().partitionId() << 36
         end = np.array([END], "<u4").tobytes()
-        for b in batches:
+        for b in thin(batches):
             keys, col = b.column(0).to_pylist(), b.column(1)
             rows: list[tuple] = []
             for i, k in enumerate(keys):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.textops import NOT_BLANK, Piece, pieces, runs, table
+from regulus.llm.textops import NOT_BLANK, Piece, pieces, runs, table, thin
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + len(KINDS)
@@ -332,7 +332,7 @@ def find(docs: DataFrame, field: Field | None, key: str = "doc_id", text: str =
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in thin(batches):
             counts, digest, spans = [], [], []
             for p in pieces(b.column(1)):
                 for base, every in all_spans(held.value, p):
@@ -365,7 +365,7 @@ def redact(docs: DataFrame, field: Field | None, text: str = "text") -> DataFram
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in thin(batches):
             col = b.column(at)
             out = []
             for p in pieces(col):

@@ -76,6 +76,13 @@ def pieces(column: pa.Array | pa.ChunkedArray, size: int = PIECE) -> Iterator[Pi
         lo = hi
 
 
+def thin(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches (views, no copies), so that Python objects are made for few rows at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def runs(piece: Piece, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of ``member`` bytes that do not cross rows: starts, ends, row of each run."""
     n = len(piece.data)
