@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regulus.llm.textops import Piece, _power_tables, mix, pieces
+from regulus.llm.textops import Piece, _power_tables, mix, pieces, thin
 from regulus.session import cut, lookup_join, shuffle_partitions
 
 SPAN = 200
@@ -237,11 +237,15 @@ def _key_rows(docs: DataFrame, span: int) -> DataFrame:
 
 
 def _run_rows(cand: DataFrame, shards: int, span: int) -> DataFrame:
-    """Every run of a candidate key with the bytes of its windows, and its shard."""
+    """Every run of a candidate key with the bytes of its windows, and its shard.
+
+    Runs of a batch with equal bytes become one row with all their places before anything is shuffled.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in thin(batches, 2000):
             tid = b.column(0).to_numpy()
             keys, hot = b.column(2), b.column(3)
+            held: dict[tuple[int, bytes], list] = {}
             for p in pieces(b.column(1), 1 << 20):
                 row, at, length, key = window_runs(p, span)
                 key = key.view(np.int64)
@@ -256,11 +260,17 @@ def _run_rows(cand: DataFrame, shards: int, span: int) -> DataFrame:
                 row, at, length, key, busy = row[keep], at[keep], length[keep], key[keep], busy[keep]
                 ctx = [p.data[a:a + n + span - 1].tobytes() for a, n in zip(at.tolist(), length.tolist())]
                 shard = np.where(busy, np.array([zlib.crc32(c) for c in ctx], np.int64) % shards, key % shards) if len(ctx) else key
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.astype(np.int64)), pa.array(tid[p.lo + row]), pa.array(at - p.at[row]), pa.array(length.astype(np.int64)),
-                     pa.array(busy), pa.array(ctx, pa.binary())], names=["shard", "tid", "start", "windows", "hot", "ctx"])
+                for c, s, h, t, a in zip(ctx, shard.tolist(), busy.tolist(), tid[p.lo + row].tolist(), (at - p.at[row]).tolist()):
+                    group = held.setdefault((s, c), [h, [], []])
+                    group[1].append(t)
+                    group[2].append(a)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s for s, _ in held], pa.int64()), pa.array([v[0] for v in held.values()], pa.bool_()),
+                 pa.array([np.array(v[1], np.int64).tobytes() for v in held.values()], pa.binary()),
+                 pa.array([np.array(v[2], np.int64).tobytes() for v in held.values()], pa.binary()),
+                 pa.array([c for _, c in held], pa.binary())], names=["shard", "hot", "tids", "starts", "ctx"])
 
-    return cand.mapInArrow(run, "shard long, tid long, start long, windows long, hot boolean, ctx binary")
+    return cand.mapInArrow(run, "shard long, hot boolean, tids binary, starts binary, ctx binary")
 
 
 _PACKED = "home long, bucket long, tids binary, starts binary, lens binary, prints binary"
@@ -281,7 +291,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def _shard(homes: int, buckets: int, span: int):
     """Spans of repeated windows within a shard, and fingerprints of the windows of hot keys."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        ctx = g["ctx"].to_numpy()
+        # back to one entry per place of a run
+        many = np.array([len(x) // 8 for x in g["tids"]])
+        ctx = np.repeat(g["ctx"].to_numpy(), many)
+        tid = np.concatenate([np.frombuffer(x, np.int64) for x in g["tids"]])
+        start = np.concatenate([np.frombuffer(x, np.int64) for x in g["starts"]])
         names, kind, count = np.unique(np.array([hashlib.blake2b(c, digest_size=16).digest() for c in ctx], "V16"),
                                        return_inverse=True, return_counts=True)
         first = np.full(len(names), -1)
@@ -304,9 +318,8 @@ def _shard(homes: int, buckets: int, span: int):
         owner = np.repeat(np.arange(len(ctx)), reps)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(reps) - reps, reps)
         item = base[kind[owner]] + nth
-        tid, start = g["tid"].to_numpy(), g["start"].to_numpy()
         rows = _by_home(tid[owner], start[owner] + s[item] - begin[kind[owner]], e[item] - s[item], homes)
-        hot = g["hot"].to_numpy()
+        hot = np.repeat(g["hot"].to_numpy(), many)
         if hot.any():
             lone = [i for i in np.flatnonzero(hot) if count[kind[i]] == 1]
             evidence = [i for i in np.flatnonzero(hot) if count[kind[i]] > 1 and first[kind[i]] == i]
