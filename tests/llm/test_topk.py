@@ -37,3 +37,29 @@ def test_odd_vectors(spark):
 def test_op3(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert Counter(map(tuple, QUERIES["op3_topk"](spark, sf).collect())) == brute(rows, lambda i: i % 50 == 0)
+
+
+def whole_brute(rows, k=5):
+    out = []
+    scaled = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    for i, v in scaled:
+        c = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in scaled if j != i)[:k]
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(c)]
+    return Counter(out)
+
+
+def test_large_components(spark):
+    r = np.random.default_rng(2)
+    small = [(i, [float(x) for x in r.normal(0, 0.2, 8).astype(np.float32)]) for i in range(100)]
+    for power, kind in ((11, "bigint"), (20, "bigint"), (30, "decimal(38,0)"), (120, "string")):
+        big = [(100 + i, [float(np.float32(x) * 2.0 ** power) for x in r.normal(0, 1, 8)]) for i in range(12)]
+        big += [(200 + i, big[0][1]) for i in range(7)] + [(300, [2.0 ** power] + [0.0] * 7)]
+        rows = small + big
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.lit(True))
+        assert got.schema["score"].dataType.simpleString() == kind
+        assert Counter((q, n, v, int(s)) for q, n, v, s in got.collect()) == whole_brute(rows)
+    # Scores that fit 64 bits keep their type though the bound does not.
+    rows = small + [(300, [2.0 ** 30] + [0.0] * 7)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.lit(True))
+    assert got.schema["score"].dataType.simpleString() == "bigint"
+    assert Counter(map(tuple, got.collect())) == whole_brute(rows)
