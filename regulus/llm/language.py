@@ -31,9 +31,11 @@ from regulus.llm.textops import n_letters_missing, pieces, thin
 UNDETERMINED = "und"
 ORDER = 3
 UNIT = 2048
-# Bounds of the training sample: texts per language, and characters of a text that may be taken.
+# Bounds of the training sample: texts per language, and characters taken of a text. Texts of 50 to 6,000 characters
+# are preferred; a language short of them is learned from its shorter texts and the beginnings of its longer ones.
 SAMPLE_TEXTS = 150
 SAMPLE_CHARS = 6000
+SAMPLE_LEAST = 50
 
 
 @dataclass(frozen=True)
@@ -45,17 +47,23 @@ class Model:
 
 
 def training_texts(docs: DataFrame, keep: Column, text: str = "text", lang: str = "lang", key: str = "doc_id",
-                   per_lang: int = SAMPLE_TEXTS, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most ``per_lang`` texts of at most ``max_chars`` characters of every language, by hash of the key.
+                   per_lang: int = SAMPLE_TEXTS, max_chars: int = SAMPLE_CHARS,
+                   min_chars: int = SAMPLE_LEAST) -> list[tuple[str, str]]:
+    """At most ``per_lang`` different rows of every language with a non-empty text, by hash of the key.
 
-    The window keeps its ``per_lang`` first rows per task before it shuffles, and only keys travel.
+    Texts of ``min_chars`` to ``max_chars`` characters come first, others only where a language has too few of
+    these; of any text at most its first ``max_chars`` characters are taken. The window keeps its ``per_lang``
+    first rows per task before it shuffles, and only hashes travel.
     """
-    fit = docs.where(keep & F.col(lang).isNotNull() & (F.length(text).between(50, max_chars)))
-    rank = Window.partitionBy("lang").orderBy("h", "k")
-    chosen = (fit.select(F.col(lang).alias("lang"), F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"))
-              .withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_lang).select("k"))
-    keys = [r.k for r in chosen.distinct().collect() if r.k is not None]
-    rows = fit.where(F.col(key).isin(keys)).select(lang, text, key).distinct().orderBy(lang, key, text).collect()
+    fit = (docs.where(keep & F.col(lang).isNotNull() & (F.length(text) > 0))
+           .select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"),
+                   F.xxhash64(F.col(lang), F.col(key), F.col(text)).alias("row")))
+    rank = Window.partitionBy("lang").orderBy("outside", "h", "row")
+    chosen = (fit.groupBy("lang", "h", "row").agg(F.min(~F.length("text").between(min_chars, max_chars)).alias("outside"))
+              .withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_lang).select("row"))
+    own = [r[0] for r in chosen.collect()]
+    rows = (fit.where(F.col("row").isin(own)).select("lang", F.substring("text", 1, max_chars).alias("text"), "h", "row")
+            .distinct().orderBy("lang", "h", "row").collect())
     return [(r[0], r[1]) for r in rows]
 
 

@@ -61,6 +61,20 @@ def test_language_of_odd_rows(spark):
     assert language.predict(d.limit(0), m).count() == 0 and language.fitted(d.withColumn("lang", F.lit(None).cast("string")), F.lit(True)) is None
 
 
+def test_languages_of_short_or_long_texts_only_are_learned(spark):
+    en, de, el = "the cat and the dog sat on the mat ", "der hund und die katze sind auf der matte ", "η γάτα και ο σκύλος "
+    rows = [(i, "en", en * 3 + str(i)) for i in range(20)] + [(100 + i, "de", de * 200 + str(i)) for i in range(20)]
+    rows += [(200 + i, "el", el + str(i)) for i in range(20)] + [(300, "en", ""), (301, "xx", ""), (302, "xx", None)]
+    rows += [(400, "en", en * 2 + str(i)) for i in range(500)] + [(None, "fi", "kissa ja koira istuivat matolla"), (1, "en", en * 3 + "1")]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    texts = language.training_texts(d, F.lit(True), per_lang=30)
+    assert Counter(la for la, _ in texts) == Counter(en=30, de=20, el=20, fi=1)
+    assert all(0 < len(t) <= language.SAMPLE_CHARS for _, t in texts) and all(len(t) >= 50 for la, t in texts if la == "en")
+    asked = spark.createDataFrame([(1, "ο σκύλος και η γάτα"), (2, de), (3, en)], "doc_id long, text string")
+    got = language.accepted(language.predict(asked, language.train(texts))).collect()
+    assert {(r.doc_id, r.lang_pred) for r in got} == {(1, "el"), (2, "de"), (3, "en")}
+
+
 def test_op8_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "lang")
     r = QUERIES["op8_language"](spark, MEDIUM).join(docs, "doc_id").where("held_out and lang is not null").collect()
