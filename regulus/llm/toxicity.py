@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regulus.llm.textops import LETTER_OR_DIGIT, LOWER, Piece, mix, pieces, run_hashes, runs, shingle_sets
+from regulus.session import cut, lookup_join
 
-# Bounds of the training sample.
+# Bounds of the training sample: toxic texts, clean texts, characters taken of a text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 2400, 6000
 BEGINNINGS = (4, 5, 6, 8)
 LEXICON_GROUPS = 3
@@ -63,15 +64,24 @@ def features(p: Piece) -> tuple[np.ndarray, np.ndarray]:
 
 def sample(docs: DataFrame, labels: DataFrame, keep: Column, key: str = "doc_id", text: str = "text", label: str = "toxic",
            n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """At most ``n_toxic`` and ``n_clean`` labelled texts where ``keep`` holds, by hash of the key."""
+    """At most ``n_toxic`` and ``n_clean`` different labelled rows where ``keep`` holds, by hash of the key.
+
+    Only rows with a text are picked from. Texts of at most ``max_chars`` characters come first; where a class has too
+    few of them, the first ``max_chars`` characters of longer ones fill it up.
+    """
     own = (labels.select(F.col(key), F.col(label).alias("y")).where(keep & F.col("y").isin(0, 1) & F.col(key).isNotNull())
            .groupBy(key).agg(F.max("y").alias("y")))
+    texts = (docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+             .select(F.col(key).alias("k"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("row")))
+    there = texts.groupBy("k", "row").agg(F.min(F.length("text") > max_chars).alias("outside"))
+    there = cut(lookup_join(there, own.select(F.col(key).alias("k"), "y"), ["k"], how="inner"))
     chosen: dict = {}
     for y, n in ((1, n_toxic), (0, n_clean)):
-        chosen |= {r[0]: y for r in own.where(F.col("y") == y).orderBy(F.xxhash64(F.col(key)), key).limit(n).select(key).collect()}
-    rows = (docs.where(F.col(key).isin(list(chosen)) & (F.length(text) <= max_chars)).select(key, text).orderBy(key, text)
-            .collect())
-    return [(r[1], chosen[r[0]]) for r in rows]
+        chosen |= {r[0]: y for r in there.where(F.col("y") == y).orderBy("outside", F.xxhash64("k"), "k", "row").limit(n)
+                   .select("row").collect()}
+    rows = (texts.where(F.col("row").isin(list(chosen))).select("k", F.substring("text", 1, max_chars).alias("text"), "row")
+            .distinct().orderBy("k", "text", "row").collect())
+    return [(r[1], chosen[r[2]]) for r in rows]
 
 
 def _thinned(texts: list[tuple[str, int]]) -> list[tuple[str, int]]:

@@ -112,6 +112,20 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.train([("a", 1)]) is None and toxicity.train([]) is None
 
 
+def test_toxicity_sample_is_filled_up(spark):
+    docs = [(i, "x" * 200 + str(i)) for i in range(60)] + [(i, f"short {i}") for i in range(60, 100)] + [(100, None), (61, "short 61")]
+    labels = [(i, int(i % 3 == 0)) for i in range(400)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, F.lit(True), n_toxic=25, n_clean=25, max_chars=100)
+    assert sorted(y for _, y in got) == [0] * 25 + [1] * 25
+    assert sum(len(t) == 100 for t, y in got if y == 1) == 25 - 14 and not any(len(t) == 100 for t, y in got if y == 0)
+    long_only = toxicity.sample(docs.where("doc_id < 60"), labels, F.lit(True), max_chars=100)
+    assert Counter(y for _, y in long_only) == {1: 20, 0: 40}
+    assert toxicity.sample(docs.limit(0), labels, F.lit(True)) == []
+    same_id = spark.createDataFrame([(3, f"text {i}") for i in range(50)], "doc_id long, text string")
+    assert len(toxicity.sample(same_id, labels, F.lit(True), n_toxic=5)) == 5
+
+
 def test_op6_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     r = QUERIES["op6_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
