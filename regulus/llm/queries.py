@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.llm import jaccard, language, licenses, mixing, packing, pii, quality, suffix, topk, toxicity
+from regulus.llm import jaccard, language, licenses, mixing, packing, pii, quality, runs, suffix, topk, toxicity
 from regulus.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_suffix")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal(_table(spark, sf_dir, "documents"), span=200)
+
+
+@_query("op12_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(_table(spark, sf_dir, "documents"), planted=True)
