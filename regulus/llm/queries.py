@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.llm import jaccard, language, licenses, mixing, packing, pii, quality, runs, suffix, topk, toxicity
+from regulus.llm import jaccard, language, lexical, licenses, mixing, packing, pii, quality, runs, suffix, topk, toxicity
 from regulus.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(_table(spark, sf_dir, "documents"), planted=True)
+
+
+@_query("op13_lexical", r"""
+with words as (select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+d as (select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') l from words),
+bags as (select doc_id, len(l)::bigint n, unnest(l) term from d),
+tfs as (select doc_id, n, term, count(*)::bigint tf from bags group by all),
+total as (select count(*)::bigint docs, sum(len(l))::bigint words from d where len(l) > 0),
+dfs as (select term, count(*)::bigint df from tfs group by term),
+asked as (select distinct item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark),
+scored as (select item_id, doc_id, sum(floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint
+               * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::bigint score
+           from asked join dfs using (term) join tfs using (term), total group by item_id, doc_id),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int "rank", doc_id, score from scored where score > 0)
+select * from ranked where "rank" <= 10""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
