@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulus.llm import jaccard, language, lexical, licenses, mixing, packing, pii, quality, runs, suffix, topk, toxicity
+from regulus.llm import jaccard, language, lexical, licenses, minhash, mixing, packing, pii, quality, runs, suffix, topk, toxicity
 from regulus.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,22 @@ ranked as (select item_id, row_number() over (partition by item_id order by scor
 select * from ranked where "rank" <= 10""")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+@_query("op11_minhash", r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') l from documents),
+g as (select doc_id, case when len(l) = 0 then [] when len(l) < 5 then [array_to_string(l, ' ')]
+                          else list_distinct(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) end s from w),
+t as (select doc_id, len(s) n, unnest(s) x from g),
+shared as (select a.doc_id a, b.doc_id b, any_value(a.n) na, any_value(b.n) nb, count(*) c
+           from t a join t b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+link as (select a, b from shared where 100 * c >= 85 * (na + nb - c)),
+both_ways as (select a, b from link union all select b, a from link),
+reach(a, b) as (select a, b from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a),
+least as (select a doc_id, min(b) m from reach group by a)
+select g.doc_id, len(s)::bigint n_shingles, least(g.doc_id, coalesce(m, g.doc_id)) component_id,
+       g.doc_id = least(g.doc_id, coalesce(m, g.doc_id)) kept
+from g left join least using (doc_id)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_table(spark, sf_dir, "documents"), percent=85, k=5)
