@@ -64,9 +64,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("op3_topk", """
-with v as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)) f from embeddings
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) f from embeddings
            where embedding is not null and len(embedding) > 0
-             and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+             and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.f, c.f)::bigint score
       from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.f) = len(c.f)),
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int "rank", vec_id, score from s)
