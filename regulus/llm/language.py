@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from regulus.llm.textops import n_letters_missing, pieces, thin
+from regulus.llm.textops import n_letters_missing, pieces, thin, unused
 
 UNDETERMINED = "und"
 ORDER = 3
@@ -109,29 +109,48 @@ def train(texts: list[tuple[str, str]]) -> Model:
     return Model(languages, symbol, known, costs)
 
 
-def context_rows(model: Model) -> np.ndarray:
-    """For any three bytes, the row of their longest known suffix (32 or 64 MB, made once per task)."""
-    rows = np.zeros(1 << 24, np.uint16 if len(model.contexts) < 1 << 16 else np.int32)
+@dataclass(frozen=True)
+class Contexts:
+    """Rows of a model's cost table by the last three bytes, each byte coded among those that any known context holds."""
+
+    code: np.ndarray    # byte -> code; bytes in no known context share the last one
+    width: int
+    rows: np.ndarray    # row of the longest known suffix
+
+
+def context_rows(model: Model) -> Contexts:
+    """The lookup table of a task; its size is the cube of the number of different bytes in known contexts."""
     order, ctx = model.contexts >> 24, model.contexts & 0xFFFFFF
+    used = np.zeros(256, bool)
+    used[0] = True
+    for o in (1, 2, 3):
+        for i in range(o):
+            used[(ctx[order == o] >> (8 * i)) & 0xFF] = True
+    width = int(used.sum()) + 1
+    code = np.where(used, np.cumsum(used) - 1, width - 1).astype(np.int64)
+    rows = np.zeros(width ** 3, np.uint16 if len(model.contexts) < 1 << 16 else np.int32)
     for o in (1, 2, 3):
         at = np.flatnonzero(order == o)
-        rows.reshape(-1, 1 << (8 * o))[:, ctx[at]] = at.astype(rows.dtype)
-    return rows
+        c = sum(code[(ctx[at] >> (8 * i)) & 0xFF] * width ** i for i in range(o))
+        rows.reshape(-1, width ** o)[:, c] = at.astype(rows.dtype)
+    return Contexts(code, width, rows)
 
 
-def score_rows(model: Model, column: pa.Array, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_rows(model: Model, column: pa.Array, rows: Contexts | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row: index of the language with the shortest code, its posterior, its bits per byte."""
     rows = context_rows(model) if rows is None else rows
     width = len(model.costs) // len(model.contexts)
     best, post, rate = [], [], []
     for p in pieces(column, 1 << 18):
         n = len(p.data)
-        a = p.data.astype(np.int32)
-        ctx = np.zeros(n, np.int32)
+        a = rows.code.astype(np.int32)[p.data]
+        start = int(rows.code[0])
+        ctx = np.full(n, start * (1 + rows.width + rows.width ** 2), np.int32)
         inside = np.arange(n, dtype=np.int64) - np.repeat(p.at[:-1], np.diff(p.at))
         for i in (1, 2, 3):
-            ctx[i:] |= np.where(inside[i:] >= i, a[:-i] << (8 * (i - 1)), 0) if n > i else 0
-        at = rows[ctx].astype(np.int64) * width + model.symbol[p.data]
+            if n > i:
+                ctx[i:] += np.where(inside[i:] >= i, a[:-i] - start, 0) * np.int32(rows.width ** (i - 1))
+        at = rows.rows[ctx].astype(np.int64) * width + model.symbol[p.data]
         total = np.zeros((n + 1, len(model.languages)), np.int64)
         np.cumsum(model.costs[at], axis=0, dtype=np.int64, out=total[1:])
         bits = (total[p.at[1:]] - total[p.at[:-1]]) / UNIT
@@ -144,13 +163,19 @@ def score_rows(model: Model, column: pa.Array, rows: np.ndarray | None = None) -
     return np.concatenate(best or empty).astype(int), np.concatenate(post or empty), np.concatenate(rate or empty)
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``carry`` of every row with ``lang_pred``, ``score`` (0 to 1) and ``bits_per_byte``.
+def predict(docs: DataFrame, model: Model | None, text: str = "text", carry: tuple[str, ...] = ("doc_id",),
+            names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """Columns ``carry`` of every row with the language, its score (0 to 1) and bits per byte, called ``names``.
 
-    ``carry`` may include the text itself. One pass over the table, without a shuffle.
+    ``carry`` may include the text, which is sent to Python once either way. A carried column called as one of
+    ``names`` is an error; choose other names then. One pass over the table, without a shuffle.
     """
+    if set(carry) & set(names):
+        raise ValueError(f"columns {sorted(set(carry) & set(names))} are carried and made: give other names")
     spark: SparkSession = docs.sparkSession
-    src = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("t"))
+    sent = [*carry] if text in carry else [*carry, text]
+    at = sent.index(text)
+    src = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(sent)])
     fields = ", ".join(f"c{i} {src.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry)))
     held = spark.sparkContext.broadcast(model)
 
@@ -158,23 +183,23 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", carry: tup
         m = held.value
         rows = context_rows(m) if m is not None else None
         for b in thin(batches):
-            t = b.column(b.num_columns - 1)
+            t = b.column(at)
             missing = np.array([n_letters_missing(x) for x in t.to_pylist()], bool)
             if m is None:
                 best, post, rate = np.zeros(len(t), int), np.zeros(len(t)), np.zeros(len(t))
                 missing[:] = True
-                names = np.array([UNDETERMINED], object)
+                known = np.array([UNDETERMINED], object)
             else:
                 best, post, rate = score_rows(m, t, rows)
-                names = np.array(m.languages, object)
-            lang = np.where(missing, UNDETERMINED, names[best]) if len(t) else names[:0]
+                known = np.array(m.languages, object)
+            lang = np.where(missing, UNDETERMINED, known[best]) if len(t) else known[:0]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(list(lang), pa.string()), pa.array(np.where(missing, 0.0, post)),
+                [*b.columns[:len(carry)], pa.array(list(lang), pa.string()), pa.array(np.where(missing, 0.0, post)),
                  pa.array(np.where(missing, 0.0, rate))],
-                names=[*[f"c{i}" for i in range(len(carry))], "lang_pred", "score", "bits_per_byte"])
+                names=[*[f"c{i}" for i in range(len(carry))], "lang", "score", "rate"])
 
-    out = src.mapInArrow(score, f"{fields}, lang_pred string, score double, bits_per_byte double")
-    return out.toDF(*carry, "lang_pred", "score", "bits_per_byte")
+    out = src.mapInArrow(score, f"{fields}, lang string, score double, rate double")
+    return out.toDF(*carry, *names)
 
 
 def fitted(docs: DataFrame, keep: Column, **sample) -> Model | None:
@@ -183,9 +208,16 @@ def fitted(docs: DataFrame, keep: Column, **sample) -> Model | None:
     return train(texts) if texts else None
 
 
-def accepted(scored: DataFrame) -> DataFrame:
+def accepted(scored: DataFrame, lang: str = "lang_pred", rate: str = "bits_per_byte") -> DataFrame:
     """Rows in a known language: not ``und``, and coded in fewer bits than the bytes themselves have."""
-    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") < 8))
+    return scored.where((F.col(f"`{lang}`") != UNDETERMINED) & (F.col(f"`{rate}`") < 8))
+
+
+def kept(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a known language, in its columns, whatever they are called."""
+    names = tuple(unused(docs, n) for n in ("lang_pred", "score", "bits_per_byte"))
+    scored = predict(docs, model, text, tuple(docs.columns), names)
+    return accepted(scored, names[0], names[2]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regulus.llm.textops import unused
 from regulus.session import lookup_join
 
 WEIGHTS = (5, 2, 1)
@@ -107,9 +108,15 @@ def position(copy: Column, schedules: Sequence[tuple[float, float]] = SCHEDULES)
 
 
 def mixture(docs: DataFrame, size: Column, schedules: Sequence[tuple[float, float]] = SCHEDULES, **params) -> DataFrame:
-    """The mix itself: every taken copy as a row in the columns of ``docs``, sorted by training position."""
+    """The mix itself: every taken copy as a row in the columns of ``docs``, sorted by training position.
+
+    Columns of ``docs`` named like the plan's own (``_mix_...``) travel under other names meanwhile.
+    """
+    clash = {c: unused(docs, f"own{c}") for c in docs.columns if c.lower().startswith("_mix_")}
+    given, docs = docs.columns, docs.withColumnsRenamed(clash)
     rows = plan(docs, size, **params).where(F.col("_mix_copies") > 0)
     rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)))
     rows = rows.withColumn("_mix_position", position(F.col("_mix_copy"), schedules))
     return (rows.repartitionByRange("_mix_position", "_mix_src", "_mix_hash")
-            .sortWithinPartitions("_mix_position", "_mix_src", "_mix_hash").select(*[f"`{c}`" for c in docs.columns]))
+            .sortWithinPartitions("_mix_position", "_mix_src", "_mix_hash")
+            .select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in given]))

@@ -4,8 +4,8 @@ Documents become pieces of at most ``capacity`` tokens. Pieces are spread over p
 packed there by best-fit decreasing. Dual feasible functions give a lower bound on the bins any packing of a
 partition needs. A partition that meets it is certified: its bins are final but for the emptiest one, which
 only exists because the partition's own sum was rounded up. In each following round partitions exchange
-documents: those emptiest bins and all bins with room of partitions above their bound are dealt over fewer,
-freshly mixed partitions and packed again by best-fit decreasing, with new bounds. After ``rounds`` rounds what is left is
+documents: those emptiest bins and all bins with room of partitions above their bound are dealt anew, by another
+hash and over as few partitions of the same size as hold them, and packed again by best-fit decreasing, with new bounds. After ``rounds`` rounds what is left is
 kept as packed; ``gap`` in the result says how many bins its partition is above its bound.
 
 A NULL text is an empty one: one piece that holds only the end token. Only documents longer than the capacity
@@ -16,8 +16,10 @@ gather anywhere. An empty table gives an empty result. Other columns are ignored
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,9 +36,11 @@ VOCABULARY = "word_bpe_49k.json"
 END = 0
 PIECES_PER_PARTITION = 40_000
 ROUNDS = 3
-SHRINK = 4
-CACHE_WORDS = 150_000
-_PLAIN = re.compile(r"([A-Za-zß-öø-ÿ]+)([.,;:!?]*)")
+CACHE_WORDS = 200_000
+# The vocabulary's own rule for parting normalised text, over ASCII and Latin-1 letters (fixed by the vocabulary).
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+# Other characters may change under NFC or lower-casing, or count as letters, digits or blanks by other rules.
+_UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]|<\\|")
 _CONTROL = re.compile("[\x1c-\x1f]")
 PIECE_DDL = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -46,56 +50,71 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Recent(dict):
+    """Values of ``make`` by key, remembered within bounds in two generations: when the young one (this mapping) is full it
+    becomes the old one, whose own entries go unless they were asked for meanwhile. So frequent entries stay
+    however many rare ones pass."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.make, self.size = make, size
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class Encoder:
-    """Ids of a text as little-endian 32-bit bytes, words remembered within a task.
+    """Ids of a text as little-endian 32-bit bytes, recent parts of words remembered.
 
-    White space always parts tokens of this vocabulary, so a text's ids are those of its words in order.
-    Plain words (Latin letters that keep their form under NFC, then sentence marks) go to the library's model
-    directly, any other word through its whole chain, a text with control characters as a whole.
+    A text of usual characters (ASCII and Latin-1 letters and marks, which NFC keeps) is lower-cased and parted by the
+    vocabulary's rule, and each part goes to the library's model. White space always parts tokens of this vocabulary,
+    so in other texts only words with unusual characters go through the library's whole chain; texts with
+    control characters that part words in Python but not there do so as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts, self.words = Recent(self._part, CACHE_WORDS), Recent(self._whole, CACHE_WORDS // 10)
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256
-        keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
         other = iter(range(256, 512))
-        self.alphabet = {b: chr(b) if b in set(keep) else chr(next(other)) for b in range(256)}
+        self.alphabet = {b: chr(b if b in keep else next(other)) for b in range(256)}
 
     def _part(self, s: str) -> bytes:
-        got = self.parts.get(s)
-        if got is None:
-            letters = "".join(self.alphabet[b] for b in s.encode())
-            got = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            self.parts[s] = got
-        return got
+        ids = [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _usual(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
+
     def _word(self, w: str) -> bytes:
-        m = _PLAIN.fullmatch(w)
-        if m:
-            got = self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
-        else:
-            got = self._whole(w)
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        self.words[w] = got
-        return got
+        return self.words[w] if _UNUSUAL.search(w) else self._usual(w)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _CONTROL.search(text):
-            return self._whole(text)
-        get, word = self.words.get, self._word
-        return b"".join([get(w) or word(w) for w in text.split()])
+        if not _UNUSUAL.search(text):
+            return self._usual(text)
+        return self._whole(text) if _CONTROL.search(text) else b"".join([self._word(w) for w in text.split()])
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder a worker process: later tasks of the process find its words."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -103,7 +122,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, k
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         uid = TaskContext.get().partitionId() << 36
         end = np.array([END], "<u4").tobytes()
         for b in thin(batches):
@@ -216,7 +235,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES
         rest = left.count()
         if last or not rest:
             return closed
-        parts = max(1, min(parts // SHRINK, -(-rest // per_partition)))
+        parts = max(1, -(-rest // per_partition))
     return closed
 
 

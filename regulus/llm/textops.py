@@ -6,11 +6,13 @@ the piece (or by the longest single text), never by the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 PIECE = 1 << 20
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -76,11 +78,29 @@ def pieces(column: pa.Array | pa.ChunkedArray, size: int = PIECE) -> Iterator[Pi
         lo = hi
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def thin(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in short batches (views, no copies), so that Python objects are made for few rows at a time."""
     for b in batches:
         for lo in range(0, b.num_rows, rows):
             yield b.slice(lo, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system: idle workers of earlier tasks stay alive for a while."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only the GNU library has it
 
 
 def runs(piece: Piece, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

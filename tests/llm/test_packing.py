@@ -11,7 +11,7 @@ from regulus.llm import packing
 from regulus.llm.queries import QUERIES
 
 ODD = ["Don't stop", "naïve café ÉTÉ", "a\x1cb c", "été ẛ̣", "İstanbul ΣΑΣ ß ẞ", "x<|endoftext|>y", "", "  \n", "日本語 text",
-       "ﬁne ½ ²", "word,. word!? (paren) 'll", "a b c", "ÿ Ÿ µ ª º", "́abc abć d"]
+       "ﬁne ½ ²", "word,. word!? (paren) 'll", "x's ''s 1a2 A¡b ×÷ a\xadb a\x0bc d\xa0e É\u0301 ###&&& é#s", "a b c", "ÿ Ÿ µ ª º", "́abc abć d"]
 
 
 def test_encoder_equals_the_library(spark, sf):
@@ -80,3 +80,32 @@ def test_op2(spark, sf):
         got[r.doc_id] += r.length
     assert dict(got) == {k: len(v) for k, v in docs.items()}
     assert len({r.sequence_id for r in out}) <= -(-sum(map(len, docs.values())) // 2048) + 1
+
+
+def test_groups_stay_within_their_size(spark, monkeypatch):
+    sizes = []
+    real = packing._packer
+
+    def watched(capacity, last):
+        run = real(capacity, last)
+
+        def spy(g):
+            out = run(g)
+            out["gap"] = len(g)  # carried out in place of the gap
+            return out
+        return spy
+
+    monkeypatch.setattr(packing, "_packer", watched)
+    r = np.random.default_rng(7)
+    items = spark.createDataFrame([(i, int(x)) for i, x in enumerate(r.integers(500, 900, 6000))], "uid long, length long")
+    sizes = [x.gap for x in packing.pack(items, per_partition=250).select("gap").distinct().collect()]
+    assert max(sizes) < 1.3 * 250  # dealt by hash: about 250 each in every round
+
+
+def test_memory_of_words_is_bounded_and_keeps_frequent_ones():
+    made = []
+    m = packing.Recent(lambda k: made.append(k) or k.encode(), 10)
+    for i in range(200):
+        assert m[f"rare {i}"] == f"rare {i}".encode() and m["frequent"] == b"frequent"
+        assert len(m) + len(m.old) <= 20
+    assert made.count("frequent") == 1

@@ -54,9 +54,22 @@ def test_stages_on_odd_rows(spark):
     assert cp.pack_sequences(spark, docs, "").count() == 7
 
 
+def test_columns_named_like_the_stages_own(spark):
+    names = ["score", "lang_pred", "bits_per_byte", "_row", "_key", "_mix_size", "_mix_hash", "sid", "t"]
+    text = "a plain text of some words that is long enough to stay here, and it says little more than that."
+    docs = spark.createDataFrame([(i, text + f" no {i % 3}", "en", "ab"[i % 2], 5, *[10 + i] * len(names)) for i in range(9)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == 10 + r.doc_id for r in rows for n in names), name
+    assert cp.pack_sequences(spark, docs, "").count() == 9
+
+
 def test_registered(spark, sf):
     q = entry.queries()
-    assert set(QUERIES) | {"pipeline"} <= set(q) and sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= set(q) and sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert [n for n, _ in cp.STAGES] == ["language", "near duplicates", "personal data", "mixing", "packing"]
     out = q["pipeline"](spark, sf)
     assert out.where(F.col("length") > 2048).count() == 0 and out.count() > 0
