@@ -20,8 +20,7 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a language that the model knows; texts without a letter and incompressible ones go."""
     model = language.fitted(docs, ~language.held_out())
-    scored = language.predict(docs, model, carry=tuple(docs.columns))
-    return language.accepted(scored).select(*docs.columns)
+    return language.kept(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
