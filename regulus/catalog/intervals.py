@@ -8,6 +8,7 @@ from regulus.operators import intervals as I
 from regulus.operators import signal as S
 from regulus.plans.greedy import cover_points, cover_regions, greedy_positions
 from regulus.plans.ordered import exact_percentiles
+from regulus.session import lookup_join
 
 SIZE = 1_100_000
 V = ("v_intervals",)
@@ -289,11 +290,29 @@ def _(t):
  k as (select i.event_id, x.sample from v_intervals i, (select distinct l_returnflag sample from lineitem) x)
 select k.event_id, k.sample, cast(covered as bigint) covered, round(w, 6) / covered mean_signal from k left join g using (event_id, sample)""", ("v_intervals", "v_track"))
 def _(t):
-    regions = t("v_intervals").drop("sample")
-    got = S.region_signal(t("v_track"), regions, ["contig"], ("ts", "te"), ("s", "e"), "value", ["event_id", "sample"])
-    samples = [r[0] for r in t("v_track").select("sample").distinct().collect()]  # O(samples) only
-    asked = regions.select("event_id", F.explode(F.array(*[F.lit(s) for s in sorted(samples)])).alias("sample"))
-    return asked.join(got, ["event_id", "sample"], "left").select("event_id", "sample", "covered", (rd("weighted") / F.col("covered")).alias("mean_signal"))
+    return quantified(t("v_track"), t("v_intervals").drop("sample"))
+
+
+def quantified(track, regions):
+    got = S.region_signal(track, regions, ["contig"], ("ts", "te"), ("s", "e"), "value", ["sample"], ["event_id"])
+    return got.select("event_id", "sample", "covered", (rd("weighted") / F.col("covered")).alias("mean_signal"))
+
+
+# one sample's track names contigs chrc0, chrc1, ..., a stretch of it has no value, and regions on one contig are unknown to all
+@query("a01_track_contig_alias", "A1", """with t as (select sample, case when sample = 'A' then 'chr' || contig else contig end contig, ts, te,
+   case when l_linenumber = 7 then null else value end value from v_track),
+ r as (select event_id, case when event_id % 97 = 0 then 'c9' else contig end contig, s, case when event_id % 89 = 0 then s else e end e from v_intervals),
+ g as (select event_id, t.sample, sum(least(te, e) - greatest(ts, s)) covered, sum(value * (least(te, e) - greatest(ts, s))) w
+   from r join t on regexp_replace(t.contig, '^chr', '') = r.contig and ts < e and te > s where value is not null and s < e group by 1, 2),
+ k as (select r.event_id, x.sample from r, (select distinct l_returnflag sample from lineitem) x)
+select k.event_id, k.sample, cast(covered as bigint) covered, round(w, 6) / covered mean_signal from k left join g using (event_id, sample)""", ("v_intervals", "v_track"))
+def _(t):
+    track = t("v_track").withColumn("contig", F.when(F.col("sample") == "A", F.concat(F.lit("chr"), "contig")).otherwise(F.col("contig")))
+    track = track.withColumn("value", F.when(F.col("l_linenumber") != 7, F.col("value")))
+    regions = t("v_intervals").drop("sample").withColumn("contig", F.when(F.col("event_id") % 97 == 0, "c9").otherwise(F.col("contig")))
+    regions = regions.withColumn("e", F.when(F.col("event_id") % 89 == 0, F.col("s")).otherwise(F.col("e")))
+    one = S.contig_alias(F.col("contig"))
+    return quantified(track.withColumn("contig", one), regions.withColumn("contig", one))
 
 
 @query("a16_union_length", "A16", """with i as (select *, case when s <= max(e) over (partition by contig order by s, e
@@ -348,7 +367,7 @@ select case when center is null then 'no annotation' when size is null then 'con
  when center + 50000 > size then 'past end' else 'valid' end reason, count(*) n, min(center) first_center from a group by 1""", ("v_points",))
 def _(t):
     known = sizes(t).where("contig <> 'c4'")
-    df = t("v_points").withColumn("center", F.when(F.col("payload") > 1000, F.col("pos"))).join(known, "contig", "left")
+    df = lookup_join(t("v_points").withColumn("center", F.when(F.col("payload") > 1000, F.col("pos"))), known, ["contig"])
     return I.centred_window_reason(df, "center", "size", 100_000).groupBy("reason").agg(
         F.count(F.lit(1)).alias("n"), F.min("center").alias("first_center"))
 

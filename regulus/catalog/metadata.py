@@ -135,10 +135,10 @@ def _(t):
     return a.join(b, "k", "left").agg(F.count(F.lit(1)).alias("n"), F.count("w").alias("n_matched"), rd(ST.safe_corr("v", "w")).alias("r"))
 
 
-@query("j12_key_universe", "J12", """with p as (select distinct l_returnflag || l_linestatus source, l_partkey k from lineitem where l_quantity > 25), n as (select count(distinct source) n from p), c as (select k from p group by 1 having count(*) = (select n from n))
+@query("j12_key_universe", "J12", """with p as (select distinct l_returnflag || l_linestatus source, l_partkey k from lineitem), n as (select count(distinct source) n from p), c as (select k from p group by 1 having count(*) = (select n from n))
 select source, count(*) n_keys, count(c.k) n_shared, count(*) - count(c.k) n_lost from p left join c using (k) group by 1""")
 def _(t):
-    p = t("lineitem").where("l_quantity > 25").select(F.concat("l_returnflag", "l_linestatus").alias("source"), F.col("l_partkey").alias("k"))
+    p = t("lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("source"), F.col("l_partkey").alias("k"))
     return M.shared_keys(p, "source", "k")
 
 
@@ -159,10 +159,10 @@ def _(t):
     return M.harmonise(obs, "source", "symbol", "v", reg, "sym", ["prev"])
 
 
-@query("j14_membership", "J14", """with p as (select distinct l_partkey k, l_returnflag f from lineitem where l_quantity > 40), m as (select p_partkey k from part where p_size > 20)
+@query("j14_membership", "J14", """with p as (select distinct l_partkey k, l_returnflag f from lineitem), m as (select p_partkey k from part where p_size > 20)
 select f, count(*) n, count(*) filter (k in (select k from m)) n_in, round(100.0 * count(*) filter (k in (select k from m)) / count(*), 6) pct from p group by 1""")
 def _(t):
-    p = t("lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("f"))
+    p = t("lineitem").select(F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("f"))
     out = X.membership(p, t("part").where("p_size > 20").select(F.col("p_partkey").alias("k")), "k", ["f"])
     return out.withColumn("pct", rd("pct"))
 

@@ -125,9 +125,72 @@ def _(t):
     df = t("embeddings").select("vec_id", "label", e.alias("fwd"), F.reverse(e).alias("rc"), (truth + (F.col("vec_id") % 7 - 3) / 50.0).alias("target"),
                                 F.when(F.col("label") <= 5, "train").when(F.col("label") <= 7, "stop").otherwise("eval").alias("fold"))
     df = cut(df)
-    w, b, reg = U.fit_head(df, "fwd", "rc", "target", "fold", (0.0, 0.01, 0.1))
-    scored_rows = df.withColumn("pred", U.linear_score(F.col("fwd"), F.col("rc"), w, b))
-    return ST.correlations(scored_rows, ["fold"], "pred", "target").withColumn("penalty", F.lit(float(reg)))
+    head = U.fit_head(df, "fwd", "rc", "target", "fold", (0.0, 0.01, 0.1))
+    scored_rows = U.score_heads(df, "fwd", "rc", head, ["fold", "target"], which="head")
+    return ST.correlations(scored_rows, ["fold"], "pred", "target").withColumn("penalty", F.lit(float(head.penalty)))
+
+
+# a target without noise gives back the weights it was made with: forward and reverse features share the mean of a weight and its mirror
+@query("u02_head_known_weights", "U2", f"""with w as (select unnest({wsql(29)}) w, unnest(range(0, 64)) i)
+select a.i::int i, round((a.w + b.w) / 2, 3) + 0.0 weight from w a join w b on b.i = 63 - a.i union all select 64, 0.5""")
+def _(t):
+    e = F.col("embedding")
+    df = t("embeddings").select(e.alias("fwd"), F.reverse(e).alias("rc"), U.linear_score(e, F.reverse(e), weights(64, 29), 0.5).alias("target"),
+                                F.when(F.col("label") <= 5, "train").when(F.col("label") <= 7, "stop").otherwise("eval").alias("fold"))
+    head = U.fit_head(df, "fwd", "rc", "target", "fold", (0.0,), max_epochs=50_000, least_gain=1e-15)
+    rows = [(i, round(float(w), 3) + 0.0) for i, w in enumerate(head.weights[:, 0])]
+    return t("embeddings").sparkSession.createDataFrame(rows, "i int, weight double")
+
+
+# the stop fold follows half the slope of the training fold, so its loss falls, turns, and ends the training
+@query("u02_head_early_stop", "U2", """with recursive x as (select o_orderkey % 10 k, o_totalprice::double / 100000 - 1.5 f from orders),
+ r as (select k, f, f * 0.9 + 0.1 g, case when k <= 5 then 2 * f + 1 else f + 0.7 end t from x where k <= 7),
+ tr as (select 2.0 * count(*) n, sum(f) + sum(g) sx, sum(f * f) + sum(g * g) sxx, sum(f * t) + sum(g * t) sxy, 2 * sum(t) sy from r where k <= 5),
+ st as (select count(*) n, sum(f + g) / 2 sx, sum((f + g) * (f + g)) / 4 sxx, sum((f + g) * t) / 2 sxy, sum(t) sy, sum(t * t) syy from r where k > 5),
+ ep(e, w, b) as (select 0, 0.0::double, 0.0::double union all
+   select e + 1, w - 0.05 * 2 * (sxx * w + sx * b - sxy) / n, b - 0.05 * 2 * (sx * w + n * b - sy) / n from ep, tr where e < 300),
+ loss as (select e, w, b, (w * w * sxx + 2 * w * b * sx + b * b * n - 2 * w * sxy - 2 * b * sy + syy) / n l from ep, st where e > 0),
+ run(e, best, bad, found) as (select 0, 1e300::double, 0, 0 union all
+   select loss.e, case when l < best - 1e-7 then l else best end, case when l < best - 1e-7 then 0 else bad + 1 end, case when l < best - 1e-7 then loss.e else found end
+   from run join loss on loss.e = run.e + 1 where bad < 5),
+ done as (select max(e) epochs, max(found) found, min(best) best from run)
+select epochs::bigint epochs, found::bigint best_epoch, round(best, 6) loss, round(w, 6) weight, round(b, 6) bias from done join loss on loss.e = found""")
+def _(t):
+    f, k = F.col("o_totalprice").cast("double") / 100000 - 1.5, F.col("o_orderkey") % 10
+    df = t("orders").select(F.array(f).alias("fwd"), F.array(f * 0.9 + 0.1).alias("rc"), F.when(k <= 5, 2 * f + 1).when(k <= 7, f + 0.7).alias("target"),
+                            F.when(k <= 5, "train").when(k <= 7, "stop").otherwise("eval").alias("fold"))
+    head = U.fit_head(df, "fwd", "rc", "target", "fold", (0.0,), max_epochs=300, patience=5, rate=0.05)
+    row = (int(head.epochs[0]), int(head.best_epoch[0]), round(float(head.loss[0]), 6), *[round(float(w), 6) for w in head.weights[:, 0]])
+    return t("orders").sparkSession.createDataFrame([row], "epochs long, best_epoch long, loss double, weight double, bias double")
+
+
+REFITS = 100
+
+
+@query("a46_refit_null", "A46", f"""with v as (select vec_id, embedding[1]::double a1, embedding[2]::double a2, embedding[3]::double b1, embedding[4]::double b2,
+   vec_id % 7 + 3 * embedding[1]::double y, label + 2 * embedding[1]::double m, case when vec_id % 10 < 6 then 'train' when vec_id % 10 < 8 then 'stop' else 'eval' end fold from embeddings),
+ k as (select *, row_number() over (order by md5(vec_id::varchar)) i from v where fold = 'train'),
+ s as (select seed, y, row_number() over (partition by seed order by md5(seed::varchar || '-' || vec_id::varchar)) i from v, range(0, {REFITS}) r(seed) where fold = 'train'),
+ yy as (select seed, a1, a2, b1, b2, s.y from k join s using (i) union all select -1, a1, a2, b1, b2, y from v where fold = 'train'),
+ x as (select seed, a1 p, a2 q, y from yy union all select seed, b1, b2, y from yy),
+ c as (select seed, covar_pop(p, y) cp, covar_pop(q, y) cq, var_pop(p) + 0.01 vp, var_pop(q) + 0.01 vq, covar_pop(p, q) cpq from x group by 1),
+ w as (select seed, (cp * vq - cq * cpq) / (vp * vq - cpq * cpq) w1, (cq * vp - cp * cpq) / (vp * vq - cpq * cpq) w2 from c),
+ sc as (select seed, w1 * (a1 + b1) / 2 + w2 * (a2 + b2) / 2 pred, m from v, w where fold = 'eval'),
+ rk as (select seed, rank() over (partition by seed order by pred) + (count(*) over (partition by seed, pred) - 1) / 2.0 rx, rank() over (partition by seed order by m) + (count(*) over (partition by seed, m) - 1) / 2.0 ry from sc),
+ rho as (select seed, corr(rx, ry) rho from rk group by 1), nul as (select rho from rho where seed >= 0), real as (select rho from rho where seed = -1)
+select round(any_value(real.rho), 6) + 0.0 real, count(*) n_perm, round(avg(nul.rho), 6) + 0.0 null_mean, round(stddev_samp(nul.rho), 6) null_sd, count(*) filter (nul.rho >= real.rho) n_beating,
+ round((count(*) filter (nul.rho >= real.rho) + 1) / (count(*) + 1), 9) p, round(1 / (count(*) + 1), 9) p_floor from nul, real""")
+def _(t):
+    def e(i):
+        return F.col("embedding")[i].cast("double")
+
+    k = F.col("vec_id") % 10
+    df = t("embeddings").select("vec_id", F.array(e(0), e(1)).alias("fwd"), F.array(e(2), e(3)).alias("rc"), (F.col("vec_id") % 7 + 3 * e(0)).alias("target"),
+                                (F.col("label") + 2 * e(0)).alias("measured"), F.when(k < 6, "train").when(k < 8, "stop").otherwise("eval").alias("fold"))
+    null, real = N.refit_null(df, "vec_id", "fwd", "rc", "target", "fold", "measured", tuple(range(REFITS)), penalty=0.01)
+    out = N.empirical_p(null.withColumn("g", F.lit(1)), real.withColumn("g", F.lit(1)), "rho", ["g"])
+    return out.select(rd("real").alias("real"), "n_perm", rd("null_mean").alias("null_mean"), rd("null_sd").alias("null_sd"), "n_beating",
+                      rd("p", 9).alias("p"), rd("p_floor", 9).alias("p_floor"))
 
 
 @query("a48_untrained_scorer", "A48", f"""with {PRED.format(w=wsql())}, q as (select vec_id, label meas, pred from p), u as (select vec_id, (list_dot_product(embedding::double[], {wsql(53)}) + list_dot_product(list_reverse(embedding)::double[], {wsql(53)})) / 2 + 0.25 upred from embeddings),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from regulus.operators.stats import rank_sum, welch
 from regulus.plans.ordered import add_average_ranks, ordered_values
-from regulus.session import lookup_join
+from regulus.session import keyed_join, lookup_join
 
 
 def subtract_baseline(df: DataFrame, baseline: Column, on: Sequence[str], value: str, out: str = "delta") -> DataFrame:
@@ -58,7 +58,7 @@ def additivity(summary: DataFrame, label: str, strata: Sequence[str], single_str
               .withColumn("_share", 1.0 / F.size(parts)).withColumn("_member", F.explode(parts)))
     singles = (summary.where(F.size(parts) == 1).groupBy(F.col(label).alias("_member"), *single_strata)
                .agg(F.avg("adjusted").alias("_one"), F.max("adjusted_sem").alias("_one_sem")))
-    j = combos.join(singles, ["_member", *single_strata])
+    j = keyed_join(combos, singles, ["_member", *single_strata])
     return (j.groupBy(label, *strata)
             .agg(F.first("adjusted").alias("observed"), F.first("adjusted_sem").alias("observed_sem"),
                  F.sum(F.col("_one") * F.col("_share")).alias("expected"),
@@ -83,7 +83,7 @@ def paired_battery(pairs: DataFrame, by: Sequence[str], value: str) -> DataFrame
     ranked = add_average_ranks(pairs.where(d != 0).withColumn("_abs", F.abs(d)), by, {"_abs": "_rank"})
     w = ranked.groupBy(*by).agg(F.coalesce(F.sum(F.when(d > 0, F.col("_rank"))), F.lit(0.0)).alias("w_plus"),
                                 F.coalesce(F.sum(F.when(d < 0, F.col("_rank"))), F.lit(0.0)).alias("w_minus"))
-    return base.join(signs, list(by)).join(w, list(by), "left")
+    return keyed_join(keyed_join(base, signs, by), w, by, "left")
 
 
 def presence_contrast(long: DataFrame, by: Sequence[str], present: Column, value: str, min_side: int = 1) -> DataFrame:
@@ -91,7 +91,7 @@ def presence_contrast(long: DataFrame, by: Sequence[str], present: Column, value
     rows = long.withColumn("_present", present)
     t = welch(rows, by, value, F.col("_present"))
     u = rank_sum(rows, by, value, F.col("_present")).select(*by, "u", "z")
-    j = t.join(u, list(by)).withColumn("delta", F.col("mean1") - F.col("mean0"))
+    j = keyed_join(t, u, by).withColumn("delta", F.col("mean1") - F.col("mean0"))
     return j.where((F.col("n1") >= min_side) & (F.col("n0") >= min_side))
 
 

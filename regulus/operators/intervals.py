@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from regulus.plans.range_join import overlap_join, point_join
 from regulus.plans.tiling import (TILE, attach_neighbours, depth_segments, gap_clusters,
                                   running_sums, tile_expr)
-from regulus.session import salted_join
+from regulus.session import keyed_join, salted_join
 
 
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "s", end: str = "e") -> DataFrame:
@@ -46,7 +46,7 @@ def summit_clusters(points: DataFrame, contig: str, pos: str, sample: str, gap:
     support = (salted_join(votes, numbered.select(contig, pos, "cluster"), [contig, pos])
                .groupBy(*key).agg(F.count_distinct(sample).alias("n_samples")))
     mid = F.floor((F.col("_lo") + F.col("_hi")) / 2).cast("long")
-    return (median.join(support.where(F.col("n_samples") >= min_support), key)
+    return (keyed_join(median, support.where(F.col("n_samples") >= min_support), key)
             .select(contig, "n_points", "n_samples", mid.alias("summit")))
 
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regulus.operators.model import head_sums, score_heads, solve_head, train_head
+from regulus.operators.stats import correlations
 from regulus.plans.tiling import running_sums
 from regulus.session import cut, keyed_join, shuffle_partitions, spread, with_size_hint
 
@@ -61,6 +63,28 @@ def empirical_p(null: DataFrame, real: DataFrame, stat: str, by: Sequence[str])
             .withColumn("p_floor", 1 / (F.col("n_perm") + 1)))
 
 
+def refit_null(df: DataFrame, ident: str, fwd: str, rc: str, target: str, fold: str, measured: str, seeds: Sequence[int],
+               penalty: float = 0.0, epochs: int | None = None, patience: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Refit the linear head for every seeded shuffle of the target within its fold; correlate on the eval fold.
+
+    Returns (null, real): (seed, rho) per shuffle, and the same statistic of the unshuffled target. All targets are
+    columns of one right-hand side over shared Gram matrices, summed in one pass, and all heads are trained and
+    scored together. ``epochs`` None takes the closed solution, else gradient epochs with early stop. ``ident`` is
+    distinct; rows without a target are left out of the fit.
+    """
+    known = cut(df.where(F.col(fold).isin("train", "stop") & F.col(target).isNotNull()))
+    drawn = shuffle_within(known.select(fold, ident, F.col(target).cast("double").alias(target)), [fold], ident, target, seeds)
+    columns = drawn.groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("seed", "shuffled"))).alias("_s"))
+    targets = F.concat(F.array(F.col(target).cast("double")), F.transform("_s", lambda x: x["shuffled"]))
+    sums = head_sums(known.join(columns, ident).withColumn("_targets", targets), fwd, rc, "_targets", fold)
+    train, stop = sums["train"], sums["stop"]
+    head = solve_head(train, stop, penalty) if epochs is None else train_head(train, stop, epochs, patience, penalty)
+    scored = score_heads(df.where(F.col(fold) == "eval"), fwd, rc, head, [measured])
+    rho = cut(correlations(scored, ["target"], "pred", measured).select("target", F.col("spearman").alias("rho")))
+    order = F.create_map(*[F.lit(x) for i, s in enumerate(sorted(seeds)) for x in (i + 1, s)])
+    return rho.where("target > 0").select(order[F.col("target")].alias("seed"), "rho"), rho.where("target = 0").select("rho")
+
+
 MOST_SAMPLES = 24
 
 
@@ -88,6 +112,6 @@ def exact_null(rows: DataFrame, index: str, value: str, by: Sequence[str], n: in
                                            F.sum(F.when(~on, F.col(value)).otherwise(0)).alias("_off"))
             .withColumn("stat", F.col("_on") * (n - k) - F.col("_off") * k))
     real = stat.where(F.col("mask") == real_mask).select(*by, F.col("stat").alias("real"))
-    return (stat.join(real, list(by)).groupBy(*by)
+    return (keyed_join(stat, real, by).groupBy(*by)
             .agg(F.count(F.lit(1)).alias("n_partitions"), F.count_if(F.col("stat") >= F.col("real")).alias("n_at_least"))
             .withColumn("p", F.col("n_at_least") / F.col("n_partitions")).withColumn("p_floor", 1 / F.col("n_partitions")))

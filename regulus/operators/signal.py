@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regulus.plans.range_join import overlap_join
-from regulus.session import keyed_join, lookup_join
+from regulus.plans.integrals import integrals_at
+from regulus.plans.tiling import TILE
+from regulus.session import cut, keyed_join, lookup_join, salted_join
 
 
 @dataclass(frozen=True)
@@ -21,17 +22,41 @@ class Contrast:
     off: tuple[str, ...]
 
 
-def region_signal(track: DataFrame, regions: DataFrame, keys: Sequence[str], tspan: tuple[str, str],
-                  rspan: tuple[str, str], value: str, by: Sequence[str], width: int = 512) -> DataFrame:
-    """Covered-base mean of a value track over each region: sum(v * overlap) / sum(overlap).
+def contig_alias(name: Column) -> Column:
+    """One spelling for ``1`` and ``chr1``, to be applied to both sides of a join by contig."""
+    return F.regexp_replace(name, "^chr(?=.)", "")
+
 
-    Regions without a covered base are absent; left-join them back where NULL rows are wanted.
+def region_signal(track: DataFrame, regions: DataFrame, keys: Sequence[str], tspan: tuple[str, str],
+                  rspan: tuple[str, str], value: str, sample: Sequence[str], region: Sequence[str], scale: int = 6,
+                  width: int = TILE) -> DataFrame:
+    """Covered-base mean of every sample's track over every region: sum(v * overlap) / sum(overlap).
+
+    One row per (``region``, ``sample``), with ``covered`` (bases under runs, a base under two runs counts twice),
+    ``weighted`` and ``mean_signal``; all three are NULL where nothing is covered, the contig has no run, or the
+    region is empty. The running integrals of value and coverage are read at the two ends of a region, so no
+    (run, region) pair is formed and a region's length costs nothing. Values are rounded to ``scale`` decimals
+    first and then summed exactly. Runs without a value or of no length count as not there. NULL contigs meet each other.
     """
-    ov = F.least(tspan[1], rspan[1]) - F.greatest(tspan[0], rspan[0])
-    pairs = overlap_join(track, regions, keys, tspan, rspan, width).withColumn("_ov", ov)
-    return (pairs.groupBy(*by)
-            .agg(F.sum("_ov").cast("long").alias("covered"), F.sum(F.col(value) * F.col("_ov")).alias("weighted"))
-            .withColumn("mean_signal", F.col("weighted") / F.col("covered")))
+    keys, sample = list(keys), list(sample)
+    units = F.round(F.col(value).cast("double") * 10**scale).cast("long")
+    there = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.col(tspan[0]) < F.col(tspan[1]))
+    ends = F.explode(F.array(*[F.struct(F.col(p).cast("long").alias("pos"), F.lit(sign).cast("long").alias("n"), (units * sign).alias("u"))
+                               for p, sign in zip(tspan, (1, -1))])).alias("_e")
+    steps = track.where(there).select(*keys, *sample, ends).select(*keys, *sample, "_e.*")
+    # every sample is asked for every region; the list of samples is one row
+    names = track.select(F.sort_array(F.collect_set(F.struct(*sample))).alias("all"))
+    wanted = regions.withColumn("_s", F.explode(names.scalar())).select("*", *[F.col(f"_s.{c}").alias(c) for c in sample]).drop("_s")
+    points = wanted.select(*keys, *sample, F.explode(F.array(*[F.col(p).cast("long") for p in rspan])).alias("pos"))
+    at = cut(integrals_at(steps, points, [*keys, *sample], ["n", "u"], width))
+    out = wanted
+    for p, tag in zip(rspan, ("0", "1")):
+        ends_at = at.withColumnsRenamed({"pos": p, "int_n": f"_n{tag}", "int_u": f"_u{tag}"})
+        out = salted_join(out, ends_at, [*keys, *sample, p], "left")
+    covered = F.when(F.col(rspan[0]) < F.col(rspan[1]), (F.col("_n1") - F.col("_n0")).cast("long"))
+    out = out.select(*region, *sample, F.nullif(covered, F.lit(0)).alias("covered"), ((F.col("_u1") - F.col("_u0")).cast("double") / 10**scale).alias("weighted"))
+    weighted = F.when(F.col("covered").isNotNull(), F.col("weighted"))
+    return out.select(*region, *sample, "covered", weighted.alias("weighted"), (weighted / F.col("covered")).alias("mean_signal"))
 
 
 def mean_one(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Greedy selection along a line ("keep the first, then the next at least ``step`` further").
 
-The choice looks sequential, but within a tile it depends on the past only through the first kept
-position. So each tile reports, for every possible entry, where it would leave; one light fold per
-contig chains the tiles; then each tile walks from its true entry. A tile holds at most ``width``
-distinct positions and the fold at most 1/16 of a contig's length, however dense the data.
+The choice looks sequential, but what a stretch does depends on the past only through its first kept position. So
+each tile reports, for every position it may be entered at, where it would leave. Such maps compose: the maps of up
+to ``FAN`` neighbouring nodes give the map of their parent, and so on to the one root of a line. Then the true
+entries go down again, parent by parent, and each tile walks from its own. Every group holds the maps of ``FAN``
+nodes, at most ``step`` + 1 entries each (a sixteenth of a tile), whatever a line's length; the number of
+rounds is the logarithm of the number of tiles to the base ``FAN``.
 """
 
 from __future__ import annotations
@@ -15,48 +17,84 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regulus.plans.tiling import TILE, neighbours, tile_expr
+from regulus.plans.tiling import TILE, attach_neighbours, tile_expr
+from regulus.session import cut, keyed_join, lookup_join
+
+FAN = 32
+
+
+def _tile_exits(a: np.ndarray, start: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entry positions of a tile that begins at ``start`` (sorted positions ``a``), and the last position kept from each."""
+    after = np.searchsorted(a, a + step)
+    leave = a.copy()
+    for i in range(len(a) - 1, -1, -1):
+        if after[i] < len(a):
+            leave[i] = leave[after[i]]
+    first = int(np.searchsorted(a, start + step)) + 1
+    return a[:first], leave[:first]
+
+
+def _compose(node: np.ndarray, entry: np.ndarray, leave: np.ndarray, start: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The map of a parent that begins at ``start`` from the maps of its children, sorted by (node, entry)."""
+    edge = np.append(np.unique(node, return_index=True)[1], len(node))
+    first = min(int(np.searchsorted(entry, start + step)) + 1, len(entry))
+    last = leave[:first].copy()
+    for lo, hi in zip(edge[1:-1], edge[2:]):
+        # entries of earlier children go on at the first position far enough, if this child has one
+        n = min(lo, first)
+        at = lo + np.searchsorted(entry[lo:hi], last[:n] + step)
+        into = at < hi
+        last[:n][into] = leave[at[into]]
+    return entry[:first], last
+
+
+def _descend(node: np.ndarray, entry: np.ndarray, leave: np.ndarray, start: int, step: int) -> list[tuple[int, int]]:
+    """(child, its true entry) of a parent entered at ``start``; children that nothing is kept in are left out."""
+    edge = np.append(np.unique(node, return_index=True)[1], len(node))
+    out, least = [], start
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        at = lo + int(np.searchsorted(entry[lo:hi], least))
+        if at < hi:
+            out.append((int(node[lo]), int(entry[at])))
+            least = int(leave[at]) + step
+    return out
 
 
 def greedy_positions(points: DataFrame, keys: Sequence[str], pos: str, step: int,
-                     width: int = TILE) -> DataFrame:
-    """Kept positions per ``keys`` for a minimum spacing of ``step``."""
+                     width: int = TILE, fan: int = FAN) -> DataFrame:
+    """Kept positions per ``keys`` for a minimum spacing of ``step``. NULL keys are a line of their own."""
     keys = list(keys)
     width = max(width, 16 * step)
-    distinct = (points.where(F.col(pos).isNotNull()).groupBy(*keys, F.col(pos).cast("long").alias("_pos"))
-                .agg(F.lit(1).alias("_one")).drop("_one").withColumn("_tile", tile_expr("_pos", width)))
-    key_ddl = ", ".join(f"{k} {distinct.schema[k].dataType.simpleString()}" for k in keys)
-
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.sort(pdf["_pos"].to_numpy())
-        after = np.searchsorted(a, a + step)
-        leave = a.copy()
-        for i in range(len(a) - 1, -1, -1):
-            if after[i] < len(a):
-                leave[i] = leave[after[i]]
-        first = int(np.searchsorted(a, int(pdf["_tile"].iloc[0]) * width + step)) + 1
-        out = pd.DataFrame({"entry": a[:first], "leave": leave[:first]})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        out["_tile"] = pdf["_tile"].iloc[0]
-        return out[[*keys, "_tile", "entry", "leave"]]
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_tile", "entry"], ignore_index=True)
-        tiles, starts = np.unique(pdf["_tile"].to_numpy(), return_index=True)
-        bounds = np.append(starts, len(pdf))
-        entry, leave = pdf["entry"].to_numpy(), pdf["leave"].to_numpy()
-        last, chosen = None, []
-        for t in range(len(tiles)):
-            lo, hi = bounds[t], bounds[t + 1]
-            i = lo if last is None else lo + int(np.searchsorted(entry[lo:hi], last + step))
-            if i < hi:
-                chosen.append((tiles[t], entry[i]))
-                last = leave[i]
-        out = pd.DataFrame(chosen, columns=["_tile", "entry"])
+    distinct = cut(points.where(F.col(pos).isNotNull()).groupBy(*keys, F.col(pos).cast("long").alias("_pos"))
+                   .agg(F.lit(1).alias("_one")).drop("_one").withColumn("_tile", tile_expr("_pos", width)))
+    least, most = distinct.agg(F.min("_tile"), F.max("_tile")).first()
+    base = least or 0
+    distinct = distinct.withColumn("_node", F.col("_tile") - F.lit(base)).drop("_tile")
+    key_ddl = "".join(f"{k} {distinct.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def framed(pdf: pd.DataFrame, **cols) -> pd.DataFrame:
+        out = pd.DataFrame(cols)
         for k in keys:
             out[k] = pdf[k].iloc[0]
-        return out[[*keys, "_tile", "entry"]]
+        return out[[*keys, *cols]]
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = int(pdf["_node"].iloc[0])
+        entry, leave = _tile_exits(np.sort(pdf["_pos"].to_numpy()), (node + base) * width, step)
+        return framed(pdf, _node=np.full(len(entry), node), entry=entry, leave=leave)
+
+    def composed(size: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["_node", "entry"], ignore_index=True)
+            parent = int(pdf["_node"].iloc[0]) // fan
+            entry, leave = _compose(*(pdf[c].to_numpy() for c in ("_node", "entry", "leave")), (parent * fan * size + base) * width, step)
+            return framed(pdf, _node=np.full(len(entry), parent), entry=entry, leave=leave)
+        return run
+
+    def descended(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_node", "entry"], ignore_index=True)
+        found = _descend(*(pdf[c].to_numpy() for c in ("_node", "entry", "leave")), int(pdf["_from"].iloc[0]), step)
+        return framed(pdf, _node=[n for n, _ in found], entry=[e for _, e in found])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.sort(pdf["_pos"].to_numpy())
@@ -64,16 +102,23 @@ def greedy_positions(points: DataFrame, keys: Sequence[str], pos: str, step: int
         while i < len(a):
             kept.append(a[i])
             i = int(np.searchsorted(a, a[i] + step))
-        out = pd.DataFrame({pos: np.array(kept, dtype="int64")})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, pos]]
-
-    entries = (distinct.groupBy(*keys, "_tile")
-               .applyInPandas(exits, f"{key_ddl}, _tile long, entry long, leave long")
-               .groupBy(*keys).applyInPandas(chain, f"{key_ddl}, _tile long, entry long"))
-    return (distinct.join(entries, [*keys, "_tile"]).groupBy(*keys, "_tile")
-            .applyInPandas(walk, f"{key_ddl}, {pos} long"))
+        return framed(pdf, **{pos: np.array(kept, dtype="int64")})
+
+    ddl = f"{key_ddl}_node long, entry long"
+    parent = F.floor(F.col("_node") / fan)
+    levels = [cut(distinct.groupBy(*keys, "_node").applyInPandas(exits, f"{ddl}, leave long"))]
+    nodes, size = (most or 0) - base + 1, 1
+    while nodes > 1:
+        levels.append(cut(levels[-1].groupBy(*keys, parent.alias("_up")).applyInPandas(composed(size), f"{ddl}, leave long")))
+        nodes, size = -(-nodes // fan), size * fan
+    # the root of every line is entered at its least position
+    entries = levels[-1].groupBy(*keys, "_node").agg(F.min("entry").alias("entry"))
+    for below in reversed(levels[:-1]):
+        known = entries.withColumnsRenamed({"_node": "_up", "entry": "_from"})
+        entries = cut(keyed_join(below.withColumn("_up", parent), known, [*keys, "_up"])
+                      .groupBy(*keys, "_up").applyInPandas(descended, ddl))
+    return (keyed_join(distinct, entries, [*keys, "_node"]).groupBy(*keys, "_node")
+            .applyInPandas(walk, f"{key_ddl}{pos} long"))
 
 
 def cover_points(points: DataFrame, keys: Sequence[str], pos: str, span: int) -> DataFrame:
@@ -91,7 +136,7 @@ def cover_regions(regions: DataFrame, sizes: DataFrame, half: int, span: int,
     off = (length - span) // 2
     limit = F.greatest(F.col("size") - off, F.lit(off + span))
     left_out = F.col("center") - half < off
-    flagged = (regions.join(sizes, "contig", "left")
+    flagged = (lookup_join(regions, sizes, ["contig"])
                .withColumn("_left", left_out)
                .withColumn("status", F.when(F.col("size").isNull(), "no_contig")
                            .when(left_out | (F.col("center") + half > limit), "unplaceable")
@@ -99,15 +144,14 @@ def cover_regions(regions: DataFrame, sizes: DataFrame, half: int, span: int,
     # a region lost at the left edge still opens the window at 0 before any other
     opens_zero = (flagged.where("_left and size is not null").select("contig").distinct()
                   .withColumn("_zero", F.lit(True)))
-    flagged = (flagged.join(opens_zero, "contig", "left")
+    flagged = (lookup_join(flagged, opens_zero, ["contig"])
                .withColumn("_in_zero", F.coalesce("_zero", F.lit(False)) & (F.col("status") == "placed")
                            & (F.col("center") + half <= off + span)))
     rest = flagged.where("status = 'placed' and not _in_zero")
     heads = greedy_positions(rest.select("contig", "center"), ["contig"], "center", span - 2 * half + 1)
-    prev = (neighbours(rest.select("contig", "center"), heads.withColumnRenamed("center", "head"),
-                       ["contig"], "center", "head", sides=["prev"]).select("contig", "center", F.col("prev.at").alias("_head")))
-    wstart = F.greatest(F.lit(0).cast("long"), F.least(F.col("_head") - half - off, F.col("size") - length))
-    placed = rest.join(prev, ["contig", "center"]).withColumn("wstart", wstart).drop("_head")
+    found = attach_neighbours(rest, heads.withColumnRenamed("center", "head"), ["contig"], "center", "head", sides=["prev"])
+    wstart = F.greatest(F.lit(0).cast("long"), F.least(F.col("prev.at") - half - off, F.col("size") - length))
+    placed = found.withColumn("wstart", wstart).drop("prev")
     others = (flagged.where("status <> 'placed' or _in_zero")
               .withColumn("wstart", F.when(F.col("_in_zero"), F.lit(0).cast("long"))))
     return placed.unionByName(others).drop("_left", "_zero", "_in_zero")

@@ -39,6 +39,23 @@ def test_greedy_skips_empty_tiles(spark):
     assert {r.pos for r in greedy_positions(df, ["contig"], "pos", 5, width=80).collect()} == {0, 10, 100_000}
 
 
+def test_greedy_composes_many_tiles(spark):
+    rng = random.Random(8)
+    pos = sorted({rng.randrange(-40_000, 60_000) for _ in range(9000)} | set(range(0, 900)))
+    want, last = [], None
+    for p in pos:
+        if last is None or p - last >= 6:
+            want.append(p)
+            last = p
+    df = spark.createDataFrame([(None, p) for p in pos] + [("b", p) for p in pos[:50]], "contig string, pos long")
+    # tiles of 96 positions: over 1,000 on the NULL contig, composed three at a time over seven levels
+    for fan in (3, 32):
+        got = greedy_positions(df, ["contig"], "pos", 6, width=1, fan=fan).collect()
+        assert sorted(r.pos for r in got if r.contig is None) == want
+        assert sorted(r.pos for r in got if r.contig == "b") == [p for p in want if p <= pos[49]]
+    assert greedy_positions(df.limit(0), ["contig"], "pos", 6).count() == 0
+
+
 def sequential_cover(regions, size, half, span, length):
     off = (length - span) // 2
     out = {}
