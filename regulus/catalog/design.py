@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from regulus.catalog.registry import query, rd
+from regulus.catalog.tails import T_975, normal_sql, t_sql
 from regulus.functions import special as P
 from regulus.operators import design as D
 from regulus.operators import stats as ST
@@ -96,13 +97,15 @@ def arrangement_pairs(t):
     return D.paired_difference(combo(t).drop("plus", "minus"), ["label", "load", "seed"], "arrangement", "F", "O", "adjusted", "d")
 
 
-@query("a35_arrangement_contrast", "A35", f"""with {COMBO}, {ARR} select label, load, count(*) n, round(avg(a), 6) + 0.0 interleaved, round(avg(b), 6) + 0.0 clustered,
- round(avg(d), 6) + 0.0 difference, round(stddev_samp(d) / sqrt(count(*)), 6) sem, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 5) + 0.0 t from d group by 1, 2""", VC)
+@query("a35_arrangement_contrast", "A35", f"""with {COMBO}, {ARR}, o as (select label, load, count(*) - 1.0 df, avg(d) / (stddev_samp(d) / sqrt(count(*))) tt from d group by 1, 2),
+ p as (select label, load, round({t_sql("tt", "df")}, 6) + 0.0 p from o), r as (select label, load, count(*) n, round(avg(a), 6) + 0.0 interleaved, round(avg(b), 6) + 0.0 clustered,
+ round(avg(d), 6) + 0.0 difference, round(stddev_samp(d) / sqrt(count(*)), 6) sem, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 5) + 0.0 t from d group by 1, 2) select r.*, p from r join p using (label, load)""", VC)
 def _(t):
     p = arrangement_pairs(t)
     g = p.groupBy("label", "load").agg(rd(F.avg("plus")).alias("interleaved"), rd(F.avg("minus")).alias("clustered"))
     o = D.one_sample(p, ["label", "load"], "d")
-    return o.join(g, ["label", "load"]).select("label", "load", "n", "interleaved", "clustered", rd("mean").alias("difference"), rd("sem").alias("sem"), rd("t", 5).alias("t"))
+    return o.join(g, ["label", "load"]).select("label", "load", "n", "interleaved", "clustered", rd("mean").alias("difference"), rd("sem").alias("sem"), rd("t", 5).alias("t"),
+                                               rd(P.t_p("t", "df")).alias("p"))
 
 
 @query("a36_saturation", "A36", f"""with {COMBO}, l as (select label, arrangement, lag(load) over w load_from, load load_to, (adjusted - lag(adjusted) over w) / (load - lag(load) over w) g
@@ -139,30 +142,38 @@ def strata(t):
     return p.join(o, "l_orderkey").select("l_orderkey", (F.col("specific") / 1000).alias("specific"), "high", "cov", F.lit(1).alias("k"))
 
 
-@query("a38_stratum_interaction", "A38", f"""with {STRATA}, r as (select *, rank() over (order by specific) + (count(*) over (partition by specific) - 1) / 2.0 rs,
+@query("a38_stratum_interaction", "A38", f"""with {STRATA}, r as (select *, rank() over (order by specific) + (count(*) over (partition by specific) - 1) / 2.0 rs, count(*) over (partition by specific) tie,
    rank() over (order by cov) + (count(*) over (partition by cov) - 1) / 2.0 rc from g),
  m as (select count(*) filter (high) n1, count(*) filter (not high) n0, avg(specific) filter (high) m1, avg(specific) filter (not high) m0,
-  var_samp(specific) filter (high) v1, var_samp(specific) filter (not high) v0, sum(rs) filter (high) - count(*) filter (high) * (count(*) filter (high) + 1) / 2.0 u, corr(rs, rc) rho from r)
+  var_samp(specific) filter (high) v1, var_samp(specific) filter (not high) v0, count(*)::double n, sum(tie::double * tie - 1) ties, sum(rs) filter (high) - count(*) filter (high) * (count(*) filter (high) + 1) / 2.0 u, corr(rs, rc) rho from r),
+ q as (select *, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) tt, (v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)) wdf,
+  greatest(abs(u - n1 * n0 / 2.0) - 0.5, 0) / sqrt(n1 * n0 / 12.0 * (n + 1 - ties / (n * (n - 1)))) zz, rho * sqrt((n - 2) / (1 - rho * rho)) rt, n - 2 rdf from m)
 select n1 n_high, n0 n_low, round(m1 - m0, 6) + 0.0 difference, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 5) + 0.0 welch_t,
- round((v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)), 4) welch_df, round(u, 2) u, round(rho, 6) + 0.0 rho from m""")
+ round((v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)), 4) welch_df, round(u, 2) u, round(rho, 6) + 0.0 rho,
+ round({t_sql("tt", "wdf")}, 6) + 0.0 p_welch, round({normal_sql("zz")}, 6) + 0.0 p_u, round({t_sql("rt", "rdf")}, 6) + 0.0 p_rho from q""")
 def _(t):
     g = cut(strata(t))
     w = ST.welch(g, ["k"], "specific", F.col("high"))
-    u = ST.rank_sum(g, ["k"], "specific", F.col("high")).select("k", "u")
-    c = ST.correlations(g, ["k"], "cov", "specific").select("k", F.col("spearman").alias("rho"))
+    u = ST.rank_sum(g, ["k"], "specific", F.col("high")).select("k", "u", "ties")
+    c = ST.correlations(g, ["k"], "cov", "specific").select("k", "n", F.col("spearman").alias("rho"))
     return w.join(u, "k").join(c, "k").select(F.col("n1").alias("n_high"), F.col("n0").alias("n_low"), rd(F.col("mean1") - F.col("mean0")).alias("difference"),
-                                              rd("t", 5).alias("welch_t"), rd("df", 4).alias("welch_df"), rd("u", 2).alias("u"), rd("rho").alias("rho"))
+                                              rd("t", 5).alias("welch_t"), rd("df", 4).alias("welch_df"), rd("u", 2).alias("u"), rd("rho").alias("rho"),
+                                              rd(P.t_p("t", "df")).alias("p_welch"), rd(P.u_p("u", "n1", "n0", "ties")).alias("p_u"),
+                                              rd(P.t_p(P.spearman_t(F.col("rho"), F.col("n")), (F.col("n") - 2).cast("double"))).alias("p_rho"))
 
 
 BATTERY = """k as (select *, rank() over (partition by label, load order by abs(d)) + (count(*) over (partition by label, load, abs(d)) - 1) / 2.0 r from d where d <> 0)"""
 
 
-@query("a39_paired_battery", "A39", f"""with {COMBO}, {ARR}, {BATTERY} select label, load, count(*) n, round(avg(d), 6) + 0.0 mean, round(stddev_samp(d), 6) sd,
+@query("a39_paired_battery", "A39", f"""with {COMBO}, {ARR}, {BATTERY}, o as (select label, load, count(*) - 1.0 df, avg(d) m, stddev_samp(d) / sqrt(count(*)) e, avg(d) / (stddev_samp(d) / sqrt(count(*))) tt from k group by 1, 2),
+ p as (select label, load, round({t_sql("tt", "df")}, 6) + 0.0 p, round(m - {T_975}[df::int] * e, 5) + 0.0 lower, round(m + {T_975}[df::int] * e, 5) + 0.0 upper from o), r as (select label, load, count(*) n, round(avg(d), 6) + 0.0 mean, round(stddev_samp(d), 6) sd,
  round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 5) + 0.0 t, count(*) filter (d > 0) n_pos, count(*) filter (d < 0) n_neg,
- coalesce(sum(r) filter (d > 0), 0)::double w_plus, coalesce(sum(r) filter (d < 0), 0)::double w_minus from k group by 1, 2""", VC)
+ coalesce(sum(r) filter (d > 0), 0)::double w_plus, coalesce(sum(r) filter (d < 0), 0)::double w_minus from k group by 1, 2) select r.*, p, lower, upper from r join p using (label, load)""", VC)
 def _(t):
     b = D.paired_battery(arrangement_pairs(t), ["label", "load"], "d")
-    return b.select("label", "load", "n", rd("mean").alias("mean"), rd("sd").alias("sd"), rd("t", 5).alias("t"), "n_pos", "n_neg", "w_plus", "w_minus")
+    return b.select("label", "load", "n", rd("mean").alias("mean"), rd("sd").alias("sd"), rd("t", 5).alias("t"), "n_pos", "n_neg", "w_plus", "w_minus",
+                    rd(P.t_p("t", "df")).alias("p"), rd(F.col("mean") - P.t_crit("df") * F.col("sem"), 5).alias("lower"),
+                    rd(F.col("mean") + P.t_crit("df") * F.col("sem"), 5).alias("upper"))
 
 
 @query("u03_sign_and_wilcoxon_p", "U3", f"""with {COMBO}, {ARR}, {BATTERY},
@@ -188,17 +199,20 @@ def calls_long(t):
 CALLS = "l as (select region_id, motif, n_hits, 'price' readout, price v from v_calls union all select region_id, motif, n_hits, 'size', size from v_calls)"
 
 
-def presence_sql(source: str, having: str = "") -> str:
+def presence_sql(source: str, having: str = "", tails: bool = False) -> str:
+    tail = f", round({t_sql('tt', 'wdf')}, 6) + 0.0 p_welch, round({normal_sql('zz')}, 6) + 0.0 p_u" if tails else ""
     return f"""r as (select *, n_hits >= 1 p, rank() over (partition by motif, readout order by v) + (count(*) over (partition by motif, readout, v) - 1) / 2.0 k,
    count(*) over (partition by motif, readout, v) tie from {source}),
  m as (select motif, readout, count(*) filter (p) n1, count(*) filter (not p) n0, avg(v) filter (p) mean1, avg(v) filter (not p) mean0,
-  var_samp(v) filter (p) v1, var_samp(v) filter (not p) v0, sum(k) filter (p) - count(*) filter (p) * (count(*) filter (p) + 1) / 2.0 u, sum(tie::double * tie - 1) ties, count(*)::double n from r group by 1, 2)
+  var_samp(v) filter (p) v1, var_samp(v) filter (not p) v0, sum(k) filter (p) - count(*) filter (p) * (count(*) filter (p) + 1) / 2.0 u, sum(tie::double * tie - 1) ties, count(*)::double n from r group by 1, 2),
+ e as (select *, (mean1 - mean0) / sqrt(v1 / n1 + v0 / n0) tt, (v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)) wdf,
+  greatest(abs(u - n1 * n0 / 2.0) - 0.5, 0) / sqrt(n1 * n0 / 12.0 * (n + 1 - ties / (n * (n - 1)))) zz from m {having})
 select motif, readout, n1, n0, round(mean1 - mean0, 6) + 0.0 delta, round((mean1 - mean0) / sqrt(v1 / n1 + v0 / n0), 5) + 0.0 t, round(u, 2) u,
- round((u - n1 * n0 / 2.0) / sqrt(n1 * n0 / 12.0 * (n + 1 - ties / (n * (n - 1)))), 6) + 0.0 z from m {having}"""
+ round((u - n1 * n0 / 2.0) / sqrt(n1 * n0 / 12.0 * (n + 1 - ties / (n * (n - 1)))), 6) + 0.0 z{tail} from e"""
 
 
-def presence_out(df):
-    return df.select("motif", "readout", "n1", "n0", rd("delta").alias("delta"), rd("t", 5).alias("t"), rd("u", 2).alias("u"), rd("z").alias("z"))
+def presence_out(df, *more):
+    return df.select("motif", "readout", "n1", "n0", rd("delta").alias("delta"), rd("t", 5).alias("t"), rd("u", 2).alias("u"), rd("z").alias("z"), *more)
 
 
 @query("a40_presence_contrast", "A40", f"with {CALLS}, " + presence_sql("l"), VM)
@@ -260,28 +274,54 @@ def _(t):
     return decile_odds(t).select("motif", rd(P.fisher_p("top_with", "top_without", "bottom_with", "bottom_without")).alias("p"))
 
 
+@query("u03_hypergeom_upper_p", "U3", f"""with {OR}, k as (select *, top_with + top_without r, top_with + bottom_with c, top_with + top_without + bottom_with + bottom_without n from o),
+ g as (select motif, i, top_with, lgamma(c + 1) - lgamma(i + 1) - lgamma(c - i + 1) + lgamma(n - c + 1) - lgamma(r - i + 1) - lgamma(n - c - r + i + 1) - lgamma(n + 1) + lgamma(r + 1) + lgamma(n - r + 1) lp
+   from (select *, unnest(generate_series(greatest(0, r + c - n), least(r, c))) i from k))
+select motif, round(sum(exp(lp)) filter (i >= top_with), 6) p from g group by 1""", VM)
+def _(t):
+    return decile_odds(t).select("motif", rd(P.hypergeom_upper_p("top_with", "top_without", "bottom_with", "bottom_without")).alias("p"))
+
+
+# two groups of at most five predictions: every way to choose the first group's ranks is tried
+@query("u03_exact_u_p", "U3", """with r as (select label, load, arrangement = 'F' a, row_number() over (partition by label, load order by pred) k from v_combo
+   where variant = 'real' and seed < 5 and arrangement in ('F', 'O')),
+ g as (select label, load, count(*) n, count(*) filter (a) n1, sum(k) filter (a) w from r group by 1, 2),
+ s as (select label, load, m, sum(case when (m >> (i - 1)::int) & 1 = 1 then i else 0 end) w from (select label, load, n, n1, unnest(generate_series(1, n)) i from g) q, generate_series(0, 1023) y(m)
+   where m < 2 ** n and bit_count(m) = n1 group by 1, 2, 3),
+ c as (select g.label, g.load, n1, n - n1 n0, g.w - n1 * (n1 + 1) / 2 u, count(*) filter (s.w - n1 * (n1 + 1) / 2 <= least(g.w - n1 * (n1 + 1) / 2, n1 * (n - n1) - g.w + n1 * (n1 + 1) / 2)) below, count(*) ways
+   from g join s using (label, load) where n1 > 0 and n > n1 group by g.label, g.load, n, n1, g.w)
+select label, load, n1::bigint n1, n0::bigint n0, round(u, 1)::double u, round(least(1.0, 2.0 * below / ways), 6) p from c""", VC)
+def _(t):
+    rows = t("v_combo").where("variant = 'real' and seed < 5 and arrangement in ('F', 'O')")
+    u = ST.rank_sum(rows, ["label", "load"], "pred", F.col("arrangement") == "F").where("n_pos > 0 and n_neg > 0")
+    return u.select("label", "load", F.col("n_pos").alias("n1"), F.col("n_neg").alias("n0"), rd("u", 1).alias("u"), rd(P.u_p("u", "n_pos", "n_neg", "ties")).alias("p"))
+
+
 @query("a43_conditional_top_quartile", "A43", "with q as (select quantile_cont(price, 0.75) q from v_calls), s as (select region_id, motif, n_hits, 'size' readout, size v from v_calls, q where price >= q), "
-       + presence_sql("s", "where n1 >= 20 and n0 >= 20"), VM)
+       + presence_sql("s", "where n1 >= 20 and n0 >= 20", True), VM)
 def _(t):
     c = t("v_calls").withColumn("g", F.lit(1))
     s = lookup_join(c, exact_percentiles(c, ["g"], "price", [0.75]), ["g"]).where("price >= q0")
     s = s.select("region_id", "motif", "n_hits", F.lit("size").alias("readout"), F.col("size").alias("value"))
-    return presence_out(D.presence_contrast(s, ["motif", "readout"], F.col("n_hits") >= 1, "value", 20))
+    c = D.presence_contrast(s, ["motif", "readout"], F.col("n_hits") >= 1, "value", 20)
+    return presence_out(c, rd(P.t_p("t", "df")).alias("p_welch"), rd(P.u_p("u", "n1", "n0", "ties")).alias("p_u"))
 
 
-@query("a44_dose_response", "A44", """with m as (select label, arrangement, load, avg(pred) p from v_combo where variant = 'real' group by 1, 2, 3),
+@query("a44_dose_response", "A44", f"""with m as (select label, arrangement, load, avg(pred) p from v_combo where variant = 'real' group by 1, 2, 3),
  x as (select label, load, pred, rank() over (partition by label order by load) + (count(*) over (partition by label, load) - 1) / 2.0 a,
   rank() over (partition by label order by pred) + (count(*) over (partition by label, pred) - 1) / 2.0 b from v_combo where variant = 'real'),
- f as (select label, avg(p) p, load from m group by 1, 3)
-select label, count(*) n, round(corr(a, b), 6) + 0.0 spearman, round(regr_slope(pred, load), 8) + 0.0 slope,
- (select round(max_by(f.p, f.load) - min_by(f.p, f.load), 6) + 0.0 from f where f.label = x.label) first_to_last from x group by 1""", VC)
+ f as (select label, avg(p) p, load from m group by 1, 3),
+ c as (select label, count(*) - 2.0 df, corr(a, b) * sqrt((count(*) - 2) / (1 - corr(a, b) ** 2)) tt from x group by 1), p as (select label, round({t_sql("tt", "df")}, 6) + 0.0 p from c)
+select label, any_value(p) p, count(*) n, round(corr(a, b), 6) + 0.0 spearman, round(regr_slope(pred, load), 8) + 0.0 slope,
+ (select round(max_by(f.p, f.load) - min_by(f.p, f.load), 6) + 0.0 from f where f.label = x.label) first_to_last from x join p using (label) group by 1""", VC)
 def _(t):
     real = t("v_combo").where("variant = 'real'")
     c = ST.correlations(real, ["label"], "load", "pred")
     slope = real.groupBy("label").agg(F.regr_slope("pred", "load").alias("slope"))
     curve = real.groupBy("label", "arrangement", "load").agg(F.avg("pred").alias("p")).groupBy("label", "load").agg(F.avg("p").alias("p"))
     ends = curve.groupBy("label").agg((F.max_by("p", "load") - F.min_by("p", "load")).alias("first_to_last"))
-    return c.join(slope, "label").join(ends, "label").select("label", "n", rd("spearman").alias("spearman"), rd("slope", 8).alias("slope"), rd("first_to_last").alias("first_to_last"))
+    p = P.t_p(P.spearman_t(F.col("spearman"), F.col("n")), (F.col("n") - 2).cast("double"))
+    return c.join(slope, "label").join(ends, "label").select("label", rd(p).alias("p"), "n", rd("spearman").alias("spearman"), rd("slope", 8).alias("slope"), rd("first_to_last").alias("first_to_last"))
 
 
 @query("a45_top_share", "A45", """with k as (select l_suppkey, l_extendedprice v, row_number() over (partition by l_suppkey order by l_extendedprice desc) rn, count(*) over (partition by l_suppkey) n from lineitem)

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from regulus.catalog.registry import query, rd
+from regulus.catalog.tails import t_sql
+from regulus.functions import special as P
 from regulus.operators import audit as A
 from regulus.operators import design as D
 from regulus.operators import expression as X
@@ -235,9 +237,10 @@ def gate(t):
             .select(F.col("p_type").alias("gene"), (F.col("l_returnflag") == "R").alias("is_on"), (F.col("l_extendedprice") / 1000).alias("v")))
 
 
-@query("a20_marker_gate", "A20", f"""with {GATE}, m as (select gene, avg(v) filter (is_on) a, avg(v) filter (not is_on) b, var_samp(v) filter (is_on) / count(*) filter (is_on) e1, var_samp(v) filter (not is_on) / count(*) filter (not is_on) e0,
-   count(*) filter (is_on) n1, count(*) filter (not is_on) n0 from g group by 1)
-select gene, round(a, 6) on_mean, round(b, 6) off_mean, round(log2((a + 0.01) / (b + 0.01)), 6) + 0.0 log2fc, round((a - b) / sqrt(e1 + e0), 5) + 0.0 t, round((e1 + e0) ** 2 / (e1 ** 2 / (n1 - 1) + e0 ** 2 / (n0 - 1)), 3) df,
+@query("a20_marker_gate", "A20", f"""with {GATE}, mm as (select gene, avg(v) filter (is_on) a, avg(v) filter (not is_on) b, var_samp(v) filter (is_on) / count(*) filter (is_on) e1, var_samp(v) filter (not is_on) / count(*) filter (not is_on) e0,
+   count(*) filter (is_on) n1, count(*) filter (not is_on) n0 from g group by 1),
+ m as (select *, (a - b) / sqrt(e1 + e0) tt, (e1 + e0) ** 2 / (e1 ** 2 / (n1 - 1) + e0 ** 2 / (n0 - 1)) wdf from mm)
+select gene, round({t_sql("tt", "wdf")}, 6) + 0.0 p, round(a, 6) on_mean, round(b, 6) off_mean, round(log2((a + 0.01) / (b + 0.01)), 6) + 0.0 log2fc, round((a - b) / sqrt(e1 + e0), 5) + 0.0 t, round((e1 + e0) ** 2 / (e1 ** 2 / (n1 - 1) + e0 ** 2 / (n0 - 1)), 3) df,
  case when a > b then 'UP' else 'DOWN' end direction, case when gene in ('ECONOMY', 'SMALL') then 'UP' else 'DOWN' end expected,
  case when gene in ('ECONOMY', 'SMALL') then a > b else a < b end and abs((a - b) / sqrt(e1 + e0)) >= 1.96 passes from m""")
 def _(t):
@@ -245,7 +248,7 @@ def _(t):
     lfc = F.log2((F.col("mean1") + 0.01) / (F.col("mean0") + 0.01))
     up = F.col("gene").isin("ECONOMY", "SMALL")
     right = F.when(up, F.col("mean1") > F.col("mean0")).otherwise(F.col("mean1") < F.col("mean0"))
-    return w.select("gene", rd("mean1").alias("on_mean"), rd("mean0").alias("off_mean"), rd(lfc).alias("log2fc"), rd("t", 5).alias("t"), rd("df", 3).alias("df"),
+    return w.select("gene", rd(P.t_p("t", "df")).alias("p"), rd("mean1").alias("on_mean"), rd("mean0").alias("off_mean"), rd(lfc).alias("log2fc"), rd("t", 5).alias("t"), rd("df", 3).alias("df"),
                     F.when(F.col("mean1") > F.col("mean0"), "UP").otherwise("DOWN").alias("direction"), F.when(up, "UP").otherwise("DOWN").alias("expected"), (right & (F.abs("t") >= 1.96)).alias("passes"))
 
 

@@ -87,10 +87,10 @@ def paired_battery(pairs: DataFrame, by: Sequence[str], value: str) -> DataFrame
 
 
 def presence_contrast(long: DataFrame, by: Sequence[str], present: Column, value: str, min_side: int = 1) -> DataFrame:
-    """With/without means, their difference, Welch t, U and z per (motif, readout)."""
+    """With/without means, their difference, Welch t, U, z and tie sum per (motif, readout)."""
     rows = long.withColumn("_present", present)
     t = welch(rows, by, value, F.col("_present"))
-    u = rank_sum(rows, by, value, F.col("_present")).select(*by, "u", "z")
+    u = rank_sum(rows, by, value, F.col("_present")).select(*by, "u", "z", "ties")
     j = keyed_join(t, u, by).withColumn("delta", F.col("mean1") - F.col("mean0"))
     return j.where((F.col("n1") >= min_side) & (F.col("n0") >= min_side))
 

@@ -84,7 +84,7 @@ def anova_r2(df: DataFrame, by: Sequence[str], label: str, value: str) -> DataFr
 
 
 def rank_sum(df: DataFrame, groups: Sequence[str], value: str, positive: Column, continuity: float = 0.0) -> DataFrame:
-    """Mann-Whitney U of the positive rows, AUC and the tie-corrected normal z, from value counts.
+    """Mann-Whitney U of the positive rows, AUC, the tie-corrected normal z and the tie sum, from value counts.
 
     ``continuity`` (0.5 for the usual correction) moves U towards its mean before it is scaled.
 
@@ -104,7 +104,8 @@ def rank_sum(df: DataFrame, groups: Sequence[str], value: str, positive: Column,
     var = n1 * n0 / 12 * (n + 1 - F.col("_ties") / F.when(n > 1, n * (n - 1)))
     return (agg.withColumn("n_neg", F.col("n") - F.col("n_pos"))
             .withColumn("u", u).withColumn("auc", F.when((n1 > 0) & (n0 > 0), u / F.when(n1 * n0 > 0, n1 * n0)))
-            .withColumn("z", F.when(var > 0, F.signum(off) * F.greatest(F.abs(off) - continuity, F.lit(0.0)) / F.sqrt(var))).drop("_r", "_ties"))
+            .withColumn("z", F.when(var > 0, F.signum(off) * F.greatest(F.abs(off) - continuity, F.lit(0.0)) / F.sqrt(var)))
+            .withColumnRenamed("_ties", "ties").drop("_r"))
 
 
 def auc_block(df: DataFrame, groups: Sequence[str], score: str, measured: str, cutoff: float,

@@ -60,3 +60,49 @@ def test_comparisons(spark):
     assert {r.held: r.n for r in X.leave_one_out(w, ["a", "b", "c"]).collect()} == {"a": 3, "b": 3, "c": 2}
     t = spark.createDataFrame([("g", 1, 1.0), ("g", 2, 2.0), ("g", 3, 4.0)], "f string, st int, v double")
     assert rows(X.trajectory(t, "f", "st", "v", 1), "means", "last_over_first") == [("1.0,2.0,4.0", 2.0)]
+
+
+def test_u_distribution_against_counting_and_published_values():
+    import itertools
+    import math
+
+    from regulus.functions import special as P
+    for m, n in ((1, 1), (2, 5), (4, 4), (3, 6), (5, 5)):
+        us = [sum(c) + m - m * (m + 1) // 2 for c in itertools.combinations(range(m + n), m)]
+        for u in range(m * n + 1):
+            low = min(u, m * n - u)
+            assert math.isclose(P.u_two_sided(u, m, n), min(1.0, 2 * sum(x <= low for x in us) / len(us)))
+    # critical values of the published two-sided 5 % table: U is at most 2, 13 and 55 for 5 x 5, 8 x 8 and 8 x 24
+    for m, n, crit in ((5, 5, 2), (8, 8, 13)):
+        assert P.u_two_sided(crit, m, n) <= 0.05 < P.u_two_sided(crit + 1, m, n)
+    assert P.u_two_sided(3, 0, 4) != P.u_two_sided(3, 0, 4)  # not a number without values
+    assert P.u_two_sided(7.5, 3, 5, ties=6.0) == 1.0
+
+
+def test_tails_of_a_million_values_are_quick():
+    import time
+
+    from regulus.functions import special as P
+    t = time.time()
+    assert 0 < P.u_two_sided(4.9e11, 10**6, 10**6) < 1e-10
+    assert 0 < P.hypergeom_upper(500_400, 499_600, 499_900, 500_100) < 1
+    assert 0 < P.u_two_sided(30_000, 8, 24_000) < 1
+    assert time.time() - t < 3
+
+
+def test_upper_tail_against_counting(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from regulus.functions import special as P
+    for a, b, c, d in ((3, 1, 1, 3), (0, 5, 4, 1), (10, 2, 3, 15), (2, 0, 0, 0)):
+        r, k, n = a + b, a + c, a + b + c + d
+        want = sum(math.comb(k, i) * math.comb(n - k, r - i) for i in range(a, min(r, k) + 1)) / math.comb(n, r)
+        assert math.isclose(P.hypergeom_upper(a, b, c, d), want)
+    assert math.isclose(P.hypergeom_upper(3, 1, 1, 3), 17 / 70)  # the tea tasting of eight cups
+    rows = spark.createDataFrame([(1.0, 2, 3, 0.0), (None, 2, 3, 0.0), (1.0, None, 3, 0.0)], "u double, a int, b int, t double")
+    assert [x.p is None for x in rows.select(P.u_p("u", "a", "b", "t").alias("p")).collect()] == [False, True, True]
+    none = rows.select(P.binomial_p("a", "b").alias("x"), P.wilcoxon_p("u", "a").alias("y"), P.fisher_p("a", "b", "a", "b").alias("z"),
+                       P.hypergeom_upper_p("a", "a", "b", "b").alias("w"), P.t_p(P.spearman_t(F.lit(1.0), F.col("a")), F.lit(3.0)).alias("v")).collect()
+    assert [n.x is None for n in none] == [False, False, True] and none[1].y is None and none[2].z is None and none[2].w is None
