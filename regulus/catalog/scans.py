@@ -120,16 +120,24 @@ def _(t):
     return R.replicate_quality(experiments(t), "A", ["depth", "frip"])
 
 
-@query("s10_index_page_links", "S10", r"""with h as (select page_id, replace(replace(html, '</li>', chr(10)), '</p>', chr(10)) t from pages),
- l as (select page_id, unnest(string_split(t, chr(10))) x, generate_subscripts(string_split(t, chr(10)), 1) - 1 line from h)
-select page_id, line::bigint line, regexp_extract(x, 'href="([^"/][^"]*)"', 1) link, case when regexp_extract(trim(x), '(\d+(?:\.\d+)?[KMG]?)\s*$', 1) = '' then '?'
-  else regexp_extract(trim(x), '(\d+(?:\.\d+)?[KMG]?)\s*$', 1) end size from l where regexp_extract(x, 'href="([^"/][^"]*)"', 1) <> '' and not starts_with(regexp_extract(x, 'href="([^"/][^"]*)"', 1), 'http')
- union all select page_id, 0, 'file_' || page_id || '.bw', length(html) || 'K' from pages""")
+# the pages' own lines, and a listing of three lines a page: quoted either way, not quoted, two links in a line, with and without a size
+@query("s10_index_page_links", "S10", r"""with p as (select page_id, replace(replace(html, '</li>', chr(10)), '</p>', chr(10)) t from pages
+   union all select -1 - page_id, concat('<A HREF=''file_', page_id, '.bw''>x</A> 2023-01-01 12:00 ', length(html), 'K', chr(10), '<a href=raw_', page_id, '.gz>y</a> and <a href = "b c.txt">z</a> 1.5M ', chr(10),
+     '<a href="https://else.where/x">u</a> <a href="../up">v</a> - ') from pages),
+ l as (select page_id, unnest(string_split(t, chr(10))) x, generate_subscripts(string_split(t, chr(10)), 1) - 1 line from p),
+ k as (select page_id, line, x, unnest(f) q, generate_subscripts(f, 1) - 1 nth from (select *, regexp_extract_all(x, '(?i)\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) f from l)),
+ w as (select page_id, line, nth, regexp_replace(q, '^["'']|["'']$', '', 'g') link, string_split(trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), ' ')[-1] word from k),
+ z as (select *, regexp_matches(word, '^([0-9]+|[0-9]+[.][0-9]+)[KMGT]?$') sized from w where not regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:|[#?]|$)'))
+select page_id, line::bigint line, nth::bigint nth, link, case when sized then word end size,
+ case when sized then rtrim(word, 'KMGT')::double * 1024.0 ** case when regexp_matches(word, '[KMGT]$') then instr('KMGT', right(word, 1)) else 0 end end bytes from z""")
 def _(t):
     p = t("pages")
     lines = p.select("page_id", F.regexp_replace("html", "</li>|</p>", "\n").alias("html"))
-    listing = p.select("page_id", F.concat(F.lit('<a href="file_'), F.col("page_id").cast("string"), F.lit('.bw">x</a> 2023-01-01 12:00 '), F.length("html").cast("string"), F.lit("K")).alias("html"))
-    return R.links_from_html(lines, "page_id", "html").unionByName(R.links_from_html(listing, "page_id", "html"))
+    ident = F.col("page_id").cast("string")
+    listing = p.select((-1 - F.col("page_id")).alias("page_id"), F.concat(
+        F.lit("<A HREF='file_"), ident, F.lit(".bw'>x</A> 2023-01-01 12:00 "), F.length("html").cast("string"), F.lit("K\n<a href=raw_"), ident,
+        F.lit('.gz>y</a> and <a href = "b c.txt">z</a> 1.5M \n<a href="https://else.where/x">u</a> <a href="../up">v</a> - ')).alias("html"))
+    return R.links_from_html(lines.unionByName(listing), "page_id", "html", rooted=True)
 
 
 @query("s11_file_list_classification", "S11", """with f as (select case o_orderkey % 3 when 0 then 'GSM' || o_orderkey || '_a.narrowPeak.gz' when 1 then 'GSM' || o_orderkey || '_b.bw' else 'readme_' || o_orderkey || '.txt' end name,

@@ -163,13 +163,29 @@ def replicate_quality(experiments: DataFrame, fmt: str, metrics: Sequence[str])
     return first.select("accession", "replicate", F.col("f.id").alias("file_id"), *cols)
 
 
-def links_from_html(pages: DataFrame, ident: str, html: str) -> DataFrame:
-    """First relative link per line with the size token that ends the line ("?" when there is none)."""
-    lines = pages.select(ident, F.posexplode(F.split(html, "\n")).alias("line", "_t"))
-    link = F.regexp_extract("_t", r'href="([^"/][^"]*)"', 1)
-    size = F.regexp_extract(F.trim("_t"), r"(\d+(?:\.\d+)?[KMG]?)\s*$", 1)
-    rows = lines.select(ident, F.col("line").cast("long").alias("line"), link.alias("link"), F.when(size == "", "?").otherwise(size).alias("size"))
-    return rows.where((F.col("link") != "") & ~F.col("link").startswith("http"))
+LINK_TARGET = r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def links_from_html(pages: DataFrame, ident: str, html: str, rooted: bool = False) -> DataFrame:
+    """Every relative link of an index page: ident, line, nth (in its line), link, size and bytes.
+
+    Targets may be quoted either way or not at all, and a line may hold several. Links with a scheme, fragments,
+    bare queries and, unless ``rooted``, links from the root are left out. A line's size is its last word outside
+    tags, if that is a number with or without a unit (K, M, G, T; powers of 1024); else size and bytes are NULL.
+    """
+    lines = pages.select(ident, F.posexplode(F.split(html, "\r?\n")).alias("line", "_x"))
+    links = lines.select("*", F.posexplode(F.regexp_extract_all("_x", F.lit(LINK_TARGET), F.lit(1))).alias("nth", "_t"))
+    link = F.regexp_replace("_t", "^[\"']|[\"']$", "")
+    word = F.element_at(F.split(F.trim(F.regexp_replace(F.regexp_replace("_x", "<[^>]*>", " "), r"\s+", " ")), " "), -1)
+    unit = F.instr(F.lit("KMGT"), F.regexp_extract("_word", "([A-Z])$", 1))
+    number = F.regexp_extract("_word", "^([0-9]+|[0-9]+[.][0-9]+)[KMGT]?$", 1)
+    rows = links.select(ident, F.col("line").cast("long").alias("line"), F.col("nth").cast("long").alias("nth"), link.alias("link"), word.alias("_word"))
+    other = F.col("link").rlike("^([A-Za-z][A-Za-z0-9+.-]*:|[#?]|$)")
+    kept = rows.where(~other if rooted else ~other & ~F.col("link").startswith("/")).withColumn("_number", number)
+    sized = F.col("_number") != ""
+    scale = F.pow(F.lit(1024.0), F.when(F.col("_word").rlike("[KMGT]$"), unit).otherwise(0))
+    return kept.select(ident, "line", "nth", "link", F.when(sized, F.col("_word")).alias("size"),
+                       F.when(sized, F.expr("try_cast(_number as double)") * scale).alias("bytes"))
 
 
 def classify_files(files: DataFrame, name: str, expected: str, actual: str, tolerance: float = 0.05) -> DataFrame:
