@@ -109,17 +109,11 @@ def _(t):
 SITE = 7
 
 
-def free_positions(t):
-    """Starts p in [0, len - L) whose L bases touch no site; a region is at most a few hundred bases long."""
+def free_runs(t):
     lengths = F.create_map(*[F.lit(x) for m in MOTIFS for x in (m.name, m.length)])
-    hits = (M.scan_hits(t("v_seqs"), "region_id", MOTIFS, 0.8)
-            .select("region_id", F.col("start").alias("s"), (F.col("start") + F.element_at(lengths, F.col("motif"))).alias("e")).distinct()
-            .groupBy("region_id").agg(F.collect_list(F.struct("s", "e")).alias("taken")))
-    rows = t("v_seqs").join(hits, "region_id", "left")
-    taken = F.coalesce("taken", F.array().cast("array<struct<s:bigint,e:bigint>>"))
-    free = F.filter(F.sequence(F.lit(0).cast("long"), (F.length("seq") - SITE - 1).cast("long")),
-                    lambda p: ~F.exists(taken, lambda h: (h["s"] < p + SITE) & (h["e"] > p)))
-    return rows.select("region_id", "seq", free.alias("free"))
+    sites = M.scan_hits(t("v_seqs"), "region_id", MOTIFS, 0.8).select(
+        "region_id", F.col("start").alias("s"), (F.col("start") + F.element_at(lengths, F.col("motif"))).alias("e"))
+    return M.free_runs(sites, t("v_seqs").select("region_id", F.length("seq").alias("size")), ["region_id"], "s", "e", "size", SITE)
 
 
 FREE = f"""h as (select distinct region_id, "start" s, "start" + len e from sc where rel >= 0.8), p as (select region_id, unnest(range(0, length(seq) - {SITE})) p from v_seqs),
@@ -128,14 +122,13 @@ FREE = f"""h as (select distinct region_id, "start" s, "start" + len e from sc w
 
 @query("f06_site_free_positions", "F6", f"with {scores_sql()}, {FREE} select region_id, count(*) n_free, min(p) first_free, max(p) last_free from free group by 1", VS)
 def _(t):
-    f = F.col("free")
-    return free_positions(t).where(F.size(f) > 0).select("region_id", F.size(f).cast("long").alias("n_free"), F.array_min(f).alias("first_free"), F.array_max(f).alias("last_free"))
+    return free_runs(t).groupBy("region_id").agg(F.sum(F.col("free_end") - F.col("free_start")).alias("n_free"), F.min("free_start").alias("first_free"),
+                                                 (F.max("free_end") - 1).alias("last_free"))
 
 
 @query("o05_nearest_to_centre", "O5", f"with {scores_sql()}, {FREE} select region_id, arg_min(p, struct_pack(d := abs(p + 3.5 - 64), p := p)) position from free group by 1", VS)
 def _(t):
-    d = F.transform("free", lambda p: F.struct(F.abs(p + 3.5 - 64).alias("d"), p.alias("p")))
-    return free_positions(t).where(F.size("free") > 0).select("region_id", F.array_min(d)["p"].alias("position"))
+    return M.nearest_free(free_runs(t), ["region_id"], 64 - SITE / 2)
 
 
 @query("f07_seeded_scramble", "F7", """with c as (select region_id, i, substr(seq, i::int, 1) ch from (select region_id, seq, unnest(range(1, length(seq) + 1)) i from v_seqs))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regulus.functions.sequence import BACKGROUND
+from regulus.plans.tiling import depth_segments
+from regulus.session import cut, lookup_join
 
 _CODE = np.full(256, 4, dtype=np.uint8)
 for _i, _b in enumerate(b"ACGT"):
@@ -156,3 +160,37 @@ def hit_rates(hits: DataFrame, regions: DataFrame, ident: str, motifs: Sequence[
     j = grid.join(per, ["motif", "cutoff"], "left").fillna(0, ["n_regions", "n_hits"])
     return j.select("motif", "cutoff", "n_regions", (F.col("n_regions") / F.col("total")).alias("fraction"),
                     (F.col("n_hits") / F.col("total")).alias("mean_hits"))
+
+
+def free_runs(sites: DataFrame, regions: DataFrame, keys: Sequence[str], start: str, end: str, size: str, length: int) -> DataFrame:
+    """Runs [free_start, free_end) of positions p in [0, size - length) at which ``length`` bases touch no site [start, end).
+
+    A site bars the positions from start - length + 1 to end - 1; barred stretches are merged by a depth sweep and
+    the runs are the gaps between them, so the cost is that of the sites, however long a region is. ``regions`` has
+    one row per ``keys``; regions without a size or too short have no run. NULL keys are keys of their own.
+    """
+    keys = list(keys)
+    limit = F.col(size).cast("long") - length
+    open_ = regions.select(*keys, limit.alias("_limit")).where(F.col("_limit") > 0)
+    barred = lookup_join(sites.select(*keys, start, end).where(F.col(start) < F.col(end)), open_, keys, "inner").select(
+        *keys, F.greatest(F.col(start).cast("long") - length + 1, F.lit(0).cast("long")).alias("s"), F.least(F.col(end).cast("long"), F.col("_limit")).alias("e"))
+    merged = cut(depth_segments(barred, keys, "s", "e", touching=True))
+    last = merged.groupBy(*keys).agg(F.max("seg").alias("_n"))
+    # gap k runs from the end of stretch k to the start of stretch k + 1; gap 0 starts at 0 and the last one ends at the limit
+    none = F.lit(None).cast("long")
+    ends = lookup_join(open_, last, keys)
+    parts = [open_.select(*keys, F.lit(0).cast("long").alias("seg"), F.lit(0).cast("long").alias("s"), none.alias("e")),
+             ends.select(*keys, F.coalesce("_n", F.lit(0)).cast("long").alias("seg"), none.alias("s"), F.col("_limit").alias("e")),
+             merged.select(*keys, "seg", F.col("end").alias("s"), none.alias("e")),
+             merged.select(*keys, (F.col("seg") - 1).alias("seg"), none.alias("s"), F.col("start").alias("e"))]
+    gaps = reduce(DataFrame.unionByName, parts).groupBy(*keys, "seg").agg(F.max("s").alias("free_start"), F.max("e").alias("free_end"))
+    return gaps.where("free_start < free_end").drop("seg")
+
+
+def nearest_free(runs: DataFrame, keys: Sequence[str], centre: float) -> DataFrame:
+    """The free position nearest to ``centre`` per ``keys``; the lower one of two equally near."""
+    def held(x: int) -> Column:
+        return F.greatest(F.col("free_start"), F.least(F.col("free_end") - 1, F.lit(x).cast("long")))
+
+    best = F.least(*[F.struct(F.abs(held(x) - centre).alias("d"), held(x).alias("p")) for x in (math.floor(centre), math.ceil(centre))])
+    return runs.groupBy(*keys).agg(F.min(best).alias("_b")).select(*keys, F.col("_b.p").alias("position"))
