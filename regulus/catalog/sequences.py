@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from regulus.catalog.registry import query, rd
 from regulus.functions import sequence as Q
+from regulus.operators import design as D
 from regulus.operators import motifs as M
 from regulus.session import lookup_join, spread
 
@@ -174,6 +175,24 @@ def _(t):
     return grid(t).groupBy("label", "arrangement", "load", "variant").agg(F.count(F.lit(1)).alias("n"))
 
 
+# arms of none to three members, for the return flags that a region has: a region meets an arm if it has all its members
+@query("t03_design_arms", "T3", """with n as (select list_sort(list_distinct(list(l_returnflag))) al from lineitem), m as (select al, unnest(range(0, (2 ** len(al))::bigint)) mask from n),
+ a as (select list_filter(al, lambda x, i: (mask >> (i - 1)) & 1 = 1) mem from m),
+ b as (select case when len(mem) = 0 then 'empty' else array_to_string(mem, '+') end label, mem, len(mem)::int n_members from a where len(mem) <= 3),
+ g as (select b.*, load, arrangement, variant from b, (values (0), (4), (12)) l(load), (values ('none'), ('single'), ('interleaved'), ('clustered')) r(arrangement), (values ('real'), ('scrambled')) v(variant)
+   where case n_members when 0 then load = 0 and arrangement = 'none' and variant = 'real' when 1 then load > 0 and arrangement = 'single' else load > 0 and arrangement in ('interleaved', 'clustered') end),
+ r as (select l_partkey, list(distinct l_returnflag) f from lineitem group by 1)
+select label, n_members, load, arrangement, variant, count(l_partkey) n_regions from g left join r on list_has_all(f, mem) group by 1, 2, 3, 4, 5""")
+def _(t):
+    arms = D.design_arms(t("lineitem"), "l_returnflag", 3, (4, 12)).withColumn("_set", F.array_join("members", "+"))
+    # regions are counted per set of flags first, and every set is spread to the arms it holds all members of
+    sets = t("lineitem").groupBy("l_partkey").agg(F.sort_array(F.collect_set("l_returnflag")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    masks = sets.select("f", "n", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("f")).cast("int") - 1)).alias("m"))
+    subset = F.array_join(F.filter("f", lambda x, i: F.bit_get(F.col("m").cast("long"), i) == 1), "+")
+    have = masks.groupBy(subset.alias("_set")).agg(F.sum("n").alias("n_regions"))
+    return arms.join(have, "_set", "left").select("label", "n_members", "load", "arrangement", "variant", F.coalesce("n_regions", F.lit(0)).cast("long").alias("n_regions"))
+
+
 @query("t03_motif_pairs", "T3", """with m as (select distinct l_returnflag a from lineitem), p as (select x.a, y.a b from m x join m y on x.a < y.a)
 select a, b, count(*) n_regions from p join (select l_partkey, bool_or(l_returnflag = 'A') ha, bool_or(l_returnflag = 'N') hn, bool_or(l_returnflag = 'R') hr from lineitem group by 1) q
  on (case a when 'A' then ha when 'N' then hn else hr end) and (case b when 'A' then ha when 'N' then hn else hr end) group by 1, 2""")

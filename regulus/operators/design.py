@@ -67,6 +67,33 @@ def additivity(summary: DataFrame, label: str, strata: Sequence[str], single_str
             .withColumn("obs_over_exp", F.when(F.col("expected") != 0, F.col("observed") / F.col("expected"))))
 
 
+def design_arms(members: DataFrame, name: str, most: int, loads: Sequence[int],
+                arrangements: Sequence[str] = ("interleaved", "clustered")) -> DataFrame:
+    """All arms of 0 to ``most`` members of a table: label, members, n_members, load, arrangement, variant.
+
+    Combinations are the bit masks of the sorted distinct names, which never leave the executors. The empty arm has load 0
+    and a real variant only; single members have one arrangement; every other arm comes at each load, arrangement and
+    variant. A table of members is short: 16 names at most, else an error. NULL names are no members.
+    """
+    names = members.agg(F.sort_array(F.collect_set(name)).alias("all"))
+    size = F.size("all")
+    bounded = F.when(size <= 16, F.pow(F.lit(2), size).cast("int") - 1).otherwise(F.raise_error(F.lit("a design of more than 16 members")).cast("int"))
+    masks = names.select("all", F.explode(F.sequence(F.lit(0), bounded)).alias("mask")).where(F.bit_count("mask") <= most)
+    chosen = F.filter("all", lambda x, i: F.bit_get(F.col("mask").cast("long"), i) == 1)
+    arms = masks.select(chosen.alias("members")).withColumn("n_members", F.size("members"))
+    arms = arms.withColumn("label", F.when(F.col("n_members") == 0, "empty").otherwise(F.array_join("members", "+")))
+
+    def choice(none: Column, one: Column, many: Column) -> Column:
+        return F.explode(F.when(F.col("n_members") == 0, none).when(F.col("n_members") == 1, one).otherwise(many))
+
+    each = F.array(*[F.lit(int(k)) for k in loads])
+    both = F.array(F.lit("real"), F.lit("scrambled"))
+    return (arms.withColumn("load", choice(F.array(F.lit(0)), each, each))
+            .withColumn("arrangement", choice(F.array(F.lit("none")), F.array(F.lit("single")), F.array(*[F.lit(a) for a in arrangements])))
+            .withColumn("variant", choice(F.array(F.lit("real")), both, both))
+            .select("label", "members", "n_members", "load", "arrangement", "variant"))
+
+
 def saturation(curve: DataFrame, by: Sequence[str], load: str, value: str) -> DataFrame:
     """Gain per added copy between consecutive loads. ``curve`` has one row per condition and load."""
     w = Window.partitionBy(*by).orderBy(load)  # a few loads per condition

@@ -65,7 +65,7 @@ def weights_from_counts(counts: DataFrame) -> DataFrame:
 
 def _stretches(pdf: pd.DataFrame, ident: str, pad: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, starts, codes): sequences laid end to end with ``pad`` unusable letters between them."""
-    seqs = pdf["seq"].to_numpy()
+    seqs = pdf["seq"].fillna("").to_numpy()
     size = np.fromiter((len(s) for s in seqs), dtype=np.int64, count=len(seqs))
     group = np.cumsum(size) // STRETCH
     for g in np.unique(group):
@@ -123,9 +123,8 @@ def scan_best(seqs: DataFrame, ident: str, motifs: Sequence[Motif], cutoffs: Seq
                 for m in motifs:
                     fwd, rev = _relative(codes, m, False), _relative(codes, m, True)
                     both = np.maximum(fwd, rev)
-                    # the last start may lie beyond the last window when a sequence is empty
-                    cuts = np.minimum(starts, len(both) - 1)
-                    best = np.maximum.reduceat(both, cuts)
+                    # every sequence, an empty one too, begins at least one window of its own: that of the letters after it
+                    best = np.maximum.reduceat(both, starts)
                     owner = np.searchsorted(starts, np.arange(len(both)), side="right") - 1
                     where = np.flatnonzero(both == best[owner])
                     _, first = np.unique(owner[where], return_index=True)
@@ -133,16 +132,12 @@ def scan_best(seqs: DataFrame, ident: str, motifs: Sequence[Motif], cutoffs: Seq
                                         "best_pos": pd.array(where[first] - starts, dtype="Int64")})
                     out.loc[best < 0, ["best_rel", "best_pos"]] = None
                     for c, name in zip(cutoffs, names):
-                        out[name] = np.add.reduceat((both >= c).astype(np.int64), cuts)
+                        out[name] = np.add.reduceat((both >= c).astype(np.int64), starts)
                     yield out
 
     kind = seqs.schema[ident].dataType.simpleString()
     ddl = f"{ident} {kind}, motif string, best_rel double, best_pos long, " + ", ".join(f"{n} long" for n in names)
-    found = seqs.select(ident, "seq").where("length(seq) > 0").mapInPandas(scan, ddl)
-    bare = (seqs.where("seq is null or length(seq) = 0").select(ident, F.explode(F.array(*[F.lit(m.name) for m in motifs])).alias("motif"))
-            .select(ident, "motif", F.lit(None).cast("double").alias("best_rel"), F.lit(None).cast("long").alias("best_pos"),
-                    *[F.lit(0).cast("long").alias(n) for n in names]))
-    return found.unionByName(bare)
+    return seqs.select(ident, "seq").mapInPandas(scan, ddl)
 
 
 def hit_rates(hits: DataFrame, regions: DataFrame, ident: str, motifs: Sequence[str],

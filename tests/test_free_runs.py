@@ -35,3 +35,16 @@ def test_a_region_of_a_million_bases(spark):
     runs = free_runs(sites, spark.createDataFrame([(1, 1_000_000)], "k int, n long"), ["k"], "s", "e", "n", 7).collect()
     # 16 positions around each site are barred
     assert sum(x.free_end - x.free_start for x in runs) == 1_000_000 - 7 - 5000 * 16 and len(runs) == 5001
+
+
+def test_arms_of_any_size(spark):
+    from regulus.operators.design import design_arms
+    members = spark.createDataFrame([("b",), ("a",), ("c",), ("a",), (None,)], "name string")
+    rows = design_arms(members, "name", 3, (2, 5)).collect()
+    assert len(rows) == len(set(map(str, rows))) == 1 + 3 * 2 * 2 + 4 * 2 * 2 * 2
+    assert {r.label for r in rows} == {"empty", "a", "b", "c", "a+b", "a+c", "b+c", "a+b+c"}
+    empty = [r for r in rows if r.label == "empty"]
+    assert [(r.members, r.load, r.arrangement, r.variant) for r in empty] == [([], 0, "none", "real")]
+    assert {r.arrangement for r in rows if r.n_members == 1} == {"single"}
+    assert [r.label for r in design_arms(members, "name", 0, (2,)).collect()] == ["empty"]
+    assert [r.label for r in design_arms(members.limit(0), "name", 3, (2,)).collect()] == ["empty"]
