@@ -54,9 +54,46 @@ def _(t):
     return M.gram(z, SAMPLES).select("sample_i", "sample_j", rd("sij", 5).alias("g"))
 
 
-@query("a08_sample_pca", "A8")
+def pairs_sql(rows: str, k: int, components: int) -> str:
+    """CTEs ``pairs(component, value, total, v)`` of the leading eigenpairs of ``rows(i, row)``, the rows of a k x k matrix.
+
+    A symmetric matrix squared over and over (divided by its trace) becomes the projection on its leading vector.
+    """
+    idx = f"range(1, {k + 1})"
+    out = [f"g1 as (select list(row order by i) m from {rows})"]
+    for c in range(1, components + 1):
+        trace = f"list_sum(list_transform({idx}, lambda i: m[i][i]))"
+        out.append(f"""p{c} as (select 0 n, m from g{c} union all
+  select n + 1, list_transform({idx}, lambda i: list_transform({idx}, lambda j: list_dot_product(m[i], m[j])
+   / list_sum(list_transform({idx}, lambda h: list_dot_product(m[h], m[h]))))) from p{c} where n < 30),
+ d{c} as (select m, list_position(list_transform({idx}, lambda i: round(m[i][i], 9)), list_max(list_transform({idx}, lambda i: round(m[i][i], 9)))) w from p{c} where n = 30),
+ v{c} as (select list_transform({idx}, lambda i: m[w][i] / sqrt(m[w][w])) v from d{c}),
+ l{c} as (select v, m, list_dot_product(v, list_transform({idx}, lambda i: list_dot_product(m[i], v))) l from v{c}, g{c}),
+ g{c + 1} as (select list_transform({idx}, lambda i: list_transform({idx}, lambda j: m[i][j] - l * v[i] * v[j])) m from l{c})""")
+    every = " union all ".join(f"select {c} component, l, v from l{c}" for c in range(1, components + 1))
+    return ",\n ".join(out) + f",\n pairs as (select e.*, {trace} total from ({every}) e, g1)"
+
+
+CENTRED = f"""{WHOLE}, z as (select region_id, sample, norm - avg(norm) over (partition by region_id) z from whole),
+ gr as (select a.sample sa, b.sample sb, sum(a.z * b.z) g from z a join z b using (region_id) group by 1, 2),
+ gl as (select sa i, list(g order by sb) as row from gr group by 1)"""
+
+
+@query("a08_sample_pca", "A8", f"""with recursive {CENTRED}, {pairs_sql("gl", 12, 5)},
+ s as (select list(sample order by sample) s from (select distinct sample from whole))
+select component, s[i] sample, round(v[i] * sqrt(l), 4) + 0.0 score, round(l / total, 6) variance_fraction from (select *, unnest(range(1, 13)) i from pairs, s)""", SIG)
 def _(t):
-    return M.pca_scores(whole(t), SAMPLES, 5)
+    out = M.pca_scores(whole(t), SAMPLES, 5)
+    return out.select("component", "sample", rd("score", 4).alias("score"), rd("variance_fraction").alias("variance_fraction"))
+
+
+@query("a08_gram_from_scores", "A8", f"""with {WHOLE}, c as (select region_id, sample, norm - avg(norm) over (partition by region_id) z from whole)
+select a.sample sample_i, b.sample sample_j, round(sum(a.z * b.z), 5) + 0.0 g from c a join c b using (region_id) group by 1, 2""", SIG)
+def _(t):
+    """The scores of all components give the centred Gram matrix back."""
+    s = M.pca_scores(whole(t), SAMPLES, len(SAMPLES))
+    a, b = (s.select("component", F.col("sample").alias(f"sample_{x}"), F.col("score").alias(x)) for x in "ij")
+    return a.join(b, "component").groupBy("sample_i", "sample_j").agg(rd(F.sum(F.col("i") * F.col("j")), 5).alias("g"))
 
 
 @query("a08_variance_total", "A8", f"""with {WHOLE}, c as (select sample, norm - avg(norm) over (partition by region_id) z from whole)
@@ -212,6 +249,29 @@ def _(t):
     return e.select("tercile", "n", *[rd(c).alias(c) for c in ("mean_abs_residual", "mean_level", "corr_residual_level")])
 
 
+RESIDUAL = """p as (select region_id, A x, N y from wide where A is not null and N is not null),
+ c as (select regr_slope(y, x) b, regr_intercept(y, x) a from p), e as (select region_id, x, y, abs(y - a - b * x) r from p, c)"""
+
+
+@query("a53_residual_by_class", "A53", f"""with {WIDE}, {RESIDUAL}
+select p_type as "class", count(*) n, round(avg(r), 6) mean_abs_residual, round(corr(r, x), 6) + 0.0 corr_residual_level, round(corr(y, x), 6) + 0.0 corr_x_y
+ from e join part on p_partkey = region_id group by 1""", SIG)
+def _(t):
+    cls = t("part").select(F.col("p_partkey").alias("region_id"), F.col("p_type").alias("class"))
+    e = X.residual_by_class(lookup_join(lfc_wide(t), cls, ["region_id"], "inner"), "class", "A", "N")
+    return e.select("class", "n", *[rd(c).alias(c) for c in ("mean_abs_residual", "corr_residual_level", "corr_x_y")])
+
+
+@query("a54_balanced_study_contrast", "A54", """with m as (select region_id, study, arm, avg(ln(signal)) v from v_signal where study in ('A', 'R') group by 1, 2, 3),
+ k as (select region_id, arm, max(v) filter (study = 'A') - max(v) filter (study = 'R') d, max(v) filter (study = 'A') a, max(v) filter (study = 'R') b from m group by 1, 2)
+select region_id, count(d) n_status, case when count(d) = 2 then round(avg(d), 6) + 0.0 end contrast,
+ round((select avg(v) from (select avg(ln(signal)) v from v_signal s where s.region_id = k.region_id and study = 'A'))
+  - (select avg(v) from (select avg(ln(signal)) v from v_signal s where s.region_id = k.region_id and study = 'R')), 6) + 0.0 unbalanced from k group by 1""", SIG)
+def _(t):
+    out = X.balanced_contrast(t("v_signal").withColumn("signal", F.ln("signal")), ["region_id"], "study", ("A", "R"), "arm", ("F", "O"), "signal")
+    return out.select("region_id", "n_status", rd("contrast", 6).alias("contrast"), rd("unbalanced", 6).alias("unbalanced"))
+
+
 @query("a54_leave_one_group_out", "A54", f"""with {LFC}, h as (select distinct contrast held from lfc),
  tr as (select held, region_id, avg(lfc) pred from lfc join h on contrast <> held where lfc is not null group by 1, 2),
  te as (select contrast held, region_id, lfc meas from lfc where lfc is not null)

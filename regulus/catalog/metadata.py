@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from regulus.catalog.matrix import pairs_sql
 from regulus.catalog.registry import query, rd
 from regulus.catalog.tails import t_sql
 from regulus.functions import special as P
 from regulus.operators import audit as A
 from regulus.operators import design as D
 from regulus.operators import expression as X
+from regulus.operators import matrix as MX
 from regulus.operators import metadata as M
 from regulus.operators import stats as ST
 from regulus.session import cut, lookup_join
@@ -328,3 +330,20 @@ select gene, string_agg(round(v, 3)::decimal(18, 3)::varchar, ',' order by stage
 def _(t):
     m = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_type").alias("gene"), F.col("l_linenumber").alias("stage"), "l_quantity")
     return X.trajectory(m, "gene", "stage", "l_quantity").withColumn("last_over_first", rd("last_over_first")).withColumn("r", rd("r"))
+
+
+STAGED = [f"{stage}{flag}" for stage in range(1, 8) for flag in "ANR"]
+
+
+@query("a59_component_against_stage", "A59", f"""with recursive m as (select p_brand gene, l_linenumber || l_returnflag sample, avg(l_extendedprice) / 1000 v from lineitem join part on p_partkey = l_partkey group by 1, 2),
+ whole as (select * from m where gene in (select gene from m group by 1 having count(*) = 21)),
+ z as (select gene, sample, v - avg(v) over (partition by gene) z from whole),
+ gr as (select a.sample sa, b.sample sb, sum(a.z * b.z) g from z a join z b using (gene) group by 1, 2), gl as (select sa i, list(g order by sb) as row from gr group by 1),
+ {pairs_sql("gl", 21, 1)}, s as (select list(sample order by sample) s from (select distinct sample from whole)),
+ o as (select s[i] sample, left(s[i], 1)::double stage, v[i] * sqrt(l) pc1 from (select *, unnest(range(1, 22)) i from pairs, s))
+select sample, stage, round(pc1, 4) + 0.0 pc1, round(corr(pc1, stage) over (), 6) + 0.0 r from o""")
+def _(t):
+    m = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
+    m = m.groupBy(F.col("p_brand").alias("gene"), F.concat(F.col("l_linenumber").cast("string"), "l_returnflag").alias("sample")).agg((F.avg("l_extendedprice") / 1000).alias("v"))
+    out = MX.component_against_stage(MX.dense_rows(m, "gene", "sample", "v", STAGED), {s: float(s[0]) for s in STAGED})
+    return out.select("sample", "stage", rd("pc1", 4).alias("pc1"), rd("r").alias("r"))

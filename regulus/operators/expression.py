@@ -220,16 +220,49 @@ def log_bin(value: str, per_decade: int) -> Column:
     return F.floor(F.log10(F.when(F.col(value) > 0, F.col(value))) * per_decade)
 
 
+def _residuals(df: DataFrame, x: str, y: str, *more: str) -> DataFrame:
+    """x, y, the absolute residual ``r`` of the least-squares line over all rows with both, and a constant ``g``."""
+    p = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*more, F.col(x).alias("x"), F.col(y).alias("y"), F.lit(1).alias("g")))
+    fit = p.groupBy("g").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
+    return lookup_join(p, fit, ["g"]).withColumn("r", F.abs(F.col("y") - F.col("a") - F.col("b") * F.col("x")))
+
+
 def residual_by_level(df: DataFrame, x: str, y: str, levels: int) -> DataFrame:
     """Mean absolute residual of the least-squares line per quantile level of x, and its correlation with x."""
-    p = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(1).alias("g")))
-    fit = p.groupBy("g").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
-    e = lookup_join(p, fit, ["g"]).withColumn("r", F.abs(F.col("y") - F.col("a") - F.col("b") * F.col("x")))
+    e = _residuals(df, x, y)
     per = quantile_buckets(e, ["g"], "x", levels, "level").groupBy("g", "level").agg(
         F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_abs_residual"), F.avg("x").alias("mean_level"))
     return lookup_join(per, e.groupBy("g").agg(safe_corr("r", "x").alias("corr_residual_level")), ["g"]).drop("g")
 
 
+def residual_by_class(df: DataFrame, label: str, x: str, y: str) -> DataFrame:
+    """Residuals of one line over all rows, per class: mean size, correlation with the level, and the correlation of x and y.
+
+    Rows without a class are a class of their own; correlations that do not exist are NULL.
+    """
+    return _residuals(df, x, y, label).groupBy(label).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_abs_residual"), safe_corr("r", "x").alias("corr_residual_level"),
+        safe_corr("y", "x").alias("corr_x_y"))
+
+
+def balanced_contrast(df: DataFrame, by: Sequence[str], study: str, pair: tuple[str, str], status: str, levels: Sequence[str], value: str) -> DataFrame:
+    """Difference of two studies with every status weighing the same, whatever each study's numbers of rows.
+
+    ``contrast`` is the mean over the statuses of the difference of means, NULL unless both studies have all of them;
+    ``n_status`` counts the statuses both have; ``unbalanced`` is the plain difference of means. One aggregation, one row
+    per ``by``; NULL keys are keys of their own, rows of other studies or statuses take no part.
+    """
+    def mean(s: str, lv: str | None = None) -> Column:
+        mine = F.col(study) == s if lv is None else (F.col(study) == s) & (F.col(status) == lv)
+        return F.avg(F.when(mine, F.col(value)))
+
+    used = df.where(F.col(study).isin(*pair) & F.col(status).isin(*levels))
+    g = used.groupBy(*by).agg(F.array(*[mean(pair[0], lv) - mean(pair[1], lv) for lv in levels]).alias("_d"), (mean(pair[0]) - mean(pair[1])).alias("unbalanced"))
+    total = F.aggregate("_d", F.lit(0.0), lambda a, d: a + d)  # NULL if any difference is
+    have = F.size(F.filter("_d", lambda d: d.isNotNull())).cast("long")
+    return g.select(*by, have.alias("n_status"), (total / len(levels)).alias("contrast"), "unbalanced")
+
+
 def leave_one_out(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Predict each column by the mean of the others: n, Pearson, and the projection on the predicted axis."""
     def mean_of(cols: list[Column]) -> Column:
