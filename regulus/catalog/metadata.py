@@ -163,6 +163,40 @@ def _(t):
     return M.harmonise(obs, "source", "symbol", "v", reg, "sym", ["prev"])
 
 
+REGISTRY_SQL = """reg as (select distinct upper(p_brand) symbol, p_name || '|' || p_name || '#' || p_size || '| ' old, case when p_size % 5 = 0 then 'Withdrawn' when p_size % 11 > 0 then 'Approved' end status from part),
+ live as (select distinct symbol from reg where status = 'Approved'), names as (select symbol, status, trim(unnest(string_split(old, '|'))) old from reg union all select symbol, status, symbol from reg),
+ k as (select old, count(distinct symbol) filter (status = 'Approved' and symbol <> old) n_targets, min(symbol) filter (status = 'Approved' and symbol <> old) target from names where old <> '' group by 1),
+ kinds as (select old, case when old in (select symbol from live) then 'approved' when n_targets = 0 then 'withdrawn' when n_targets = 1 then 'unique' else 'ambiguous' end kind, n_targets, target from k)"""
+
+
+def alias_registry(t):
+    size = F.col("p_size")
+    status = F.when(size % 5 == 0, "Withdrawn").when(size % 11 > 0, "Approved")
+    return t("part").select(F.upper("p_brand").alias("symbol"), F.col("p_name").alias("prev"), F.concat("p_name", F.lit("#"), size.cast("string"), F.lit("| ")).alias("alias"), status.alias("status")).distinct()
+
+
+@query("j13_old_name_classes", "J13", f"""with {REGISTRY_SQL} select old, case when kind = 'unique' then target end target, kind, n_targets from kinds""")
+def _(t):
+    return M.old_name_classes(alias_registry(t), "symbol", ["prev", "alias"], "status")
+
+
+@query("j13_alias_statistics", "J13", f"""with {REGISTRY_SQL},
+ obs as (select l_returnflag source, case when l_quantity > 45 then 'old ' || l_linenumber when p_size % 2 = 0 and l_quantity > 20 then upper(p_brand) else p_name || '#' || p_size end symbol from lineitem join part on p_partkey = l_partkey where l_returnflag <> 'N' or p_size % 2 = 1),
+ pr as (select distinct source, symbol from obs),
+ j as (select o.*, coalesce(kind, 'unknown') kind, case when kind = 'unique' then target end target from obs o left join kinds on old = o.symbol),
+ a as (select j.*, case when target is null then 'kept' when (source, target) in (select (source, symbol) from pr) then 'collision' else 'renamed' end action from j),
+ r as (select *, case when action = 'renamed' then target else symbol end resolved from a)
+select source, count(*) n_rows, count(*) - count(distinct resolved) merged, count(*) filter (action = 'renamed') renamed, count(*) filter (action = 'collision') collisions,
+ count(*) filter (resolved not in (select symbol from live)) not_approved, count(*) filter (kind = 'ambiguous') ambiguous, count(*) filter (kind = 'withdrawn') withdrawn, count(*) filter (kind = 'unknown') "unknown" from r group by 1""")
+def _(t):
+    part = t("part")
+    sym = (F.when(F.col("l_quantity") > 45, F.concat(F.lit("old "), F.col("l_linenumber").cast("string")))
+           .when((F.col("p_size") % 2 == 0) & (F.col("l_quantity") > 20), F.upper("p_brand")).otherwise(F.concat("p_name", F.lit("#"), F.col("p_size").cast("string"))))
+    obs = (t("lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).where((F.col("l_returnflag") != "N") | (F.col("p_size") % 2 == 1))
+           .select(F.col("l_returnflag").alias("source"), sym.alias("symbol"), F.col("l_quantity").alias("v")))
+    return M.harmonise_statistics(obs, "source", "symbol", "v", alias_registry(t), "symbol", ["prev", "alias"], "status")
+
+
 @query("j14_membership", "J14", """with p as (select distinct l_partkey k, l_returnflag f from lineitem), m as (select p_partkey k from part where p_size > 20)
 select f, count(*) n, count(*) filter (k in (select k from m)) n_in, round(100.0 * count(*) filter (k in (select k from m)) / count(*), 6) pct from p group by 1""")
 def _(t):

@@ -7,6 +7,7 @@ from regulus.functions import sequence as Q
 from regulus.operators import design as D
 from regulus.operators import motifs as M
 from regulus.session import lookup_join, spread
+from regulus.sources.genome import fetch_windows, split_chunks
 
 VS = ("v_seqs",)
 # Consensus words of the four motif families.
@@ -89,6 +90,21 @@ def _(t):
     return M.scan_hits(injected(t), "region_id", MOTIFS, 0.8).withColumn("rel", rd("rel"))
 
 
+# letters of a text read as bases, in turn; everything else is unknown
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ "
+AS_BASES = ("ACGT" * 14)[:len(LETTERS)]
+CHUNK = 1024
+
+
+@query("f04_text_chunk_scan", "F4", f"""with txt as (select doc_id, regexp_replace(translate(text, '{LETTERS}', '{AS_BASES}'), '[^ACGT]', 'N', 'g') seq from documents where text is not null),
+ {scores_sql("txt", "doc_id")} select doc_id, motif, "start", strand, round(rel, 6) rel from sc where rel >= 0.85""")
+def _(t):
+    """Sites in the letters of every whole text, stored as chunks; sites across chunk borders count once."""
+    bases = F.regexp_replace(F.translate("text", LETTERS, AS_BASES), "[^ACGT]", "N")
+    chunks = split_chunks(t("documents"), ["doc_id"], bases, CHUNK)
+    return M.scan_chunks(chunks, ["doc_id"], CHUNK, MOTIFS, 0.85).withColumn("rel", rd("rel"))
+
+
 BEST = """b as (select region_id, motif, "start" p, max(rel) rel from sc group by 1, 2, 3),
  best as (select region_id, motif, max(rel) best_rel, arg_max(p, struct_pack(r := rel, q := -p)) best_pos, count(*) filter (rel >= 0.7) n_70, count(*) filter (rel >= 0.8) n_80, count(*) filter (rel >= 0.9) n_90 from b group by 1, 2)"""
 
@@ -265,7 +281,6 @@ def _(t):
 select point_id, ws, substr(s, (ws - c0 * 128 + 1)::int, 200) seq from j""", ("v_seqs", "v_points"))
 def _(t):
     chunks = t("v_seqs").select(F.concat(F.lit("c"), (F.col("region_id") % 5).cast("string")).alias("contig"), F.expr("region_id div 5").alias("chunk_id"), "seq")
-    from regulus.sources.genome import fetch_windows
     sizes = chunks.groupBy("contig").agg((F.count(F.lit(1)) * 128).alias("size"))
     pts = lookup_join(t("v_points").select("point_id", "contig", "pos"), sizes, ["contig"])
     ws = F.greatest(F.lit(0).cast("long"), F.least(F.col("pos") % F.col("size") - 100, F.col("size") - 200))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regulus.session import lookup_join
+from regulus.session import cut, keyed_join, lookup_join
 
 # Keyword lists of the induction classes and of the sample status.
 INDUCTION_KEYWORDS = {
@@ -122,31 +122,71 @@ def resolve_duplicates(df: DataFrame, key: str, value: str, policy: str, order:
     return df.groupBy(key).agg(agg.alias(value))
 
 
-def alias_table(registry: DataFrame, symbol: str, olds: Sequence[str]) -> DataFrame:
-    """(old, target) for old names that are no approved symbol and belong to exactly one symbol."""
-    names = F.concat_ws("|", *[F.col(o) for o in olds])
-    pairs = registry.select(F.col(symbol).alias("target"), F.explode(F.split(names, r"\|")).alias("old"))
-    pairs = pairs.select("target", F.trim("old").alias("old")).where("old <> ''")
-    live = registry.select(F.col(symbol).alias("old")).distinct()
-    return (pairs.join(live, "old", "left_anti").groupBy("old")
-            .agg(F.min("target").alias("target"), F.max("target").alias("_hi")).where("target = _hi").drop("_hi"))
+def old_name_classes(registry: DataFrame, symbol: str, olds: Sequence[str], status: str | None = None,
+                     approved: str = "Approved") -> DataFrame:
+    """One row per old name or symbol in one pass: (old, target, kind, n_targets).
+
+    ``approved``: an approved symbol itself, never remapped, whatever else carries it as an old name; ``unique``: an old
+    name of exactly one approved symbol, its ``target``; ``ambiguous``: of several; ``withdrawn``: known from
+    records that are not approved only. Without ``status`` every record is approved. NULL and empty names do not count.
+    """
+    live = F.lit(True) if status is None else F.coalesce(F.col(status) == approved, F.lit(False))
+    previous = F.split(F.concat_ws("|", *[F.col(o) for o in olds]), r"\|")
+    names = F.concat(F.array(F.struct(F.col(symbol).alias("old"), F.lit(True).alias("own"))),
+                     F.transform(previous, lambda o: F.struct(F.trim(o).alias("old"), F.lit(False).alias("own"))))
+    rows = registry.select(live.alias("live"), F.col(symbol).alias("target"), F.explode(names).alias("n"))
+    rows = rows.select("live", "target", "n.old", "n.own").where("old is not null and old <> ''")
+    # a name has one row per record in a registry; least and greatest target tell one from several
+    mine = F.when(F.col("live") & ~F.col("own"), F.col("target"))
+    g = rows.groupBy("old").agg(F.bool_or(F.col("live") & F.col("own")).alias("is_live"), F.min(mine).alias("lo"), F.max(mine).alias("hi"),
+                                F.count_distinct(mine).alias("n_targets"))
+    kind = F.when(F.col("is_live"), "approved").when(F.col("lo").isNull(), "withdrawn").when(F.col("lo") == F.col("hi"), "unique").otherwise("ambiguous")
+    return g.select("old", F.when(kind == "unique", F.col("lo")).alias("target"), kind.alias("kind"), "n_targets")
+
+
+def alias_table(registry: DataFrame, symbol: str, olds: Sequence[str], status: str | None = None, approved: str = "Approved") -> DataFrame:
+    """(old, target) for old names that are no approved symbol and belong to exactly one approved symbol."""
+    return old_name_classes(registry, symbol, olds, status, approved).where("kind = 'unique'").select("old", "target")
+
+
+def resolved_keys(df: DataFrame, source: str, key: str, value: str, registry: DataFrame, symbol: str, olds: Sequence[str],
+                  status: str | None = None, approved: str = "Approved") -> DataFrame:
+    """One row per (source, key): its rows and largest value, what the registry says of it, ``action`` and the ``resolved`` key.
+
+    ``renamed`` onto its approved symbol; ``collision`` where the source carries that symbol already; else ``kept``.
+    """
+    # one row per (source, key) before any join: a key with very many rows weighs no more than others
+    per = cut(df.groupBy(source, key).agg(F.max(value).alias(value), F.count(F.lit(1)).alias("n_rows")))
+    classes = old_name_classes(registry, symbol, olds, status, approved).withColumnRenamed("old", key)
+    present = per.select(source, F.col(key).alias("target"), F.lit(True).alias("_there")).where("target is not null")
+    # a NULL source is a source of its own
+    j = keyed_join(per.join(classes, key, "left"), present, [source, "target"], "left")
+    action = F.when(F.col("target").isNull(), "kept").when(F.col("_there"), "collision").otherwise("renamed")
+    j = j.withColumn("action", action).withColumn("kind", F.coalesce("kind", F.lit("unknown")))
+    return j.select(source, key, value, "n_rows", "kind", "action", F.when(F.col("action") == "renamed", F.col("target")).otherwise(F.col(key)).alias("resolved"))
 
 
 def harmonise(df: DataFrame, source: str, key: str, value: str, registry: DataFrame, symbol: str,
-              olds: Sequence[str]) -> DataFrame:
+              olds: Sequence[str], status: str | None = None, approved: str = "Approved") -> DataFrame:
     """Rename keys of each source onto approved symbols; a target already present is left alone;
     rows that meet after renaming are merged by maximum. Adds ``action``."""
-    approved = registry.select(F.col(symbol).alias(key)).distinct().withColumn("_live", F.lit(True))
-    aliases = alias_table(registry, symbol, olds).withColumnRenamed("old", key)
-    # one row per (source, key) before any join: a key with very many rows weighs no more than others
-    per = df.groupBy(source, key).agg(F.max(value).alias(value), F.count(F.lit(1)).alias("_rows"))
-    present = per.select(source, F.col(key).alias("target")).withColumn("_there", F.lit(True))
-    j = (per.join(approved, key, "left").join(aliases, key, "left").join(present, [source, "target"], "left"))
-    can = F.col("_live").isNull() & F.col("target").isNotNull()
-    action = F.when(can & F.col("_there").isNull(), "renamed").when(can, "collision").otherwise("kept")
-    named = j.withColumn("action", action).withColumn("_new", F.when(F.col("action") == "renamed", F.col("target")).otherwise(F.col(key)))
-    return (named.groupBy(source, F.col("_new").alias("symbol"))
-            .agg(F.max(value).alias(value), F.sum("_rows").alias("n_merged"), F.max("action").alias("action")))
+    named = resolved_keys(df, source, key, value, registry, symbol, olds, status, approved)
+    return (named.groupBy(source, F.col("resolved").alias("symbol"))
+            .agg(F.max(value).alias(value), F.sum("n_rows").alias("n_merged"), F.max("action").alias("action")))
+
+
+def harmonise_statistics(df: DataFrame, source: str, key: str, value: str, registry: DataFrame, symbol: str,
+                         olds: Sequence[str], status: str | None = None, approved: str = "Approved") -> DataFrame:
+    """Per source, in rows: renamed, collisions left alone, merged into another row of the resolved key, and not an
+    approved symbol afterwards, the last split into ambiguous, withdrawn and unknown names (collisions are old names too)."""
+    named = resolved_keys(df, source, key, value, registry, symbol, olds, status, approved)
+    rows = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n_rows"))), F.lit(0)).cast("long")
+    per = named.groupBy(source, "resolved").agg(
+        F.sum("n_rows").alias("n"), rows(F.col("action") == "renamed").alias("renamed"), rows(F.col("action") == "collision").alias("collisions"),
+        rows((F.col("action") != "renamed") & (F.col("kind") != "approved")).alias("not_approved"),
+        *[rows(F.col("kind") == k).alias(k) for k in ("ambiguous", "withdrawn", "unknown")])
+    sums = ("renamed", "collisions", "not_approved", "ambiguous", "withdrawn", "unknown")
+    return per.groupBy(source).agg(F.sum("n").alias("n_rows"), (F.sum("n") - F.count(F.lit(1))).alias("merged"), *[F.sum(c).alias(c) for c in sums])
 
 
 def shared_keys(df: DataFrame, source: str, key: str) -> DataFrame:

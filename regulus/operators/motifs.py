@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from regulus.functions.sequence import BACKGROUND
 from regulus.plans.tiling import depth_segments
 from regulus.session import cut, lookup_join
+from regulus.sources.genome import with_halo
 
 _CODE = np.full(256, 4, dtype=np.uint8)
 for _i, _b in enumerate(b"ACGT"):
@@ -63,8 +64,8 @@ def weights_from_counts(counts: DataFrame) -> DataFrame:
             .select("motif", "pos", "base", F.log2((F.col("n") + 0.25) / F.col("_total") / F.element_at(bg, F.col("base"))).alias("w")))
 
 
-def _stretches(pdf: pd.DataFrame, ident: str, pad: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, starts, codes): sequences laid end to end with ``pad`` unusable letters between them."""
+def _stretches(pdf: pd.DataFrame, pad: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, starts, codes): sequences laid end to end with ``pad`` unusable letters between them."""
     seqs = pdf["seq"].fillna("").to_numpy()
     size = np.fromiter((len(s) for s in seqs), dtype=np.int64, count=len(seqs))
     group = np.cumsum(size) // STRETCH
@@ -72,7 +73,7 @@ def _stretches(pdf: pd.DataFrame, ident: str, pad: int) -> Iterator[tuple[np.nda
         pick = np.flatnonzero(group == g)
         text = ("N" * pad).join(seqs[i] for i in pick) + "N" * pad
         starts = np.concatenate([[0], np.cumsum(size[pick] + pad)[:-1]])
-        yield pdf[ident].to_numpy()[pick], starts, _CODE[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)]
+        yield pick, starts, _CODE[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)]
 
 
 def _relative(codes: np.ndarray, m: Motif, reverse: bool) -> np.ndarray:
@@ -88,24 +89,39 @@ def _relative(codes: np.ndarray, m: Motif, reverse: bool) -> np.ndarray:
     return np.where(np.isnan(rel), -1.0, rel)
 
 
-def scan_hits(seqs: DataFrame, ident: str, motifs: Sequence[Motif], cutoff: float) -> DataFrame:
-    """Every window on either strand with relative score >= cutoff."""
+def scan_hits(seqs: DataFrame, ident: str | Sequence[str], motifs: Sequence[Motif], cutoff: float) -> DataFrame:
+    """Every window on either strand with relative score >= cutoff; ``ident`` names the columns that go along."""
     pad = max(m.length for m in motifs)
+    keys = [ident] if isinstance(ident, str) else list(ident)
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for ids, starts, codes in _stretches(pdf, ident, pad):
+            for rows, starts, codes in _stretches(pdf, pad):
                 for m in motifs:
                     for strand, rev in (("+", False), ("-", True)):
                         rel = _relative(codes, m, rev)
                         at = np.flatnonzero(rel >= cutoff)
                         owner = np.searchsorted(starts, at, side="right") - 1
-                        yield pd.DataFrame({ident: ids[owner], "motif": m.name, "start": at - starts[owner],
-                                            "strand": strand, "rel": rel[at]})
+                        out = pdf[keys].iloc[rows[owner]].reset_index(drop=True)
+                        yield out.assign(motif=m.name, start=at - starts[owner], strand=strand, rel=rel[at])
 
-    kind = seqs.schema[ident].dataType.simpleString()
-    return seqs.select(ident, "seq").where("seq is not null").mapInPandas(
-        scan, f"{ident} {kind}, motif string, start long, strand string, rel double")
+    ddl = ", ".join(f"`{k}` {seqs.schema[k].dataType.simpleString()}" for k in keys)
+    return seqs.select(*keys, "seq").where("seq is not null").mapInPandas(
+        scan, f"{ddl}, motif string, start long, strand string, rel double")
+
+
+def scan_chunks(chunks: DataFrame, keys: Sequence[str], chunk: int, motifs: Sequence[Motif], cutoff: float) -> DataFrame:
+    """Sites of contigs stored in chunks (``keys``, chunk_id, seq) of ``chunk`` bases: keys, motif, start, strand, rel.
+
+    ``start`` counts from the contig's first base. A site belongs to the chunk that holds its first base; the bases it
+    needs beyond that come from the chunks after it as a halo of (longest motif - 1) bases, so a site across borders
+    is found once. Missing chunks, NULL sequences and the rest of a short chunk are unknown bases. NULL keys are
+    contigs of their own; (keys, chunk_id) is unique.
+    """
+    keys = list(keys)
+    parts = with_halo(chunks, keys, chunk, max(m.length for m in motifs) - 1)
+    hits = scan_hits(parts, [*keys, "chunk_id"], motifs, cutoff).where(F.col("start") < chunk)
+    return hits.select(*keys, "motif", (F.col("chunk_id") * chunk + F.col("start")).cast("long").alias("start"), "strand", "rel")
 
 
 def scan_best(seqs: DataFrame, ident: str, motifs: Sequence[Motif], cutoffs: Sequence[float]) -> DataFrame:
@@ -119,7 +135,7 @@ def scan_best(seqs: DataFrame, ident: str, motifs: Sequence[Motif], cutoffs: Seq
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for ids, starts, codes in _stretches(pdf, ident, pad):
+            for rows, starts, codes in _stretches(pdf, pad):
                 for m in motifs:
                     fwd, rev = _relative(codes, m, False), _relative(codes, m, True)
                     both = np.maximum(fwd, rev)
@@ -128,7 +144,7 @@ def scan_best(seqs: DataFrame, ident: str, motifs: Sequence[Motif], cutoffs: Seq
                     owner = np.searchsorted(starts, np.arange(len(both)), side="right") - 1
                     where = np.flatnonzero(both == best[owner])
                     _, first = np.unique(owner[where], return_index=True)
-                    out = pd.DataFrame({ident: ids, "motif": m.name, "best_rel": np.where(best >= 0, best, np.nan),
+                    out = pd.DataFrame({ident: pdf[ident].to_numpy()[rows], "motif": m.name, "best_rel": np.where(best >= 0, best, np.nan),
                                         "best_pos": pd.array(where[first] - starts, dtype="Int64")})
                     out.loc[best < 0, ["best_rel", "best_pos"]] = None
                     for c, name in zip(cutoffs, names):
