@@ -2,9 +2,10 @@
 
 Every rolling word k-gram of a text is joined to the positions where license templates have the same k-gram.
 A match at word p of the text and word q of the template votes for the diagonal p - q: an unbroken copy
-puts all its votes on one diagonal, a copy with words added or left out on neighbouring ones. Neighbouring
-diagonals are merged, and a merged span is accepted when the words that its matches cover make up enough of
-the template without being spread too thin over the text; a k-gram match means k equal words.
+puts all its votes on one diagonal, a copy with words added or left out on neighbouring ones. Matches that follow each
+other on one diagonal are a stretch; stretches on neighbouring diagonals are merged into chains that ascend in the text
+and in the template, and a chain is accepted when it covers enough different words of the template without being spread
+too thin over the text; a k-gram match means k equal words, and a passage that is only repeated covers its words once.
 
 The templates are literal parameters, so the broadcast side has a fixed size. Only matches are shuffled,
 pre-aggregated to one row per (text, template, diagonal); a text has a bounded number of diagonals.
@@ -79,8 +80,8 @@ def template_grams(spark, templates: dict[str, str] = TEMPLATES, k: int = GRAM)
     return spark.createDataFrame(rows, "gram long, template string, tpos int, twords int")
 
 
-def _base(low: bytes, phrases: dict[str, str]) -> tuple[int, int | None, int | None, str]:
-    """Places of the phrases in a text of lower-cased bytes: count, first and last word, labels."""
+def _base(low: bytes, starts: np.ndarray, phrases: dict[str, str]) -> tuple[int, int | None, int | None, str]:
+    """Places of the phrases in a text of lower-cased bytes whose words begin at ``starts``: count, first and last word, labels."""
     at: list[int] = []
     labels = set()
     sep = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]"
@@ -89,8 +90,9 @@ def _base(low: bytes, phrases: dict[str, str]) -> tuple[int, int | None, int | N
         if words[-1] not in low:
             continue
         body = (sep + b"+").join(map(re.escape, words))
-        for m in re.finditer(rb"(?:^|(?<=" + sep + rb"))(?=" + body + rb"(?:" + sep + rb"|$))", low):
-            at.append(len(re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low[:m.start()])))
+        found = [m.start() for m in re.finditer(rb"(?:^|(?<=" + sep + rb"))(?=" + body + rb"(?:" + sep + rb"|$))", low)]
+        if found:
+            at += np.searchsorted(starts, found).tolist()
             labels.add(label)
     return len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
@@ -109,7 +111,8 @@ def scan_words(docs: DataFrame, phrases: dict[str, str] = PHRASES, k: int = GRAM
                 h = chain(run_hashes(low.data, s, e), k).astype(np.int64)
                 inside = row[k - 1:] == row[:len(h)] if len(h) else np.zeros(0, bool)
                 grams, owner = h[inside], row[:len(h)][inside]
-                base = [_base(low.row(i), phrases) for i in range(n)]
+                cut_at = np.searchsorted(row, np.arange(n + 1))
+                base = [_base(low.row(i), s[cut_at[i]:cut_at[i + 1]] - p.at[i], phrases) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(uid, uid + n)), b.column(0).slice(p.lo, n), pa.array(np.bincount(row, minlength=n)),
                     *[pa.array([x[j] for x in base], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))],
@@ -121,19 +124,46 @@ def scan_words(docs: DataFrame, phrases: dict[str, str] = PHRASES, k: int = GRAM
         run, f"uid long, k {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, grams array<long>")
 
 
-def verified_share(votes: list, twords: int, k: int, gap: int, cover: float, density: float) -> float:
-    """Largest share of one template that neighbouring diagonals of one text cover densely enough (0: none)."""
-    diagonal = np.array([v["diagonal"] for v in votes])
-    order = np.argsort(diagonal, kind="stable")
+def stretches(diagonals: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """Maximal runs of consecutive positions on one diagonal, as rows (text word, template word, matches), by text word."""
+    order = np.lexsort((positions, diagonals))
+    d, p = diagonals[order], positions[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(p) != 1)])
+    out = np.stack([p[first], p[first] - d[first], np.diff(np.r_[first, len(p)])], 1)
+    return out[np.lexsort((out[:, 1], out[:, 0]))]
+
+
+def verified_share(found: np.ndarray, twords: int, k: int, gap: int, cover: float, density: float) -> float:
+    """Largest share of a template that a chain of ``stretches`` covers (0: none accepted).
+
+    In a chain each stretch begins and ends later than the one before in the text and in the template, at most ``gap``
+    diagonals off it and at most half a template further on. A chain's worth is the number of template words that it
+    covers, less ``density`` / (1 - ``density``) for every word of the text between its stretches; every stretch takes the
+    predecessor that makes its chain worth most (ties: the earliest), or none. A chain is accepted when its worth is not
+    negative, it covers ``cover`` of the template, and its ends lie at most half a template of diagonals apart.
+    """
+    thin = density / (1 - density)
+    pos, tpos, n = found[:, 0], found[:, 1], found[:, 2] + (k - 1)
+    end, tend, diagonal = pos + n, tpos + n, pos - tpos
+    worth, words, home = n.astype(float), n.copy(), diagonal.copy()
+    reach = twords // 2 + gap
     best = 0.0
-    for group in np.split(order, np.flatnonzero(np.diff(diagonal[order]) > gap) + 1):
-        pos = np.unique(np.concatenate([np.asarray(votes[i]["positions"]) for i in group]))
-        # stretches of the text: a new one where no match begins within half the template's length
-        for part in np.split(pos, np.flatnonzero(np.diff(pos) > twords // 2 + gap) + 1):
-            own = np.unique((part[:, None] + np.arange(k)).ravel())
-            share = min(1.0, len(own) / twords)
-            if share >= cover and len(own) >= density * (part[-1] + k - part[0]):
-                best = max(best, share)
+    lo = 0
+    for b in range(len(pos)):
+        while pos[lo] + twords + reach < pos[b]:  # a stretch is no longer than the template
+            lo += 1
+        if lo < b:
+            w = slice(lo, b)
+            new = np.minimum(np.minimum(end[b] - end[w], tend[b] - tend[w]), n[b])
+            ok = ((pos[w] < pos[b]) & (tpos[w] < tpos[b]) & (new > 0) & (np.abs(diagonal[w] - diagonal[b]) <= gap) & (pos[b] - end[w] <= reach)
+                  & (np.abs(home[w] - diagonal[b]) <= twords // 2))
+            if ok.any():
+                value = np.where(ok, worth[w] + new - thin * np.maximum(pos[b] - end[w], 0), -np.inf)
+                a = int(np.argmax(value))
+                if value[a] > worth[b]:
+                    worth[b], words[b], home[b] = value[a], words[lo + a] + new[a], home[lo + a]
+        if worth[b] >= 0 and words[b] >= cover * twords:
+            best = max(best, min(1.0, words[b] / twords))
     return best
 
 
@@ -141,7 +171,11 @@ def _accepted(k: int, gap: int, cover: float, density: float):
     """Rows (uid, template, twords, votes) to those with a verified span."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in parts:
-            share = [verified_share(list(r.votes), r.twords, k, gap, cover, density) for r in g.itertuples()]
+            share = []
+            for r in g.itertuples():
+                size = [len(v["positions"]) for v in r.votes]
+                found = stretches(np.repeat([v["diagonal"] for v in r.votes], size), np.concatenate([v["positions"] for v in r.votes]))
+                share.append(verified_share(found, r.twords, k, gap, cover, density))
             yield g[["uid", "template"]].assign(share=np.array(share, float))
     return run
 
