@@ -1,7 +1,7 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word-shape features.
 
 The patterns give the base spans. The field is trained from a small labelled table (words of a bounded sample
-of lines, tagged by the base spans or by any table of the caller), so it learns what personal data look like
+of rows, tagged by the base spans or by any table of the caller), so it learns what personal data look like
 beside their surroundings, and adds spans of that kind which the patterns miss; base spans always stay.
 
 Features of a word are its shape (kinds of characters, counts of digits and dots, first and last character,
@@ -303,10 +303,17 @@ def all_spans(field: Field | None, p: Piece) -> Iterator[tuple[list[list[tuple[i
         text = raw.decode()
         base = base_spans(text)
         spans = [list(x) for x in base]
-        for kind, s, e in extra.get(i, ()):
-            s, e = len(raw[:s].decode("utf-8", "ignore")), len(raw[:e].decode("utf-8", "ignore"))
-            if not any(a < e and s < b for own in base for a, b in own):
-                spans[kind].append((s, e))
+        more = extra.get(i)
+        if more:
+            # code point of every byte, and the ends reached so far of the base spans by start: one pass over the text
+            point = np.concatenate([[0], np.cumsum((p.data[p.at[i]:p.at[i + 1]] & 0xC0) != 0x80)])
+            own = np.array(sorted(x for of_kind in base for x in of_kind), np.int64).reshape(-1, 2)
+            kinds, s, e = np.array(more).T
+            s, e = point[s], point[e]
+            before = np.searchsorted(own[:, 0], e)  # base spans that start before the end
+            reach = np.concatenate([[0], np.maximum.accumulate(own[:, 1])])
+            for kind, a, b in zip(*(x[reach[before] <= s].tolist() for x in (kinds, s, e))):
+                spans[kind].append((a, b))
         yield base, [sorted(x) for x in spans]
 
 
@@ -316,10 +323,15 @@ def joined(spans: list[list[tuple[int, int]]]) -> str:
 
 def labelled_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SAMPLE_TEXTS,
                    max_chars: int = SAMPLE_CHARS) -> list[str]:
-    """At most ``n`` texts with a digit or an at sign, by hash of the key: the small table that is labelled."""
-    fit = docs.where((F.length(text) <= max_chars) & F.col(text).rlike("[0-9@]") & F.col(key).isNotNull())
-    keys = [r[0] for r in fit.select(key).orderBy(F.xxhash64(F.col(key)), key).limit(n).collect()]
-    return [r[0] for r in docs.where(F.col(key).isin(keys) & (F.length(text) <= max_chars)).select(text, key).orderBy(key, text).collect()]
+    """At most ``n`` rows with a digit or an at sign, by hash of the key: the small table that is labelled.
+
+    Texts of at most ``max_chars`` characters come first; where they are too few, longer ones fill the sample up with
+    their first ``max_chars`` characters. The bound is one of rows: a key that many rows share counts once for each.
+    """
+    part = F.substring(text, 1, max_chars)
+    fit = docs.select(F.col(key).alias("k"), part.alias("t"), (F.length(text) > max_chars).alias("outside"), F.xxhash64(F.col(key)).alias("h"))
+    first = fit.where(F.col("t").rlike("[0-9@]")).orderBy("outside", "h", "k", "t").limit(n)
+    return [r[0] for r in first.orderBy("k", "t").select("t").collect()]
 
 
 def fitted(docs: DataFrame, **params) -> Field | None:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -105,3 +106,39 @@ def test_op1(spark, sf):
         for x in set(filter(None, r.spans.split(","))) - base:
             print(x, texts[r.doc_id][int(x.split(":")[1]):int(x.split(":")[2])])
     assert extra < 40
+
+
+def test_the_sample_is_bounded_in_rows_and_filled_by_long_texts(spark):
+    many = spark.range(300).select(F.lit(7).alias("doc_id"), F.concat(F.lit("call +1 555 010 "), F.lpad(F.col("id").cast("string"), 4, "0")).alias("text"))
+    assert len(pii.labelled_texts(many, n=50)) == 50
+    long = spark.createDataFrame([(None, "a@b.cc " + "x " * 40), (2, "word " * 40 + "1.2.3.4"), (3, "short 10.0.0.1"), (4, None), (5, "")], "doc_id long, text string")
+    got = pii.labelled_texts(long, n=10, max_chars=50)
+    assert sorted(got) == sorted([("a@b.cc " + "x " * 40)[:50], "short 10.0.0.1"])  # a long text without a digit in its beginning teaches nothing
+    assert pii.labelled_texts(long, n=1, max_chars=50) == ["short 10.0.0.1"]  # short ones first
+    assert pii.fitted(long, max_chars=10) is not None
+
+
+def plain_spans(field, text):
+    """Spans of the field as before: prefixes decoded, every base span compared."""
+    p = next(pieces(pa.array([text], pa.string())))
+    raw, base = text.encode(), pii.base_spans(text)
+    out = [list(x) for x in base]
+    for kind, s, e in pii.field_spans(field, p).get(0, ()):
+        s, e = len(raw[:s].decode()), len(raw[:e].decode())
+        if not any(a < e and s < b for own in base for a, b in own):
+            out[kind].append((s, e))
+    return [sorted(x) for x in out]
+
+
+def test_many_spans_in_one_text(spark):
+    # the field learns from valid numbers and adds those that fail the check digit
+    rows = [(i, f"pay 4111 1111 1111 1111 or mail me.{i}@ex.org é at 10.0.{i % 300}.1 now +44 20 7946 0{i:03d}") for i in range(200)]
+    field = pii.fitted(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = " ü ".join(t.replace("1111 or", f"{1000 + i} or") for i, t in rows)
+    got = list(pii.all_spans(field, next(pieces(pa.array([text], pa.string())))))[0][1]
+    want = plain_spans(field, text)
+    assert got == want and sum(map(len, got)) > sum(map(len, pii.base_spans(text)))
+    big = " ".join([text] * 60)  # about a megabyte
+    t0 = time.time()
+    n = sum(map(len, list(pii.all_spans(field, next(pieces(pa.array([big], pa.string())))))[0][1]))
+    assert n >= 59 * sum(map(len, got)) and time.time() - t0 < 20
