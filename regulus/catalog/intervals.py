@@ -189,11 +189,7 @@ def _(t):
  round(count(*) filter (distance <= 100) / count(*), 6) share_within, median(distance) median_distance from near""", ("v_points", "v_intervals"))
 def _(t):
     near = I.nearest(t("v_points"), t("v_intervals"), "contig", "pos", "s").select(F.lit(1).alias("g"), "distance")
-    q = exact_percentiles(near, ["g"], "distance", [0.5])
-    within = F.count_if(F.col("distance") <= 100)
-    agg = near.groupBy("g").agg(F.count(F.lit(1)).alias("n"), within.alias("n_within"),
-                                rd(within / F.count(F.lit(1))).alias("share_within"))
-    return agg.join(q, "g").select("n", "n_within", "share_within", F.col("q0").alias("median_distance"))
+    return I.distance_summary(near, ["g"], "distance", 100).drop("g").withColumn("share_within", rd("share_within"))
 
 
 LOCI = "loci as (select s_suppkey locus, concat('c', cast(s_suppkey % 5 as varchar)) contig, s_suppkey * 10000 ls, s_suppkey * 10000 + 3000 le, s_nationkey % 2 = 0 plus from supplier)"
@@ -268,14 +264,7 @@ def _(t):
 select (select count(*) from q) n, count(*) filter (x is not null and y is not null) both_mapped,
  count(*) filter (abs(abs(y - x) - 999) <= 50) span_kept from w""", ("v_points", "v_blocks"))
 def _(t):
-    pts = t("v_points").select("point_id", "contig", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("pos").alias("p")), F.struct(F.lit(1).alias("side"), (F.col("pos") + 999).alias("p")))).alias("x"))
-    pts = pts.select(F.struct("point_id", "x.side").alias("k"), "contig", F.col("x.p").alias("pos"))
-    m = I.remap(pts, t("v_blocks"), "k", "contig", "pos")
-    w = m.groupBy("k.point_id").agg(F.max(F.when(F.col("k.side") == 0, F.col("mapped"))).alias("x"),
-                                    F.max(F.when(F.col("k.side") == 1, F.col("mapped"))).alias("y"))
-    return w.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("both_mapped"),
-                 F.count_if(F.abs(F.abs(F.col("y") - F.col("x")) - 999) <= 50).alias("span_kept"))
+    return I.span_integrity(t("v_points"), t("v_blocks"), "point_id", "contig", "pos", 1000, 50)
 
 
 @query("j08_remap_collisions", "J8", f"""with {REMAP}, c as (select point_id, contig, mapped // 50 target from m where mapped is not null)
@@ -392,7 +381,4 @@ def _(t):
 @query("f13_strand_aware_promoter", "F13", f"""with {LOCI} select locus, case when plus then ls else le end tss,
  case when plus then ls - 1000 else le - 200 end prom_start, case when plus then ls + 200 else le + 1000 end prom_end from loci""")
 def _(t):
-    plus = F.col("plus")
-    return loci(t).select("locus", F.when(plus, F.col("ls")).otherwise(F.col("le")).alias("tss"),
-                          F.when(plus, F.col("ls") - 1000).otherwise(F.col("le") - 200).alias("prom_start"),
-                          F.when(plus, F.col("ls") + 200).otherwise(F.col("le") + 1000).alias("prom_end"))
+    return loci(t).select("locus", I.promoter(F.col("ls"), F.col("le"), F.col("plus"), 1000, 200).alias("p")).select("locus", "p.*")

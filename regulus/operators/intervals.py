@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regulus.plans.ordered import exact_percentiles
 from regulus.plans.range_join import overlap_join, point_join
 from regulus.plans.tiling import (TILE, attach_neighbours, depth_segments, gap_clusters,
                                   running_sums, tile_expr)
@@ -177,3 +178,29 @@ def bin_ranges(placed: DataFrame, center: str, half: int, off: int, bin_size: in
            .withColumn("rc_bin0", n_bins - F.col("bin1")).withColumn("rc_bin1", n_bins - F.col("bin0")))
     return out.withColumn("valid", (F.col("bin0") >= 0) & (F.col("bin1") <= n_bins) & (F.col("bin1") > F.col("bin0")))
 
+
+
+def span_integrity(points: DataFrame, blocks: DataFrame, ident: str, contig: str, pos: str, length: int, tolerance: int) -> DataFrame:
+    """One row: regions of ``length`` bases from ``pos``, those whose first and last base both map, and those whose
+    mapped ends stay ``length`` - 1 apart within ``tolerance``, on either strand. ``ident`` is unique; NULL contigs map nowhere."""
+    side = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), (F.col(pos) + d).alias("p")) for i, d in enumerate((0, length - 1))]))
+    ends = points.select(ident, contig, side.alias("_x")).select(F.struct(ident, "_x.side").alias("_k"), contig, F.col("_x.p").alias(pos))
+    mapped = remap(ends, blocks, "_k", contig, pos)
+    first, last = (F.max(F.when(F.col("_k.side") == i, F.col("mapped"))).alias(n) for i, n in enumerate(("_a", "_b")))
+    gap = F.abs(F.col("_b") - F.col("_a"))
+    return mapped.groupBy(f"_k.{ident}").agg(first, last).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(gap.isNotNull()).alias("both_mapped"), F.count_if(F.abs(gap - (length - 1)) <= tolerance).alias("span_kept"))
+
+
+def distance_summary(near: DataFrame, keys: Sequence[str], distance: str, limit: float) -> DataFrame:
+    """Per ``keys``: rows, those within ``limit``, their share and the median distance (rows without a neighbour count in n only)."""
+    g = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(distance) <= limit).alias("n_within"))
+    q = exact_percentiles(near, keys, distance, [0.5])
+    return keyed_join(g, q, keys, "left").select(*keys, "n", "n_within", (F.col("n_within") / F.col("n")).alias("share_within"), F.col("q0").alias("median_distance"))
+
+
+def promoter(start: Column, end: Column, forward: Column, upstream: int, downstream: int) -> Column:
+    """(tss, prom_start, prom_end) of a gene by its strand: the window reaches ``upstream`` before and ``downstream`` behind
+    the transcription start; NULL where the strand is not known."""
+    known = F.when(forward, F.struct(start.alias("tss"), (start - upstream).alias("prom_start"), (start + downstream).alias("prom_end")))
+    return known.when(~forward, F.struct(end.alias("tss"), (end - downstream).alias("prom_start"), (end + upstream).alias("prom_end")))
