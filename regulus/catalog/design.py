@@ -6,6 +6,7 @@ from regulus.catalog.registry import query, rd
 from regulus.catalog.tails import T_975, normal_sql, t_sql
 from regulus.functions import special as P
 from regulus.operators import design as D
+from regulus.operators import selection as SEL
 from regulus.operators import stats as ST
 from regulus.plans.ordered import exact_percentiles
 from regulus.session import cut, lookup_join
@@ -127,9 +128,8 @@ select label, arrangement, load, origin, round(adjusted, 6) + 0.0 adjusted from
  union all select * from new where adjusted > 0)""", VC)
 def _(t):
     s = combo_summary(t).select("label", "arrangement", "load", "adjusted")
-    new = s.where("load = 12 and adjusted > 0").withColumn("origin", F.lit("new"))
-    old = s.where("load < 12").withColumn("origin", F.lit("old")).join(new, ["label", "arrangement"], "left_semi")
-    return old.unionByName(new).withColumn("adjusted", rd("adjusted"))
+    curve = SEL.curve_union(s.where("load < 12"), s.where("load = 12 and adjusted > 0"), ["label", "arrangement"])
+    return curve.withColumn("adjusted", rd("adjusted"))
 
 
 STRATA = """u as (select l_orderkey, avg(l_extendedprice) filter (l_returnflag = 'A') - avg(l_extendedprice) filter (l_returnflag = 'R') specific from lineitem group by 1),
@@ -338,17 +338,19 @@ def _(t):
     return D.one_sample(e, ["g"], "r", 1.0).select("n", rd("mean").alias("mean"), rd("sem").alias("sem"), rd("t", 5).alias("t"))
 
 
-@query("a62_affinity_effect", "A62", """with p as (select p_partkey, p_retailprice affinity, p_size % 2 = 1 mutant, avg(l_quantity) effect from part join lineitem on l_partkey = p_partkey group by 1, 2, 3),
+@query("a62_affinity_effect", "A62", """with p as (select p_partkey, p_retailprice affinity, p_size % 2 = 1 mutant, avg(l_quantity) effect, count(*) filter (l_quantity >= 45) made from part join lineitem on l_partkey = p_partkey group by 1, 2, 3),
  s as (select 'all' subset, * from p union all select 'mutant', * from p where mutant),
  r as (select *, rank() over (partition by subset order by affinity) + (count(*) over (partition by subset, affinity) - 1) / 2.0 a,
-  rank() over (partition by subset order by effect) + (count(*) over (partition by subset, effect) - 1) / 2.0 b from s)
-select subset, count(*) n, round(corr(a, b), 6) + 0.0 spearman, round(avg(effect), 6) mean, round(min(effect), 6) lo, round(max(effect), 6) hi from r group by 1""")
+  rank() over (partition by subset order by effect) + (count(*) over (partition by subset, effect) - 1) / 2.0 b from s),
+ c as (select subset, count(*) n, count(*) - 2.0 df, corr(a, b) rho, corr(a, b) * sqrt((count(*) - 2) / (1 - corr(a, b) ** 2)) tt, corr(affinity, effect) pe, avg(effect) mean, min(effect) lo, max(effect) hi, avg(made) mm, min(made) made_min, max(made) made_max from r group by 1)
+select subset, n, round(rho, 6) + 0.0 spearman, round(""" + t_sql("tt", "df") + """, 6) + 0.0 p, round(pe, 6) + 0.0 pearson, round(mean, 6) mean, round(lo, 6) lo, round(hi, 6) hi, round(mm, 6) made_mean, made_min, made_max from c""")
 def _(t):
-    p = (t("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_quantity").alias("effect"))
+    p = (t("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_quantity").alias("effect"), F.count_if(F.col("l_quantity") >= 45).alias("made"))
          .join(t("part").select("p_partkey", F.col("p_retailprice").alias("affinity"), (F.col("p_size") % 2 == 1).alias("mutant")), "p_partkey"))
-    s = cut(p.withColumn("subset", F.explode(F.when(F.col("mutant"), F.array(F.lit("all"), F.lit("mutant"))).otherwise(F.array(F.lit("all"))))))
-    c = ST.correlations(s, ["subset"], "affinity", "effect").select("subset", "n", rd("spearman").alias("spearman"))
-    return c.join(s.groupBy("subset").agg(rd(F.avg("effect")).alias("mean"), rd(F.min("effect")).alias("lo"), rd(F.max("effect")).alias("hi")), "subset")
+    out = D.affinity_effect(p, "affinity", "effect", F.col("mutant"), ["made"])
+    tail = P.t_p(P.spearman_t(F.col("spearman"), F.col("n")), (F.col("n") - 2).cast("double"))
+    return out.select("subset", "n", *[rd(c).alias(n) for c, n in (("spearman", "spearman"), (tail, "p"), ("pearson", "pearson"), ("effect_mean", "mean"), ("effect_min", "lo"),
+                                                                  ("effect_max", "hi"), ("made_mean", "made_mean"))], F.col("made_min"), F.col("made_max"))
 
 
 @query("o01_sorted_results", "O1", f"with {COMBO} select label, arrangement, load, n from s order by load, length(label), label, arrangement", VC)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from regulus.catalog.registry import query, rd
 from regulus.operators import intervals as I
+from regulus.operators import selection as SEL
 from regulus.operators import signal as S
 from regulus.plans.greedy import cover_points, cover_regions, greedy_positions
 from regulus.plans.ordered import exact_percentiles
@@ -361,15 +362,22 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.min("center").alias("first_center"))
 
 
+SPLITS = {"test": ["c0"], "val": ["c1"], "stop": ["c2"]}
+
+
 @query("p15_split_by_contig", "P15", """with s as (select *, case when contig = 'c0' then 'test' when contig = 'c1' then 'val' when contig = 'c2' then 'stop' else 'train' end split from v_points)
 select split, count(*) n, (select count(*) from (select contig from s group by 1 having count(distinct split) > 1)) overlapping from s group by 1""", ("v_points",))
 def _(t):
-    c = F.col("contig")
-    s = t("v_points").withColumn("split", F.when(c == "c0", "test").when(c == "c1", "val").when(c == "c2", "stop").otherwise("train"))
-    per = s.groupBy("contig", "split").agg(F.count(F.lit(1)).alias("n"))
-    clash = per.groupBy("contig").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("overlapping"))
-    total = per.groupBy("split").agg(F.sum("n").alias("n")).withColumn("_one", F.lit(1))
-    return total.join(clash.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    s = t("v_points").withColumn("split", SEL.contig_split(F.col("contig"), SPLITS, "train"))
+    return SEL.split_audit(s, "split", "contig").select("split", "n", F.col("n_shared").alias("overlapping"))
+
+
+@query("p15_samples_across_splits", "P15", """with s as (select sample, case when contig = 'c0' then 'test' when contig = 'c1' then 'val' when contig = 'c2' then 'stop' else 'train' end split from v_points where payload % 7 < 1),
+ k as (select sample from s where sample is not null group by 1 having count(distinct split) > 1)
+select split, count(*) n, count(distinct sample) n_keys, count(distinct case when sample in (select sample from k) then sample end) n_shared from s group by 1""", ("v_points",))
+def _(t):
+    s = t("v_points").where("payload % 7 < 1").withColumn("split", SEL.contig_split(F.col("contig"), SPLITS, "train"))
+    return SEL.split_audit(s, "split", "sample")
 
 
 @query("f12_point_interval_distance", "F12", f"""with {LOCI} select l.locus, i.event_id, greatest(l.ls - i.s, i.s - l.le, 0) distance

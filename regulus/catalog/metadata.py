@@ -11,6 +11,7 @@ from regulus.operators import design as D
 from regulus.operators import expression as X
 from regulus.operators import matrix as MX
 from regulus.operators import metadata as M
+from regulus.operators import selection as SEL
 from regulus.operators import stats as ST
 from regulus.session import cut, lookup_join
 
@@ -75,6 +76,18 @@ def _(t):
     return out.select("event_id", "cls", "role")
 
 
+@query("p06_roles_by_arm", "P6", """with s as (select event_id, case user_id % 4 when 0 then 'fused' when 1 then 'immortal' when 2 then 'density' else 'radiation' end arm, event_type, value from events)
+select event_id, case when arm = 'immortal' then 'immortal_control' when arm = 'density' then case when value < 20 then 'not_yet_arrested' else 'quiescent' end
+  when arm = 'radiation' then case when event_type = 'click' then 'proliferating' else 'senescent' end else 'UNKNOWN ARM' end cls,
+ case when arm = 'density' and coalesce(value >= 20, true) or arm = 'radiation' then 'train_eligible' when arm = 'immortal' then 'holdout' else 'excluded' end as role from s""")
+def _(t):
+    u = F.col("user_id") % 4
+    s = t("events").select("event_id", "event_type", "value", F.when(u == 0, "fused").when(u == 1, "immortal").when(u == 2, "density").otherwise("radiation").alias("arm"))
+    arms = [M.Arm("immortal", "holdout", "immortal_control"), M.Arm("density", "third_class", "quiescent", F.col("value") < 20, "not_yet_arrested"),
+            M.Arm("radiation", "as_on", "radiation", F.col("event_type") == "click", "radiation_baseline")]
+    return M.roles_by_arm(s, "arm", arms, "proliferating", "senescent").select("event_id", "cls", "role")
+
+
 @query("p07_assay_classification", "P7", r"""select p_partkey, case when starts_with(lower(p_name), 'red') then 'mark' when starts_with(lower(p_name), 'blue') then 'reader' when contains(lower(p_name), 'gear') or trim(p_name) in ('-', '') then 'input' else 'UNRESOLVED ' || p_name end assay,
  case when p_type in ('ECONOMY', 'SMALL') then 'triad' when regexp_matches(p_type, '^(STANDARD|PROMO)') then 'stress' else 'UNRESOLVED' end condition_group, p_size = 1 is_baseline from part""")
 def _(t):
@@ -256,8 +269,8 @@ def _(t):
 
 @query("a18_keys_near_differential", "A18", f"with {DIFF} select distinct p_name gene from sig join part on p_partkey = region where s and comparison in ('N', 'R')")
 def _(t):
-    hit = differential(t).where(F.col("s") & F.col("comparison").isin("N", "R")).select(F.col("region").alias("p_partkey")).distinct()
-    return t("part").join(hit, "p_partkey", "left_semi").select(F.col("p_name").alias("gene")).distinct()
+    links = t("part").select(F.col("p_partkey").alias("region"), F.col("p_name").alias("gene"))
+    return SEL.keys_near(differential(t), links, "region", "comparison", "s", ("N", "R"), "gene")
 
 
 @query("a19_category_distribution", "A19", "select lang, source, count(*) n, round(count(*) / (select count(*) from documents), 6) fraction from documents group by 1, 2")
@@ -288,6 +301,17 @@ def _(t):
                     F.when(F.col("mean1") > F.col("mean0"), "UP").otherwise("DOWN").alias("direction"), F.when(up, "UP").otherwise("DOWN").alias("expected"), (right & (F.abs("t") >= 1.96)).alias("passes"))
 
 
+@query("a20_rows_behind_gate", "A20", """with g as (select p_type gene, p_brand, l_quantity > 25 is_on, l_extendedprice * l_quantity / 1000 v from lineitem join part on p_partkey = l_partkey),
+ m as (select gene, (avg(v) filter (is_on) - avg(v) filter (not is_on)) / sqrt(var_samp(v) filter (is_on) / count(*) filter (is_on) + var_samp(v) filter (not is_on) / count(*) filter (not is_on)) tt from g group by 1),
+ k as (select count(*) filter (gene in ('ECONOMY', 'SMALL', 'STANDARD', 'LARGE') and tt >= 1.96) ok from m)
+select p_brand, gene, count(*) n, round(avg(v), 4) mean_v from g, k where ok = 4 group by 1, 2""")
+def _(t):
+    g = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_type").alias("gene"), "p_brand", (F.col("l_quantity") > 25).alias("is_on"), (F.col("l_extendedprice") * F.col("l_quantity") / 1000).alias("v"))
+    gate_rows = X.marker_gate(g, "gene", "v", F.col("is_on"), ("ECONOMY", "SMALL", "STANDARD", "LARGE"), (), 1.96)
+    per = g.groupBy("p_brand", "gene").agg(F.count(F.lit(1)).alias("n"), rd(F.avg("v"), 4).alias("mean_v"))
+    return X.behind_gate(per, gate_rows, "gene", "passes")
+
+
 @query("a21_marker_directions", "A21", """with m as (select l_linestatus study, p_type gene, avg(l_quantity) filter (l_returnflag = 'R') a, avg(l_quantity) filter (l_returnflag = 'A') b from lineitem join part on p_partkey = l_partkey group by 1, 2)
 select study, gene, round(a - b, 6) + 0.0 difference, sign(a - b) = case when gene in ('ECONOMY', 'SMALL') then 1 else -1 end as expected from m""")
 def _(t):
@@ -322,13 +346,11 @@ def _(t):
 
 
 @query("a24_replication_accounting", "A24", """with u as (select source, case when source in ('src0', 'src1') then source || '|lineage|rep' || doc_id % 3 when lang = 'en' then source || '|' || lang || '|rep' || doc_id % 5 else source || '|' || doc_id end unit from documents)
-select source, count(*) n_tasks, count(distinct unit) n_units, round(count(*) / count(distinct unit), 6) ratio from u group by 1""")
+select source, count(*) n_tasks, count(distinct unit) n_units, max(c) largest, round(count(*) / count(distinct unit), 6) ratio from (select *, count(*) over (partition by source, unit) c from u) group by 1""")
 def _(t):
-    d = F.col("doc_id")
-    unit = (F.when(F.col("source").isin("src0", "src1"), F.concat(F.col("source"), F.lit("|lineage|rep"), (d % 3).cast("string")))
-            .when(F.col("lang") == "en", F.concat(F.col("source"), F.lit("|en|rep"), (d % 5).cast("string"))).otherwise(F.concat(F.col("source"), F.lit("|"), d.cast("string"))))
-    g = M.replicate_inventory(t("documents").select("source", unit.alias("unit")), ["source"], "unit")
-    return g.select("source", "n_tasks", "n_units", rd(F.col("n_tasks") / F.col("n_units")).alias("ratio"))
+    d, source = F.col("doc_id"), F.col("source")
+    unit = SEL.unit_key([(source.isin("src0", "src1"), [source, F.lit("lineage"), d % 3]), (F.col("lang") == "en", [source, F.col("lang"), d % 5])], [source, d])
+    return SEL.replication(t("documents"), ["source"], unit).select("source", "n_tasks", "n_units", "largest", rd("ratio").alias("ratio"))
 
 
 @query("a56_count_consistency", "A56", """with r as (select o_orderpriority report, count(*) total, count(*) filter (o_totalprice >= 60000) pos, count(*) filter (o_totalprice <= 40000) neg, count(*) filter (o_totalprice > 40000 and o_totalprice < 60000) amb from orders group by 1)

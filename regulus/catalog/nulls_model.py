@@ -232,11 +232,5 @@ def _(t):
 select label, abs(a - b) <= 1e-9 identical, round(a, 6) + 0.0 score from d join b using (label)""")
 def _(t):
     """Score of the pooled bins against the pooled score of the bins."""
-    rows = t("embeddings")
-    pooled = (rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")))
-    w = F.element_at(F.array(*[F.lit(v) for v in weights(64)]), F.col("i") + 1)
-    a = pooled.groupBy("label").agg(F.sum(F.col("x") * w).alias("a"))
-    b = rows.groupBy("label").agg(F.avg(U.dot(F.col("embedding"), weights(64))).alias("b"))
-    return a.join(b, "label").select("label", (F.abs(F.col("a") - F.col("b")) <= 1e-9).alias("identical"), rd("a").alias("score"))
-
-
+    out = U.pooling_identity(t("embeddings"), ["label"], "embedding", weights(64))
+    return out.select("label", "identical", rd("of_mean").alias("score"))

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from regulus.catalog.registry import query, rd
 from regulus.functions import sequence as Q
 from regulus.operators import design as D
+from regulus.operators import model as U
 from regulus.operators import motifs as M
+from regulus.operators import selection as SEL
 from regulus.session import lookup_join, spread
 from regulus.sources.genome import fetch_windows, split_chunks
 
@@ -273,10 +275,17 @@ def _(t):
 
 @query("f14_slice_pool", "F14", """select vec_id, round(list_sum(embedding[9:24]::double[]) / 16, 6) + 0.0 fwd, round(list_sum(embedding[41:56]::double[]) / 16, 6) + 0.0 rc from embeddings""")
 def _(t):
-    def pool(lo, n):
-        return F.aggregate(F.slice("embedding", lo, n), F.lit(0.0), lambda a, x: a + x.cast("double")) / n
     # bins [8, 24) forward; the mirrored bins [64 - 24, 64 - 8) on the reverse strand
-    return t("embeddings").select("vec_id", rd(pool(9, 16)).alias("fwd"), rd(pool(41, 16)).alias("rc"))
+    x, lo, hi = F.col("embedding"), F.lit(8), F.lit(24)
+    return t("embeddings").select("vec_id", rd(U.pool_slice(x, lo, hi)).alias("fwd"), rd(U.pool_slice(x, lo, hi, mirrored=True)).alias("rc"))
+
+
+@query("f14_row_slices", "F14", """with e as (select vec_id, embedding::double[] x, vec_id % 60 lo, vec_id % 60 + vec_id % 9 hi from embeddings)
+select vec_id, case when hi > lo and hi <= 64 then round(list_sum(x[lo + 1:hi]) / (hi - lo), 6) + 0.0 end fwd, case when hi > lo and hi <= 64 then round(list_sum(x[64 - hi + 1:64 - lo]) / (hi - lo), 6) + 0.0 end rc from e""")
+def _(t):
+    x, lo = F.col("embedding"), F.col("vec_id") % 60
+    hi = lo + F.col("vec_id") % 9
+    return t("embeddings").select("vec_id", rd(U.pool_slice(x, lo, hi)).alias("fwd"), rd(U.pool_slice(x, lo, hi, mirrored=True)).alias("rc"))
 
 
 @query("s16_genome_windows", "S16", """with ch as (select 'c' || (region_id % 5)::varchar contig, region_id // 5 chunk_id, seq from v_seqs), sz as (select contig, count(*) * 128 size from ch group by 1),
@@ -301,7 +310,8 @@ CAND = "cand as (select c_custkey, c_acctbal v from customer where c_acctbal >=
 
 
 def candidates(t):
-    return t("customer").where("c_acctbal >= 0 and c_mktsegment = 'BUILDING' and abs(c_nationkey - 12) <= 8").select("c_custkey", F.col("c_acctbal").alias("v"))
+    chosen = SEL.candidates(t("customer").where("c_mktsegment = 'BUILDING'"), "c_acctbal", 0, "c_nationkey", 12, 8)
+    return chosen.select("c_custkey", F.col("c_acctbal").alias("v"))
 
 
 @query("p20_candidate_selection", "P20", f"with {CAND} select c_custkey, v from cand")

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regulus.operators.stats import rank_sum, welch
+from regulus.operators.stats import correlations, rank_sum, welch
 from regulus.plans.ordered import add_average_ranks, ordered_values
-from regulus.session import keyed_join, lookup_join
+from regulus.session import cut, keyed_join, lookup_join
 
 
 def subtract_baseline(df: DataFrame, baseline: Column, on: Sequence[str], value: str, out: str = "delta") -> DataFrame:
@@ -142,3 +142,13 @@ def odds_ratio(df: DataFrame, by: Sequence[str], top: Column, present: Column) -
     den = F.col("top_without") * F.col("bottom_with")
     return (g.withColumn("ratio", F.when(fb > 0, ft / fb))
             .withColumn("odds_ratio", F.when(den > 0, F.col("top_with") * F.col("bottom_without") / den)))
+
+
+def affinity_effect(df: DataFrame, affinity: str, effect: str, mutant: Column, created: Sequence[str] = ()) -> DataFrame:
+    """Correlation of affinity with effect over all variants and over the mutants alone, with mean and range of the effect and
+    of every ``created`` column (sites made by accident). Rows where affinity or effect is missing do not count."""
+    both = df.where(F.col(affinity).isNotNull() & F.col(effect).isNotNull())
+    subsets = F.when(mutant, F.array(F.lit("all"), F.lit("mutant"))).otherwise(F.array(F.lit("all")))
+    s = cut(both.withColumn("subset", F.explode(subsets)))
+    spread = [f(c).alias(f"{c}_{n}") for c in (effect, *created) for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    return correlations(s, ["subset"], affinity, effect).join(s.groupBy("subset").agg(*spread), "subset")

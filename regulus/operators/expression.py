@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regulus.operators.stats import correlations, quantile_buckets, safe_corr
+from regulus.operators.stats import correlations, quantile_buckets, safe_corr, welch
 from regulus.session import cut, keyed_join, lookup_join
 
 
@@ -195,6 +195,32 @@ def require_markers(gate: DataFrame, marker: str, passes: str) -> DataFrame:
     return gate.withColumn(passes, F.when(F.coalesce(F.col(passes), F.lit(False)), F.lit(True)).otherwise(stop))
 
 
+def marker_gate(df: DataFrame, marker: str, value: str, on: Column, up: Sequence[str], down: Sequence[str], least_t: float) -> DataFrame:
+    """One row per listed marker: group means, Welch t and df, direction found and expected, and whether it passes.
+
+    A marker passes when it moves as expected with abs(t) of at least ``least_t``; one without rows, or without a t, fails.
+    """
+    listed = df.sparkSession.createDataFrame([(m, "UP") for m in up] + [(m, "DOWN") for m in down], f"`{marker}` string, expected string")
+    w = welch(df.where(F.col(marker).isin(*up, *down)), [marker], value, on)
+    found = F.when(F.col("mean1") > F.col("mean0"), "UP").when(F.col("mean1") < F.col("mean0"), "DOWN").otherwise("NONE")
+    out = listed.join(w, marker, "left").withColumn("direction", found)
+    good = (F.col("direction") == F.col("expected")) & (F.abs("t") >= least_t)
+    return out.select(marker, F.col("mean1").alias("on_mean"), F.col("mean0").alias("off_mean"), "t", "df", "direction", "expected",
+                      F.coalesce(good, F.lit(False)).alias("passes"))
+
+
+def behind_gate(df: DataFrame, gate: DataFrame, marker: str, passes: str) -> DataFrame:
+    """The rows of ``df``, if every marker of the gate passes; else an error that names those that fail, when the rows are read.
+
+    The gate holds one row per marker of a list given by the caller, so its summary is one small row. An empty gate stops too.
+    """
+    bad = F.when(~F.coalesce(F.col(passes), F.lit(False)), F.coalesce(F.col(marker).cast("string"), F.lit("NULL")))
+    verdict = gate.agg(F.array_join(F.array_sort(F.collect_list(bad)), ", ").alias("_failed"), F.count(F.lit(1)).alias("_listed")).withColumn("_one", F.lit(1))
+    stop = F.raise_error(F.concat(F.lit("marker gate failed: "), F.when(F.col("_listed") == 0, "no marker").otherwise(F.col("_failed")))).cast("boolean")
+    through = F.when((F.col("_failed") == "") & (F.col("_listed") > 0), F.lit(True)).otherwise(stop)
+    return lookup_join(df.withColumn("_one", F.lit(1)), verdict, ["_one"]).where(through).select(*df.columns)
+
+
 def range_test(df: DataFrame, group: str, value: str, reference: Sequence[str]) -> DataFrame:
     """Values of each group inside the reference groups' range."""
     one = df.withColumn("_one", F.lit(1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,41 @@ def assign_roles(df: DataFrame, arm: str, level: str, off_max: float, on_min: fl
     return df.withColumn("cls", cls.otherwise("UNKNOWN ARM")).withColumn("role", role.otherwise("excluded"))
 
 
+@dataclass(frozen=True)
+class Arm:
+    """An arm of a study and the policy that places its samples.
+
+    ``inner`` marks samples of the arm that are something else, such as a baseline of day 0 or a time point before the
+    arrest: under ``as_on`` they are off, under ``third_class`` they are left out, and else they only keep their own label.
+    """
+
+    name: str
+    policy: str                 # exclude, as_off, as_on, third_class or holdout
+    label: str
+    inner: Column | None = None
+    inner_label: str | None = None
+
+
+def roles_by_arm(df: DataFrame, arm: str, arms: Sequence[Arm], off: str, on: str, unknown: str = "UNKNOWN ARM") -> DataFrame:
+    """``cls`` and ``role`` per sample by its arm's policy; samples of no listed arm are ``unknown`` and excluded.
+
+    A NULL in ``inner`` counts as outside it.
+    """
+    eligible = "train_eligible"
+    row = lambda cls, role: F.struct(F.lit(cls).alias("cls"), F.lit(role).alias("role"))
+    out = F.when(F.lit(False), row(unknown, "excluded"))
+    for a in arms:
+        own = a.inner_label or a.label
+        inner, rest = {"exclude": ((own, "excluded"), (a.label, "excluded")), "as_off": ((off, eligible), (off, eligible)),
+                       "as_on": ((off, eligible), (on, eligible)), "third_class": ((own, "excluded"), (a.label, eligible)),
+                       "holdout": ((own, "holdout"), (a.label, "holdout"))}[a.policy]
+        mine = F.col(arm) == a.name
+        if a.inner is not None:
+            out = out.when(mine & F.coalesce(a.inner, F.lit(False)), row(*inner))
+        out = out.when(mine, row(*rest))
+    return df.withColumn("_place", out.otherwise(row(unknown, "excluded"))).select(*df.columns, "_place.cls", "_place.role")
+
+
 def corrupted_key(c: Column) -> Column:
     """Identifiers a spreadsheet turned into dates."""
     return c.rlike(r"^\d{4}-\d{2}-\d{2}")

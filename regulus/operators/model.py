@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regulus.session import keyed_join
+
 
 def dot(x: Column, weights: Sequence[float]) -> Column:
     w = F.array(*[F.lit(float(v)) for v in weights])
@@ -171,3 +173,28 @@ def compare_arrays(df: DataFrame, by: Sequence[str], a: Column, b: Column, width
         F.count_if(~F.exists("a", lambda x: x != 0)).alias("all_zero"), F.count_if(F.col("_gap") > 0).alias("differing"),
         (F.sum(F.aggregate(size, F.lit(0.0), lambda s, x: s + x)) / F.sum(F.size("a"))).alias("mean_abs"),
         F.max(F.array_max(size)).alias("max_abs")))
+
+
+def pool_slice(x: Column, lo: Column, hi: Column, mirrored: bool = False) -> Column:
+    """Mean of the bins [lo, hi) of an array, or of their mirror image [size - hi, size - lo) on the reverse strand.
+
+    NULL where the slice is empty or leaves the array; bounds may differ from row to row.
+    """
+    first, n = (F.size(x) - hi if mirrored else lo), hi - lo
+    part = F.slice(x, (first + 1).cast("int"), n.cast("int"))
+    mean = F.aggregate(part, F.lit(0.0), lambda s, v: s + v.cast("double")) / n
+    return F.when((lo >= 0) & (n > 0) & (hi <= F.size(x)), mean)
+
+
+def pooling_identity(df: DataFrame, by: Sequence[str], x: str, weights: Sequence[float], bias: float = 0.0, tolerance: float = 1e-9) -> DataFrame:
+    """Per group: score of the mean bins, mean of the scores, their difference over the larger of both, and whether it is within
+    ``tolerance``. Arrays that are NULL or of another length than the weights take no part."""
+    rows = df.where(F.size(x) == len(weights)).select(*by, F.col(x).alias("_x"))
+    # one row per group and bin after map-side combine; the scores of rows stay rows
+    bins = rows.select(*by, F.posexplode("_x").alias("_i", "_v")).groupBy(*by, "_i").agg(F.avg(F.col("_v").cast("double")).alias("_v"))
+    w = F.element_at(F.array(*[F.lit(float(v)) for v in weights]), F.col("_i") + 1)
+    pooled = bins.groupBy(*by).agg((F.sum(F.col("_v") * w) + bias).alias("of_mean"))
+    scored = rows.groupBy(*by).agg((F.avg(dot(F.col("_x"), weights)) + bias).alias("mean_of"))
+    a, b = F.col("of_mean"), F.col("mean_of")
+    gap = F.coalesce(F.abs(a - b) / F.nullif(F.greatest(F.abs(a), F.abs(b)), F.lit(0.0)), F.lit(0.0))
+    return keyed_join(pooled, scored, by, "inner").withColumn("relative_gap", gap).withColumn("identical", gap <= tolerance)
