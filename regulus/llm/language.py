@@ -27,6 +27,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regulus.llm.textops import n_letters_missing, pieces, thin, unused
+from regulus.session import cut, lookup_join
 
 UNDETERMINED = "und"
 ORDER = 3
@@ -36,6 +37,7 @@ UNIT = 2048
 SAMPLE_TEXTS = 150
 SAMPLE_CHARS = 6000
 SAMPLE_LEAST = 50
+DRAWN = 4
 
 
 @dataclass(frozen=True)
@@ -49,21 +51,25 @@ class Model:
 def training_texts(docs: DataFrame, keep: Column, text: str = "text", lang: str = "lang", key: str = "doc_id",
                    per_lang: int = SAMPLE_TEXTS, max_chars: int = SAMPLE_CHARS,
                    min_chars: int = SAMPLE_LEAST) -> list[tuple[str, str]]:
-    """At most ``per_lang`` different rows of every language with a non-empty text, by hash of the key.
+    """At most ``per_lang`` different rows of every language with a non-empty text, by hash of key and text.
 
     Texts of ``min_chars`` to ``max_chars`` characters come first, others only where a language has too few of
-    these; of any text at most its first ``max_chars`` characters are taken. The window keeps its ``per_lang``
-    first rows per task before it shuffles, and only hashes travel.
+    these; of any text at most its first ``max_chars`` characters are taken. Rows are ranked by a uniform hash, so a bound
+    on the hash, from the language's number of rows, leaves about DRAWN times ``per_lang`` of them before any are sent to the
+    task that ranks a language, however many rows and tasks there are. Only hashes travel.
     """
     fit = (docs.where(keep & F.col(lang).isNotNull() & (F.length(text) > 0))
-           .select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"),
-                   F.xxhash64(F.col(lang), F.col(key), F.col(text)).alias("row")))
-    rank = Window.partitionBy("lang").orderBy("outside", "h", "row")
-    chosen = (fit.groupBy("lang", "h", "row").agg(F.min(~F.length("text").between(min_chars, max_chars)).alias("outside"))
-              .withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_lang).select("row"))
-    own = [r[0] for r in chosen.collect()]
-    rows = (fit.where(F.col("row").isin(own)).select("lang", F.substring("text", 1, max_chars).alias("text"), "h", "row")
-            .distinct().orderBy("lang", "h", "row").collect())
+           .select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(lang), F.col(key), F.col(text)).alias("row")))
+    there = cut(fit.groupBy("lang", "row").agg(F.min(~F.length("text").between(min_chars, max_chars)).alias("outside")))
+    sizes = there.groupBy("lang").agg(F.count_if(~F.col("outside")).alias("_in"), F.count_if("outside").alias("_out"))
+    uniform = F.col("row") / F.lit(2.0 ** 64) + 0.5
+    near = F.when(~F.col("outside"), uniform * F.col("_in") <= DRAWN * per_lang).otherwise(
+        (F.col("_in") < per_lang) & (uniform * F.col("_out") <= DRAWN * per_lang))
+    rank = Window.partitionBy("lang").orderBy("outside", "row")
+    chosen = lookup_join(there, sizes, ["lang"], "inner").where(near).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_lang)
+    own = [r[0] for r in chosen.select("row").collect()]
+    rows = (fit.where(F.col("row").isin(own)).select("lang", F.substring("text", 1, max_chars).alias("text"), "row")
+            .distinct().orderBy("lang", "row").collect())
     return [(r[0], r[1]) for r in rows]
 
 
