@@ -2,11 +2,13 @@
 
 1. A bounded sample of labelled texts gives a lexicon: words and word beginnings that stand out in toxic
    texts. Near copies are thinned first, so that one text copied often does not look like evidence.
-2. Lexicon and pattern voters vote toxic, clean or abstain on every sampled text.
+2. Every word and word beginning of the lexicon is a voter of its own (toxic where present; clean for those that
+   stand out in clean texts), beside pattern voters; each votes toxic or clean on a sampled text, or abstains.
 3. The label model has a latent class and one table of vote probabilities per voter and class, fitted by
-   EM. Voters that stay correlated given the class (excess covariance) are joined into groups, and a group
-   has one joint table, so agreeing copies of one voter do not count several times. The result is a
-   posterior probability per text.
+   EM, so a good and a weak word get accuracies of their own. Voters that stay correlated given the class are joined
+   into groups of any size, and a group has one joint table (over its patterns of votes, or over its
+   numbers of toxic and clean votes where it is large), so agreeing copies of one voter do not count several times.
+   The result is a posterior probability per text.
 4. A linear (logistic) classifier over hashed words and word beginnings (their counts, and whether they come
    often in the text) is trained on the posteriors and scores every whole text; in tasks this is one array
    lookup per word and beginning.
@@ -32,7 +34,10 @@ from regulus.session import cut, lookup_join
 # Bounds of the training sample: toxic texts, clean texts, characters taken of a text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 2400, 6000
 BEGINNINGS = (4, 5, 6, 8)
-LEXICON_GROUPS = 3
+# Voters taken from the lexicon at most, strongest first; groups of more voters than PATTERNS share a table of vote counts.
+TOXIC_VOTERS, CLEAN_VOTERS, PATTERNS, COUNTED = 300, 100, 3, 6
+# Votes that correlate by more than this, whatever the class, are copies.
+COPIES = 0.7
 MAX_COUNT = 3
 OFTEN = 3
 # Well-known insults, one pattern voter per language group.
@@ -101,12 +106,45 @@ def _thinned(texts: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50, excess: float = 0.05) -> tuple[np.ndarray, list[list[int]]]:
-    """Posterior of the toxic class per row from votes (1 toxic, -1 clean, 0 abstain), and the voter groups."""
+def _voter_groups(votes: np.ndarray, post: np.ndarray, excess: float) -> list[list[int]]:
+    """Voters joined, closest first, while every pair of a group correlates by more than ``excess`` given the class."""
     n, m = votes.shape
-    start = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + votes.sum(1) * 1.0)))
+    residual = np.zeros((n, m))
+    for w in (post, 1 - post):
+        residual += w[:, None] * (votes - (w @ votes / max(w.sum(), 1e-9)))
+    sd = np.sqrt((residual ** 2).mean(0))
+    corr = (residual.T @ residual / max(n, 1)) / np.maximum(np.outer(sd, sd), 1e-9)
+    low = np.abs(corr)          # least correlation of a member of the row's group with one of the column's
+    low[np.arange(m), np.arange(m)] = 0
+    groups = {i: [i] for i in range(m)}
+    while m > 1:
+        i, j = sorted(divmod(int(low.argmax()), m))
+        if low[i, j] <= excess:
+            break
+        groups[i] += groups.pop(j)
+        low[i] = low[:, i] = np.minimum(low[i], low[j])
+        low[j] = low[:, j] = 0
+        low[i, i] = 0
+    return [sorted(g) for _, g in sorted(groups.items())]
+
+
+def _patterns(votes: np.ndarray) -> np.ndarray:
+    """A code per row of a group's votes: the pattern itself, or the counts of toxic and clean votes of a large group."""
+    if votes.shape[1] > PATTERNS:
+        return (np.minimum((votes > 0).sum(1), COUNTED) * (COUNTED + 1) + np.minimum((votes < 0).sum(1), COUNTED)).astype(np.int64)
+    return np.unique(votes, axis=0, return_inverse=True)[1].ravel()
+
+
+def label_model(votes: np.ndarray, prior: float, rounds: int = 50, excess: float = 0.3) -> tuple[np.ndarray, list[list[int]]]:
+    """Posterior of the toxic class per row from votes (1 toxic, -1 clean, 0 abstain), and the voter groups."""
+    n = len(votes)
+    # near copies are one voter from the start: else a handful of them would look like the class itself
+    copies = _voter_groups(votes, np.full(n, prior), COPIES)
+    total = sum((np.sign(votes[:, g].sum(1, dtype=np.int64)) for g in copies), np.zeros(n))
+    start = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + np.clip(total, -4, 4))))
+
     def fit(groups: list[list[int]], post: np.ndarray) -> np.ndarray:
-        codes = [np.unique(votes[:, g], axis=0, return_inverse=True)[1].ravel() for g in groups]
+        codes = [_patterns(votes[:, g]) for g in groups]
         for _ in range(rounds):
             pi = np.clip(post.mean(), 0.01, 0.99)
             logit = np.full(n, np.log(pi / (1 - pi)))
@@ -120,28 +158,16 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50, excess: float
             post = new
         return post
 
-    post = fit([[j] for j in range(m)], start)
-    centred = np.zeros_like(votes, dtype=float)
-    for w in (post, 1 - post):
-        centred += w[:, None] * (votes - (w @ votes / max(w.sum(), 1e-9)))
-    cov = centred.T @ centred / max(n, 1)
-    group = list(range(m))
-    for i in range(m):
-        for j in range(i + 1, m):
-            if abs(cov[i, j]) > excess and sum(g == group[i] for g in group) < 4:
-                old, new = group[j], group[i]
-                group = [new if g == old else g for g in group]
-    groups = [[j for j in range(m) if group[j] == g] for g in sorted(set(group))]
+    groups = _voter_groups(votes, fit(copies, start), excess)
     return fit(groups, start), groups
 
 
-def _votes(texts: list[str], present: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    hits = np.stack([present[:, kind == k].any(1) for k in range(kind.max() + 1)], 1) if len(kind) else np.zeros((len(texts), 0))
-    total = present.sum(1)
+def _votes(texts: list[str], toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """A column per toxic and per clean lexicon word, then the patterns, then silence of the toxic lexicon as a clean vote."""
     insult = np.stack([[bool(re.search(p, t.lower())) for t in texts] for p in INSULTS], 1)
     shout = np.array([[sum(map(str.isupper, t)) > 0.5 * max(1, sum(map(str.isalpha, t))), "!!" in t] for t in texts])
-    return np.concatenate([hits, insult, shout, np.stack([total >= 2, total >= 4], 1), -np.stack([
-        total == 0, (total <= 1) & ~insult.any(1)], 1).astype(int)], 1).astype(np.int8)
+    silent = ~toxic.any(1) & ~insult.any(1)
+    return np.concatenate([toxic, -clean.astype(np.int8), insult, shout, -silent[:, None].astype(np.int8)], 1).astype(np.int8)
 
 
 def train(texts: list[tuple[str, int]], max_features: int = 4000, rounds: int = 300, ridge: float = 1e-3) -> Model | None:
@@ -177,9 +203,10 @@ def train(texts: list[tuple[str, int]], max_features: int = 4000, rounds: int =
     x = np.zeros((len(texts), len(chosen)), np.float32)
     has = place[col] >= 0
     x[row[has], place[col[has]]] = np.minimum(count[has], MAX_COUNT)
-    lexicon = (odds[chosen] > 2.0) & (on[chosen] >= 4)
-    kind = (names[chosen][lexicon] % np.uint64(LEXICON_GROUPS)).astype(int)
-    votes = _votes([t for t, _ in texts], x[:, lexicon] > 0, kind)
+    by_strength = np.argsort(-strength[chosen], kind="stable")
+    toxic = by_strength[(odds[chosen] > 2.0)[by_strength] & (on[chosen] >= 4)[by_strength]][:TOXIC_VOTERS]
+    clean = by_strength[(odds[chosen] < -1.0)[by_strength]][:CLEAN_VOTERS]
+    votes = _votes([t for t, _ in texts], x[:, toxic] > 0, x[:, clean] > 0)
     post, _ = label_model(votes, float(np.clip(y.mean(), 0.02, 0.98)))
     w, b = np.zeros(len(chosen), np.float32), float(np.log(post.mean() / (1 - post.mean())))
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0

@@ -93,6 +93,38 @@ def test_label_model_weighs_voters_and_joins_copies():
     assert ((post > 0.5) == y).mean() > 0.95
 
 
+def test_label_model_tells_good_words_from_weak_ones():
+    r = np.random.default_rng(3)
+    n = 4000
+    y = r.random(n) < 0.25
+    good = (r.random((n, 30)) < np.where(y, 0.25, 0.002)[:, None]).astype(np.int8)
+    weak = (r.random((n, 30)) < 0.08).astype(np.int8)
+    copies = np.repeat((r.random((n, 1)) < 0.15).astype(np.int8), 8, 1)
+    silent = -(good.sum(1, keepdims=True) == 0).astype(np.int8)
+    post, groups = toxicity.label_model(np.concatenate([good, weak, copies, silent], 1), 0.25)
+    # eight copies of one weak voter are one group, and neither they nor the weak words move a posterior
+    assert list(range(60, 68)) in groups
+    assert ((post > 0.5) == y).mean() > 0.94
+    quiet = good.sum(1) == 0
+    assert (post[quiet & (copies[:, 0] == 1)] > 0.5).mean() < 0.02
+
+
+def test_label_model_of_few_voters():
+    post, groups = toxicity.label_model(np.array([[1], [0], [1]], np.int8), 0.5)
+    assert groups == [[0]] and len(post) == 3
+
+
+def test_language_sample_leaves_few_rows_to_rank(spark):
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "xx").otherwise("yy").alias("lang"),
+                                     F.concat(F.lit("word " * 20), F.col("id").cast("string")).alias("text"))
+    got = Counter(la for la, _ in language.training_texts(docs, F.lit(True), per_lang=40))
+    assert got == {"xx": 40, "yy": 40}
+    # short texts fill up, repeated rows count once, a NULL key is a key
+    short = spark.createDataFrame([(None, "xx", f"t {i % 7}") for i in range(500)] + [(1, "xx", "a text long enough " * 5), (2, "zz", "")], "doc_id long, lang string, text string")
+    assert len(language.training_texts(short, F.lit(True), per_lang=40)) == 8
+    assert len(language.training_texts(short, F.lit(True), per_lang=4)) == 4
+
+
 def test_toxicity_of_odd_rows(spark):
     r = np.random.default_rng(1)
     words = [f"w{i}" for i in range(400)]
