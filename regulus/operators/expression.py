@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regulus.operators.stats import correlations, quantile_buckets, safe_corr, welch
@@ -157,6 +157,20 @@ def above_control(df: DataFrame, stage: str, score: str, control, out: str = "ab
 
 # ---- comparisons
 
+def means_in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column], **values: Column) -> DataFrame:
+    """Mean of each of ``values`` per ``by``, its rows added one by one in ``order``.
+
+    A mean of doubles that lies on a threshold falls on either side of it with the order of the additions; here that does
+    not depend on how rows are dealt to tasks. The window adds as it goes, so no group is held as a list.
+    """
+    by = list(by)
+    rows = df.select(*by, F.struct(*order).alias("_at"), *[x.alias(name) for name, x in values.items()])
+    so_far = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.select(*by, "_at", *[F.avg(name).over(so_far).alias(name) for name in values])
+    last = run.groupBy(*by).agg(F.max_by(F.struct(*values), "_at").alias("_last"))
+    return last.select(*by, "_last.*")
+
+
 def differential_summary(df: DataFrame, comparison: str, effect: str, p: str, significant: str) -> DataFrame:
     """Tested, significant, gained and lost per comparison, and the significant share in percent."""
     s = F.col(significant)

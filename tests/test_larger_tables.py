@@ -1,8 +1,12 @@
 """Queries against their SQL on rows that the generated tables at small sizes do not have."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from regulus.catalog.metadata import differential
+from regulus.operators import expression as X
+from regulus.sources.fixtures import Tables
 
 
 def same_as_sql(spark, path, key, table, rows, ddl):
@@ -22,3 +26,32 @@ def test_rules_for_large_keys_and_odd_names(spark, tmp_path):
     names += ["", "Customer", "Customer#0000000", "Customer#00000000", "Customer#000000017\n", "Customer#000012348\n", "7", "x" * 14 + "\n\n", None]
     got = same_as_sql(spark, tmp_path, "p03_ordered_rules", "customer", list(enumerate(names)), "c_custkey long, c_name string")
     assert dict(got)[6] == "twin"
+
+
+def test_averages_on_a_threshold_do_not_depend_on_partitions(spark, tmp_path):
+    # sums of these discounts differ in the last digit with the order of their additions
+    rows = [(part, "N", 40000.0, d / 100) for part in range(200) for d in ([9, 3, 1, 7, 0, 8, 5, 3], [1, 2, 3, 9, 8, 4, 0, 9])[part % 2]]
+    spark.createDataFrame(rows, "l_partkey long, l_returnflag string, l_extendedprice double, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {part: sum_in_order([r[3] for r in rows if r[0] == part]) / 8 for part in range(200)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "2k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {r.region: r.p for r in differential(Tables(spark, str(tmp_path))).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def sum_in_order(values):
+    total = 0.0
+    for v in values:
+        total += v
+    return total
+
+
+def test_means_are_added_in_the_given_order(spark):
+    rows = [(i, g, v) for g in range(5) for i, v in enumerate([0.1, 1e16, -1e16, 0.7, None, 0.3])]
+    df = spark.createDataFrame(rows, "i int, g int, v double").repartition(7)
+    want = sum_in_order([0.1, 1e16, -1e16, 0.7, 0.3]) / 5
+    assert {r.m for r in X.means_in_order(df, ["g"], [F.col("i")], m=F.col("v")).collect()} == {want}
