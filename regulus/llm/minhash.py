@@ -178,6 +178,15 @@ def _stars(base: DataFrame) -> DataFrame:
     return rows.groupBy("s", "pivot").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def _contracted(stars: DataFrame) -> DataFrame:
+    """Links with the same components as ``stars``, about one a set: a set keeps the link to its least pivot, and its other
+    pivots are tied to that one once for all sets that share them. A set has at most BANDS pivots."""
+    per = stars.groupBy("s").agg(F.min("pivot").alias("least"), F.collect_set("pivot").alias("pivots"))
+    own = per.select("s", F.col("least").alias("pivot"))
+    others = per.select(F.explode("pivots").alias("s"), F.col("least").alias("pivot")).where("s != pivot")
+    return own.unionByName(others.distinct())
+
+
 def _roots_checked(least: list[int], percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -286,7 +295,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, key: str
     """key, n_shingles, component_id (the least key of its class) and kept (the key is that least key) of every row."""
     base = cut(signed(docs, k, key, text))
     stars = cut(_stars(base))
-    cluster = connected(stars, "s", "pivot").select(F.col("node").alias("s"), F.col("label").alias("cluster"))
+    cluster = connected(_contracted(stars), "s", "pivot").select(F.col("node").alias("s"), F.col("label").alias("cluster"))
     # one row of the documents stands for each set in a cluster
     chosen = lookup_join(base.select("k", "sid", "s").where("sid is not null"), cluster, ["s"], "inner")
     reps = cut(chosen.groupBy("sid").agg(F.min("k").alias("rep")).select("rep").distinct())

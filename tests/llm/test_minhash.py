@@ -147,3 +147,14 @@ def test_op11(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     assert Counter(con.execute(ORACLES["op11_minhash"]).fetchall()) == got
+
+
+def test_stars_are_contracted_before_components(spark):
+    # 300 sets with 12 pivots each, and a second cluster: many links, about one a set are left
+    r = random.Random(3)
+    links = {(100 + i, p) for i in range(300) for p in r.sample(range(20), 12)} | {(900 + i, 800 + p) for i in range(5) for p in range(i + 1)}
+    stars = spark.createDataFrame([(s, p, 1) for s, p in links], "s long, pivot long, shared long")
+    few = minhash._contracted(stars)
+    assert few.count() < 500 < len(links)
+    got = {x.node: x.label for x in minhash.connected(few, "s", "pivot").collect()}
+    assert got == {x.node: x.label for x in minhash.connected(stars, "s", "pivot").collect()}
