@@ -169,13 +169,16 @@ def grid(t):
     """Every region as background x arms x loads x variants."""
     arms = F.array(*[F.struct(F.lit(n).alias("label"), F.array(*[F.lit(WORDS[x]) for x in m]).alias("members"), F.lit(a).alias("arrangement"))
                      for n, m, a in ARMS])
-    return (spread(t("v_seqs"), "region_id").withColumn("arm", F.explode(arms)).withColumn("load", F.explode(F.array(*[F.lit(k) for k in LOADS])))
-            .withColumn("variant", F.explode(F.array(F.lit("real"), F.lit("scrambled")))).select("region_id", "seq", "arm.*", "load", "variant"))
+    # a word's shuffle depends on region and slot alone: it is made once, before arms, loads and variants multiply the rows
+    words = sorted({WORDS[x] for _, m, _ in ARMS for x in m})
+    seqs = spread(t("v_seqs"), "region_id").withColumn("shuffled", Q.scrambled_words(words, max(LOADS), F.col("region_id")))
+    return (seqs.withColumn("arm", F.explode(arms)).withColumn("load", F.explode(F.array(*[F.lit(k) for k in LOADS])))
+            .withColumn("variant", F.explode(F.array(F.lit("real"), F.lit("scrambled")))).select("region_id", "seq", "shuffled", "arm.*", "load", "variant"))
 
 
 def cassettes(t):
     g = grid(t)
-    built = Q.build_cassette(F.col("seq"), F.col("members"), F.col("load"), F.col("arrangement"), F.col("variant"), F.col("region_id"))
+    built = Q.build_cassette(F.col("seq"), F.col("members"), F.col("load"), F.col("arrangement"), F.col("variant"), F.col("region_id"), F.col("shuffled"))
     inserted = F.aggregate(F.sequence(F.lit(0), F.col("load") - 1), F.lit(0), lambda a, j: a + F.length(Q.member_at(j, F.col("load"), F.col("members"), F.col("arrangement"))))
     return g.select("region_id", "label", "arrangement", "load", "variant", built.alias("cassette"), inserted.cast("long").alias("bases_inserted"))
 
