@@ -210,9 +210,8 @@ def _(t):
     plus = F.col("plus")
     lo = (loci(t).withColumn("ps", F.when(plus, F.col("ls") - 1000).otherwise(F.col("le") - 200))
           .withColumn("pe", F.when(plus, F.col("ls") + 200).otherwise(F.col("le") + 1000)))
-    one = I.count_overlaps(lo, t("v_intervals"), "contig", ("ls", "le"), ("s", "e"), "n_overlap")
-    return I.count_overlaps(one, t("v_intervals"), "contig", ("ps", "pe"), ("s", "e"), "n_promoter").select(
-        "locus", "n_overlap", "n_promoter")
+    spans = {"n_overlap": ("ls", "le"), "n_promoter": ("ps", "pe")}
+    return I.count_overlaps_of(lo, t("v_intervals"), "contig", spans, ("s", "e")).select("locus", "n_overlap", "n_promoter")
 
 
 @query("j04_overlap_hits", "J4", f"with {LOCI} select locus, event_id, s, e from loci l join v_intervals i on i.contig = l.contig and i.s < l.le and i.e > l.ls", V)

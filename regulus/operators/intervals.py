@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from regulus.plans.ordered import exact_percentiles
 from regulus.plans.range_join import overlap_join, point_join
 from regulus.plans.tiling import (TILE, attach_neighbours, depth_segments, gap_clusters,
                                   running_sums, tile_expr)
-from regulus.session import keyed_join, salted_join
+from regulus.session import cut, keyed_join, salted_join
 
 
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "s", end: str = "e") -> DataFrame:
@@ -91,24 +91,35 @@ def nearest(points: DataFrame, table: DataFrame, contig: str, pos: str, tpos: st
 
 def count_overlaps(loci: DataFrame, intervals: DataFrame, contig: str, lspan: tuple[str, str],
                    ispan: tuple[str, str], out: str) -> DataFrame:
-    """Intervals overlapping each locus, as (starts before its end) - (ends at or before its start).
+    """Intervals overlapping each locus, as (starts before its end) - (ends at or before its start)."""
+    return count_overlaps_of(loci, intervals, contig, {out: lspan}, ispan)
 
-    Two running counts and two lookups: the work does not grow with the number of overlaps.
+
+def count_overlaps_of(loci: DataFrame, intervals: DataFrame, contig: str, spans: Mapping[str, tuple[str, str]],
+                      ispan: tuple[str, str]) -> DataFrame:
+    """``count_overlaps`` for several spans of a locus at once: one count column per name in ``spans``.
+
+    Starts, ends and all asked positions go through one running count, and the counts come back in one join: the
+    intervals are read once, and the work does not grow with the number of overlaps.
     """
-    ls, le = lspan
-    rows = intervals.where(F.col(ispan[0]) < F.col(ispan[1]))
-
-    def running(edge: str) -> DataFrame:
-        per = (rows.groupBy(contig, F.col(edge).alias("_at")).agg(F.count(F.lit(1)).alias("n"))
-               .withColumn("_tile", tile_expr("_at")))
-        return running_sums(per, [contig], "_at", "_tile", ["n"]).select(contig, "_at", "cum_n")
-
-    ends_asked = loci.withColumn("_last", F.col(le) - 1)
-    got = attach_neighbours(ends_asked, running(ispan[0]), [contig], "_last", "_at", ["cum_n"], sides=["prev"])
-    got = got.withColumn("_begun", F.coalesce("prev.cum_n", F.lit(0))).drop("prev", "_last")
-    got = attach_neighbours(got, running(ispan[1]), [contig], ls, "_at", ["cum_n"], sides=["prev"])
-    return (got.withColumn(out, (F.col("_begun") - F.coalesce("prev.cum_n", F.lit(0))).cast("long"))
-            .drop("prev", "_begun"))
+    edges = F.explode(F.array(*[F.struct(F.col(c).cast("long").alias("_at"), F.lit(b).cast("long").alias("b"), F.lit(e).cast("long").alias("e"))
+                                for c, b, e in ((ispan[0], 1, 0), (ispan[1], 0, 1))])).alias("_e")
+    steps = intervals.where(F.col(ispan[0]) < F.col(ispan[1])).select(contig, edges).select(contig, "_e.*")
+    numbered = cut(loci.withColumn("_row", F.monotonically_increasing_id()))
+    # what has begun before the end counts, what has ended up to the start is taken off again
+    ends = F.explode(F.array(*[F.struct(F.lit(name).alias("out"), at.cast("long").alias("_at"), F.lit(side).alias("side"))
+                               for name, (ls, le) in spans.items() for at, side in ((F.col(le) - 1, "b"), (F.col(ls), "e"))])).alias("_q")
+    asked = numbered.select("_row", contig, ends).select("_row", contig, "_q.*").where("_at is not null")
+    zero = F.lit(0).cast("long")
+    both = (steps.withColumn("ask", F.lit(0)).unionByName(asked.select(contig, "_at", zero.alias("b"), zero.alias("e"), F.lit(1).alias("ask")))
+            .where("_at is not null").groupBy(contig, "_at").agg(F.sum("b").alias("b"), F.sum("e").alias("e"), F.max("ask").alias("ask"))
+            .withColumn("_tile", tile_expr("_at")))
+    run = cut(running_sums(both, [contig], "_at", "_tile", ["b", "e"]).where("ask = 1").select(contig, "_at", "cum_b", "cum_e"))
+    met = salted_join(asked, run, [contig, "_at"])
+    gain = F.when(F.col("side") == "b", F.col("cum_b")).otherwise(-F.col("cum_e"))
+    per = met.groupBy("_row").agg(*[F.sum(F.when(F.col("out") == name, gain)).alias(f"_c_{i}") for i, name in enumerate(spans)])
+    counts = [F.coalesce(f"_c_{i}", zero).cast("long").alias(name) for i, name in enumerate(spans)]
+    return numbered.join(per, "_row", "left").select(*[f"`{c}`" for c in loci.columns], *counts)
 
 
 def distance_to(pos: Column, start: Column, end: Column) -> Column:

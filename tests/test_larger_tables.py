@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from regulus.catalog.metadata import differential
 from regulus.operators import expression as X
+from regulus.operators import intervals as I
 from regulus.sources.fixtures import Tables
 
 
@@ -55,3 +56,16 @@ def test_means_are_added_in_the_given_order(spark):
     df = spark.createDataFrame(rows, "i int, g int, v double").repartition(7)
     want = sum_in_order([0.1, 1e16, -1e16, 0.7, 0.3]) / 5
     assert {r.m for r in X.means_in_order(df, ["g"], [F.col("i")], m=F.col("v")).collect()} == {want}
+
+
+def test_counts_of_several_spans_at_once(spark):
+    loci = [(1, "a", 0, 10, 5, 6), (1, "a", 0, 10, 5, 6), (2, "a", 200_000, 300_000, -50, 3), (3, "b", 0, 9, 0, 1), (4, None, 0, 9, 0, 9), (5, "a", None, 9, 0, 9)]
+    runs = [("a", -60, -40), ("a", 2, 4), ("a", 5, 5), ("a", 5, 8), ("a", 250_000, 250_001), ("a", 70_000, 270_000), ("c", 0, 9)]
+    lo = spark.createDataFrame(loci, "locus int, contig string, ls long, le long, ps long, pe long")
+    iv = spark.createDataFrame(runs, "contig string, s long, e long")
+    got = I.count_overlaps_of(lo, iv, "contig", {"x": ("ls", "le"), "y": ("ps", "pe")}, ("s", "e")).select("locus", "x", "y").collect()
+
+    def hits(contig, a, b):
+        return sum(c == contig and s < b and e > a and s < e for c, s, e in runs)
+
+    assert sorted(map(tuple, got))[:5] == sorted((k, hits(c, ls, le), hits(c, ps, pe)) for k, c, ls, le, ps, pe in loci[:5])
