@@ -1,5 +1,7 @@
 """Queries against their SQL on rows that the generated tables at small sizes do not have."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -46,13 +48,15 @@ def test_zero_differences_are_no_pairs(spark, tmp_path):
 
 
 def test_averages_on_a_threshold_do_not_depend_on_partitions(spark, tmp_path):
-    # sums of these discounts differ in the last digit with the order of their additions
-    rows = [(part, "N", 40000.0, d / 100) for part in range(200) for d in ([9, 3, 1, 7, 0, 8, 5, 3], [1, 2, 3, 9, 8, 4, 0, 9])[part % 2]]
-    spark.createDataFrame(rows, "l_partkey long, l_returnflag string, l_extendedprice double, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
-    want = {part: sum_in_order([r[3] for r in rows if r[0] == part]) / 8 for part in range(200)}
+    # one discount of every part in each of eight files; their sums differ in the last digit with the order of the additions
+    r = random.Random(1)
+    rows = [(part, "N", 40000.0, r.randrange(11) / 100) for _ in range(8) for part in range(200)]
+    ddl = "l_partkey long, l_returnflag string, l_extendedprice double, l_discount double"
+    spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), ddl).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {part: sum_in_order([x[3] for x in rows if x[0] == part]) / 8 for part in range(200)}
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        for size in ("128m", "2k"):
+        for size in ("128m", "4m"):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             got = {r.region: r.p for r in differential(Tables(spark, str(tmp_path))).collect()}
             assert got == want
