@@ -5,10 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from regulus.operators.expression import means_in_order
+from regulus.session import cut
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+_COMBO = """case o_orderkey % 7 when 0 then 'x' when 1 then 'y' when 2 then 'z' when 3 then 'x+y'
+        when 4 then 'x+z' when 5 then 'y+z' else 'x+y+z' end label, o_orderstatus arrangement,
+        (o_custkey % 3) * 4 + 4 load, case when (o_orderkey / 7) % 2 < 1 then 'real' else 'scrambled' end variant,
+        o_custkey % 10 seed"""
+
 # SQL text valid in Spark and in the oracle engine; table names stand for the parquet tables.
 VIEWS = {
     "v_signal": """select l_partkey region_id, l_returnflag study, l_linestatus arm,
@@ -42,10 +51,7 @@ VIEWS = {
         concat('User: ', cast(user_id as varchar(20))) c2, props, event_type, user_id, value from events""",
     "v_alias": """select p_partkey, p_name symbol, concat_ws('|', p_brand, substring(p_name, 1, 6)) prev_symbol
         from part""",
-    "v_combo": """select case o_orderkey % 7 when 0 then 'x' when 1 then 'y' when 2 then 'z' when 3 then 'x+y'
-        when 4 then 'x+z' when 5 then 'y+z' else 'x+y+z' end label, o_orderstatus arrangement,
-        (o_custkey % 3) * 4 + 4 load, case when (o_orderkey / 7) % 2 < 1 then 'real' else 'scrambled' end variant,
-        o_custkey % 10 seed, avg(o_totalprice) / 100000 pred from orders group by 1, 2, 3, 4, 5""",
+    "v_combo": f"""select {_COMBO}, avg(o_totalprice) / 100000 pred from orders group by 1, 2, 3, 4, 5""",
     "v_calls": """select p_partkey region_id, l_returnflag motif, p_retailprice price, cast(p_size as double) size,
         count(case when l_quantity >= 45 then 1 end) n_hits from part join lineitem on p_partkey = l_partkey
         group by 1, 2, 3, 4""",
@@ -83,12 +89,23 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name == "v_combo":
+            return self._combo()
         text = VIEWS[name]
         used = {n: self(n) for n in [*TABLES, *VIEWS] if _mentions(text, n) and n != name}
         for n in used:
             text = _replace(text, n)
         return self.spark.sql(text, **used)
 
+    def _combo(self) -> DataFrame:
+        """``v_combo``: its predictions are ranked, and some are equal but for rounding, so each is summed in the order of the table."""
+        orders = self("orders").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        rows = self.spark.sql(f"select {_COMBO}, o_totalprice, file, row from {{orders}}", orders=orders)
+        keys = ["label", "arrangement", "load", "variant", "seed"]
+        means = means_in_order(rows, keys, [F.col("file"), F.col("row")], mean=F.col("o_totalprice"))
+        # some thousand rows at most, and read several times by most queries
+        return cut(means.select(*keys, (F.col("mean") / 100000).alias("pred")))
+
 
 def _mentions(text: str, name: str) -> bool:
     words = text.replace("\n", " ").split()

@@ -89,3 +89,26 @@ def test_counts_of_several_spans_at_once(spark):
         return sum(c == contig and s < b and e > a and s < e for c, s, e in runs)
 
     assert sorted(map(tuple, got))[:5] == sorted((k, hits(c, ls, le), hits(c, ps, pe)) for k, c, ls, le, ps, pe in loci[:5])
+
+
+def test_predictions_are_summed_in_the_order_of_the_table(spark, tmp_path):
+    # the same prices for every customer, in another order; averages differ in their last digits only, and with the order of the additions
+    r = random.Random(2)
+    prices = [r.randrange(100, 50_000_000) / 100 for _ in range(64)]
+    rows = [(14 * i, c, "F", p) for i in range(8) for c in range(30) for p in (prices[c:] + prices[:c])[8 * i:8 * i + 8]]
+    ddl = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double"
+    spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), ddl).write.parquet(f"{tmp_path}/orders.parquet")
+    want = {(c % 3 * 4 + 4, c % 10): sum_in_order([x[3] for x in rows if x[1] == c]) / 64 / 100000 for c in range(30)}
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    rel = con.sql(entry.oracle_sql()["a44_dose_response"])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "4m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert {(x.load, x.seed): x.pred for x in Tables(spark, str(tmp_path))("v_combo").collect()} == want
+            got = entry.queries()["a44_dose_response"](spark, str(tmp_path))
+            assert [tuple(x) for x in got.select(*rel.columns).collect()] == rel.fetchall()
+            rel = con.sql(entry.oracle_sql()["a44_dose_response"])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
