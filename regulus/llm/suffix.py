@@ -40,6 +40,8 @@ SHARD_BYTES = 1_500_000
 HOME_BYTES = 4_000_000
 HOT_TEXTS = 256
 BROADCAST_KEYS = 3_000_000
+# bytes hashed at once: the arrays of eight bytes a position then stay in a core's cache
+HASHED = 1 << 16
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -62,13 +64,19 @@ def _sliding(a: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
     return best(a[:-(w - step)], a[w - step:]) if w > step else a
 
 
-def repeated_keys(p: Piece, span: int = SPAN, gram: int = GRAM) -> np.ndarray:
-    """(row, key) pairs, as a structure-free two-column array, of keys that more than one gram of a row supplies."""
+def window_keys(p: Piece, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams of a piece, and the least in every window."""
     h = gram_hashes(p.data, gram)
     w = span - gram + 1
-    if len(h) < w:
+    return h, _sliding(h, w, np.minimum) if len(h) >= w else h[:0]
+
+
+def repeated_keys(p: Piece, span: int = SPAN, gram: int = GRAM, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """(row, key) pairs, as a structure-free two-column array, of keys that more than one gram of a row supplies."""
+    h, m = known or window_keys(p, span, gram)
+    w = span - gram + 1
+    if not len(m):
         return np.zeros((0, 2), np.uint64)
-    m = _sliding(h, w, np.minimum)
     edge = np.zeros(w - 1, np.uint64)
     at = np.flatnonzero(h == _sliding(np.concatenate([edge, m, edge]), w, np.maximum))
     row = np.searchsorted(p.at, at, "right") - 1
@@ -77,15 +85,14 @@ def repeated_keys(p: Piece, span: int = SPAN, gram: int = GRAM) -> np.ndarray:
     return pairs[1:][(pairs[1:] == pairs[:-1]).all(1)]
 
 
-def window_runs(p: Piece, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_runs(p: Piece, span: int = SPAN, gram: int = GRAM,
+                known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one key: row, first window (in the piece), number of windows, key."""
-    h = gram_hashes(p.data, gram)
-    w = span - gram + 1
+    _, m = known or window_keys(p, span, gram)
     none = np.zeros(0, np.int64)
-    if len(h) < w:
-        return none, none, none, np.zeros(0, np.uint64)
-    m = _sliding(h, w, np.minimum)
     n = len(m)
+    if not n:
+        return none, none, none, np.zeros(0, np.uint64)
     row = np.repeat(np.arange(p.hi - p.lo), np.diff(p.at))[:n]
     ok = np.arange(n) + span <= p.at[row + 1]
     new = np.ones(n, bool)
@@ -202,15 +209,52 @@ def common_prefixes(data: np.ndarray, lengths: np.ndarray, sa: np.ndarray) -> np
     return np.where(inner, np.maximum(out[lead] - (i - lead), 0), out)
 
 
+def shared_suffixes(data: np.ndarray, lengths: np.ndarray, depth: int, first: int = 8) -> np.ndarray:
+    """The part of the suffix array whose suffixes share their first ``depth`` bytes with a neighbour.
+
+    Ranks by the first ``first`` bytes are refined as in ``suffix_array``, but only to ``depth``, two or three of them at
+    a time as 63 bits allow. A suffix that stands alone at some depth, or is followed by one that does, shares no more and is
+    finished; one shorter than the next depth is not asked for any more. So ranks count shared suffixes only.
+    """
+    n = len(data)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
+    h = min(first, depth)
+    pos = np.flatnonzero(left >= h)
+    key = np.zeros(n, np.uint64)
+    padded = np.concatenate([data, np.zeros(h, np.uint8)])
+    for i in range(h):
+        key = (key << np.uint64(8)) | padded[i:n + i]
+    joint = key[pos]
+    # none: finished or too short
+    rank = np.full(n, -1, np.int64)
+    while True:
+        order = np.argsort(joint)
+        joint, sa = joint[order], pos[order]
+        new = np.ones(len(sa) + 1, bool)
+        new[1:-1] = joint[1:] != joint[:-1]
+        shared = ~(new[:-1] & new[1:])
+        sa, new = sa[shared], new[:-1][shared]
+        if h == depth or not len(sa):
+            return sa
+        group = np.cumsum(new) - 1
+        rank.fill(-1)
+        rank[sa] = group
+        bits = max(1, int(group[-1]).bit_length())
+        reach = min(depth, h * min(3, 63 // bits))
+        steps = [*range(h, reach - h, h), reach - h]
+        pos = pos[(left[pos] >= reach) & (rank[pos] >= 0)]
+        joint = rank[pos]
+        for step in steps:
+            ahead = rank[pos + step]
+            keep = ahead >= 0
+            pos, joint = pos[keep], (joint[keep] << bits) | ahead[keep]
+        h = reach
+
+
 def repeated_windows(data: np.ndarray, lengths: np.ndarray, span: int = SPAN) -> np.ndarray:
     """Positions whose next ``span`` bytes lie in one string and also start elsewhere in ``data``."""
-    if not len(data):
-        return np.zeros(0, bool)
-    sa, rank = suffix_array(data, lengths)
-    lcp = common_prefixes(data, lengths, sa) >= span
-    flag = lcp.copy()
-    with_next = sa[:-1][lcp[sa[1:]]]
-    flag[with_next] = True
+    flag = np.zeros(len(data), bool)
+    flag[shared_suffixes(data, lengths, span)] = True
     return flag
 
 
@@ -219,19 +263,22 @@ def _key_rows(docs: DataFrame, span: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tid = b.column(0).to_numpy()
-            for p in pieces(b.column(1)):
-                row, _, _, key = window_runs(p, span)
+            found = []
+            for p in pieces(b.column(1), HASHED):
+                known = window_keys(p, span)
+                row, _, _, key = window_runs(p, span, known=known)
                 order = np.lexsort((key, row))
                 row, key = row[order], key[order]
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
                 at = np.flatnonzero(new)
-                again = {(int(a), int(k)) for a, k in repeated_keys(p, span)}
+                again = {(int(a), int(k)) for a, k in repeated_keys(p, span, known=known)}
                 many = np.diff(np.append(at, len(row))) > 1
                 if again:
                     many |= np.array([(a, k) in again for a, k in zip(row[at].tolist(), key[at].tolist())], bool)
-                yield pa.RecordBatch.from_arrays([pa.array(tid[p.lo + row[at]]), pa.array(key[at].view(np.int64)), pa.array(many)],
-                                                 names=["tid", "key", "many"])
+                found.append((tid[p.lo + row[at]], key[at].view(np.int64), many))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["tid", "key", "many"])
 
     return docs.select("tid", "t").mapInArrow(run, "tid long, key long, many boolean")
 
@@ -246,17 +293,13 @@ def _run_rows(cand: DataFrame, shards: int, span: int) -> DataFrame:
             tid = b.column(0).to_numpy()
             keys, hot = b.column(2), b.column(3)
             held: dict[tuple[int, bytes], list] = {}
-            for p in pieces(b.column(1), 1 << 20):
+            for p in pieces(b.column(1), HASHED):
                 row, at, length, key = window_runs(p, span)
                 key = key.view(np.int64)
-                keep = np.zeros(len(row), bool)
-                busy = np.zeros(len(row), bool)
-                edge = np.searchsorted(row, np.arange(p.hi - p.lo + 1))
-                for i in range(p.hi - p.lo):
-                    own = slice(edge[i], edge[i + 1])
-                    known = keys[p.lo + i].values.to_numpy()
-                    keep[own] = np.isin(key[own], known)
-                    busy[own] = np.isin(key[own], known[hot[p.lo + i].values.to_numpy(zero_copy_only=False).astype(bool)])
+                # whether a key is a candidate, and hot, is the same for all texts that have it
+                known = keys.slice(p.lo, p.hi - p.lo).flatten().to_numpy()
+                hot_known = hot.slice(p.lo, p.hi - p.lo).flatten().to_numpy(zero_copy_only=False).astype(bool)
+                keep, busy = np.isin(key, known), np.isin(key, known[hot_known])
                 row, at, length, key, busy = row[keep], at[keep], length[keep], key[keep], busy[keep]
                 ctx = [p.data[a:a + n + span - 1].tobytes() for a, n in zip(at.tolist(), length.tolist())]
                 shard = np.where(busy, np.array([zlib.crc32(c) for c in ctx], np.int64) % shards, key % shards) if len(ctx) else key

@@ -75,3 +75,35 @@ def test_removal_equals_search(spark):
 def test_op10(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert Counter(map(tuple, QUERIES["op10_suffix"](spark, sf).collect())) == brute(docs, 200)
+
+
+def test_shared_suffixes_are_those_with_a_neighbour_of_equal_depth():
+    r = random.Random(8)
+    for trial in range(80):
+        alphabet = r.choice(["ab", "a", "abcdefgh", "\0a\x01"])
+        strings = ["".join(r.choice(alphabet) for _ in range(r.randrange(0, 90))).encode() for _ in range(r.randrange(1, 8))]
+        strings += [strings[0], strings[0][1:]]
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        lengths = np.array([len(s) for s in strings])
+        for depth in (3, 8, 9, 20, 40):
+            begins = np.cumsum(lengths) - lengths
+            windows = {int(a) + i: s[i:i + depth] for a, s in zip(begins, strings) for i in range(len(s) - depth + 1)}
+            times = Counter(windows.values())
+            got = suffix.shared_suffixes(data, lengths, depth).tolist()
+            assert sorted(got) == [i for i, x in windows.items() if times[x] > 1]
+            assert [windows[i] for i in got] == sorted(windows[i] for i in got)
+
+
+def test_sorting_stops_at_the_window():
+    # two texts that differ in their first byte only: the order of whole suffixes took a step for every doubling of their length
+    r = random.Random(9)
+    body = bytes(r.randrange(1, 256) for _ in range(60_000))
+    data = np.frombuffer(b"a" + body + b"b" + body, np.uint8)
+    sorts, plain = [], np.argsort
+    try:
+        np.argsort = lambda a, *args, **kw: sorts.append(len(a)) or plain(a, *args, **kw)
+        flag = suffix.repeated_windows(data, np.array([60_001, 60_001]), 200)
+    finally:
+        np.argsort = plain
+    assert flag.sum() == 2 * (60_000 - 199) and not flag[0] and not flag[60_001]
+    assert len(sorts) <= 6
