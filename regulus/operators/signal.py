@@ -45,14 +45,15 @@ def region_signal(track: DataFrame, regions: DataFrame, keys: Sequence[str], tsp
                                for p, sign in zip(tspan, (1, -1))])).alias("_e")
     steps = track.where(there).select(*keys, *sample, ends).select(*keys, *sample, "_e.*")
     # every sample is asked for every region; the list of samples is one row
-    names = track.select(F.sort_array(F.collect_set(F.struct(*sample))).alias("all"))
+    names = cut(track.select(F.sort_array(F.collect_set(F.struct(*sample))).alias("all")))
     wanted = regions.withColumn("_s", F.explode(names.scalar())).select("*", *[F.col(f"_s.{c}").alias(c) for c in sample]).drop("_s")
     points = wanted.select(*keys, *sample, F.explode(F.array(*[F.col(p).cast("long") for p in rspan])).alias("pos"))
     at = cut(integrals_at(steps, points, [*keys, *sample], ["n", "u"], width))
     out = wanted
     for p, tag in zip(rspan, ("0", "1")):
         ends_at = at.withColumnsRenamed({"pos": p, "int_n": f"_n{tag}", "int_u": f"_u{tag}"})
-        out = salted_join(out, ends_at, [*keys, *sample, p], "left")
+        # every sample has the regions' positions, so hot ones are counted on the regions
+        out = salted_join(out, ends_at, [*keys, *sample, p], "left", counted=regions.select(*keys, p))
     covered = F.when(F.col(rspan[0]) < F.col(rspan[1]), (F.col("_n1") - F.col("_n0")).cast("long"))
     out = out.select(*region, *sample, F.nullif(covered, F.lit(0)).alias("covered"), ((F.col("_u1") - F.col("_u0")).cast("double") / 10**scale).alias("weighted"))
     weighted = F.when(F.col("covered").isNotNull(), F.col("weighted"))

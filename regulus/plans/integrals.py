@@ -38,13 +38,19 @@ def integrals_at(steps: DataFrame, asked: DataFrame, keys: Sequence[str], cols:
     carry = tiles.select(*keys, "_tile", *[x for c in cols for x in (
         F.sum(f"_s_{c}").over(before).cast("decimal(19,0)").alias(f"_slope_{c}"),
         F.sum((F.col(f"_s_{c}") * first + F.col(f"_m_{c}")).cast(_EXACT)).over(before).cast(_EXACT).alias(f"_moment_{c}"))])
+    carry = carry.select(*keys, "_tile", *[x for c in cols for x in (
+        F.col(f"_slope_{c}"), ((F.col(f"_slope_{c}") * first).cast(_EXACT) - F.col(f"_moment_{c}")).cast(_EXACT).alias(f"_first_{c}"))])
     sums = [x for c in cols for x in (F.sum(c).over(inside).alias(f"_in_{c}"), F.sum(F.col(c) * F.col("_rel")).over(inside).alias(f"_mo_{c}"))]
     read = lookup_join(rows.select("*", *sums).where("_ask = 1"), carry, [*keys, "_tile"])
 
+    zero = F.lit(0).cast(_EXACT)
+
     def integral(c: str) -> Column:
-        pos = F.col("pos").cast(_EXACT)
-        past = (F.coalesce(f"_slope_{c}", F.lit(0).cast("decimal(19,0)")) * pos).cast(_EXACT) - F.coalesce(f"_moment_{c}", F.lit(0).cast(_EXACT))
+        slope = F.coalesce(f"_slope_{c}", F.lit(0).cast("decimal(19,0)"))
+        # from the tile's first position on; long numbers do where the slope leaves room for the width
+        long = F.abs(slope) < (1 << 62) // width
+        past = F.when(long, (slope.cast("long") * F.col("_rel")).cast(_EXACT)).otherwise((slope * F.col("_rel").cast(_EXACT)).cast(_EXACT))
         own = F.col(f"_in_{c}") * F.col("_rel") - F.col(f"_mo_{c}")
-        return (past.cast(_EXACT) + own.cast(_EXACT)).cast(_EXACT).alias(f"int_{c}")
+        return (F.coalesce(f"_first_{c}", zero) + past + own.cast(_EXACT)).cast(_EXACT).alias(f"int_{c}")
 
     return read.select(*keys, "pos", *[integral(c) for c in cols])

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regulus.operators.signal import contig_alias, region_signal
+from regulus.session import salted_join, split_hot
 
 
 def by_hand(runs, regions, samples):
@@ -66,3 +67,24 @@ def test_large_positions_lose_nothing(spark):
     asked = spark.createDataFrame([(1, "a", far + 4985, far + 4992)], "rid int, contig string, s long, e long")
     row = region_signal(track, asked, ["contig"], ("ts", "te"), ("s", "e"), "value", ["sample"], ["rid"]).first()
     assert (row.covered, row.weighted) == (4, pytest.approx(0.4, abs=1e-12))
+
+
+def test_hot_positions_are_counted_on_the_regions(spark):
+    big = spark.range(60).select((F.col("id") % 2).alias("pos"), F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit("z")), (F.col("id") % 3 + 1).cast("int")).alias("sample"), "id")
+    small = spark.createDataFrame([(p, s, f"{p}{s}") for p in (0, 1, 2) for s in "xyz"], "pos long, sample string, v string")
+    counted = spark.createDataFrame([(0,)] * 10 + [(1,)] * 3, "pos long")
+    unread = big.withColumn("id", F.raise_error(F.lit("the large side was run")).cast("long"))
+    _, copies, on = split_hot(unread, small, ["pos", "sample"], 4, counted)
+    assert on == ["pos", "sample", "_salt"] and copies.groupBy("pos").count().orderBy("pos").collect() == [(0, 9), (1, 3), (2, 3)]
+    got = salted_join(big, small, ["pos", "sample"], "left", 4, counted).collect()
+    assert len(got) == 60 and all(x.v == f"{x.pos}{x.sample}" for x in got)
+
+
+def test_high_levels_lose_nothing(spark):
+    # levels above 2^62 / width are carried in decimals, lower ones in long numbers
+    rows = [("a", 0, 1_000_000, v, s) for v, s in ((1e8, "x"), (1e8, "x"), (6e7, "y"), (-3e8, "z"))]
+    track = spark.createDataFrame(rows, "contig string, ts long, te long, value double, sample string")
+    asked = spark.createDataFrame([(1, "a", 10, 900_000), (2, "a", 200_000, 200_007)], "rid int, contig string, s long, e long")
+    got = region_signal(track, asked, ["contig"], ("ts", "te"), ("s", "e"), "value", ["sample"], ["rid"]).collect()
+    assert {(x.rid, x.sample): (x.covered, x.weighted) for x in got} == {
+        (i, s): (n * k, float(n * v)) for i, n in ((1, 899_990), (2, 7)) for s, k, v in (("x", 2, 2 * 10**8), ("y", 1, 6 * 10**7), ("z", 1, -3 * 10**8))}
