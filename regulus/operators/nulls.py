@@ -45,9 +45,10 @@ def shuffle_within(df: DataFrame, groups: Sequence[str], ident: str, value: str,
     receivers = number_by_hash(df.withColumn("_key", F.md5(F.col(ident).cast("string"))), groups, "_key", "_i").drop("_key")
     drawn = df.select(*groups, ident, value, seed).withColumn("_key", seeded_hash(F.col("seed"), F.col(ident)))
     drawn = number_by_hash(drawn.select(*groups, "seed", "_key", value), [*groups, "seed"], "_key", "_i")
-    # each position has one receiver, which meets one drawn value per seed: only the drawn side is multiplied
-    drawn = drawn.select(*groups, "seed", "_i", F.col(value).alias(out))
-    return keyed_join(drawn, receivers, [*groups, "_i"]).drop("_i")
+    # each position has one receiver, which meets one drawn value per seed: only the drawn side is multiplied. The planner
+    # takes it for no larger than its table and would broadcast it, so receivers are counted and the drawn side is never sent
+    drawn = drawn.select(*groups, "seed", "_i", F.col(value).alias(out)).hint("merge")
+    return keyed_join(drawn, with_size_hint(cut(receivers)), [*groups, "_i"]).drop("_i")
 
 
 def empirical_p(null: DataFrame, real: DataFrame, stat: str, by: Sequence[str]) -> DataFrame:
@@ -74,7 +75,8 @@ def refit_null(df: DataFrame, ident: str, fwd: str, rc: str, target: str, fold:
     """
     known = cut(df.where(F.col(fold).isin("train", "stop") & F.col(target).isNotNull()))
     drawn = shuffle_within(known.select(fold, ident, F.col(target).cast("double").alias(target)), [fold], ident, target, seeds)
-    columns = drawn.groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("seed", "shuffled"))).alias("_s"))
+    # a row holds one value per seed, which the planner does not see either
+    columns = drawn.groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("seed", "shuffled"))).alias("_s")).hint("merge")
     targets = F.concat(F.array(F.col(target).cast("double")), F.transform("_s", lambda x: x["shuffled"]))
     sums = head_sums(known.join(columns, ident).withColumn("_targets", targets), fwd, rc, "_targets", fold)
     train, stop = sums["train"], sums["stop"]

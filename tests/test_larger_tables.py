@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from regulus.catalog.metadata import differential
 from regulus.operators import expression as X
 from regulus.operators import intervals as I
+from regulus.operators import nulls as N
 from regulus.sources.fixtures import Tables
 
 
@@ -119,3 +120,15 @@ def test_predictions_are_summed_in_the_order_of_the_table(spark, tmp_path):
             rel = con.sql(entry.oracle_sql()["a44_dose_response"])
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_values_drawn_for_many_seeds_are_not_broadcast(spark, monkeypatch):
+    # the planner takes the drawn side for as small as its table, whatever the number of seeds
+    df = spark.range(60).select((F.col("id") % 2).alias("g"), "id", (F.col("id") * 10).alias("v"))
+    few = N.shuffle_within(df, ["g"], "id", "v", range(50))
+    monkeypatch.setattr(N, "with_size_hint", lambda x: x)
+    many = N.shuffle_within(df, ["g"], "id", "v", range(50))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    rows = sorted(map(tuple, many.select("g", "id", "seed", "shuffled").collect()))
+    assert len(rows) == 3000 and rows == sorted(map(tuple, few.select("g", "id", "seed", "shuffled").collect()))
